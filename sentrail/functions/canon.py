@@ -63,7 +63,12 @@ def target_key(event_type: Column, target: Column) -> Column:
 
     event_type is a canonical base type. Null stays null and equals only null.
     """
-    f = F.regexp_replace(fold(target), r"^[\"'<\s]+|[\"'>;,\s]+$", "")
+    return folded_target_key(event_type, fold(target))
+
+
+def folded_target_key(event_type: Column, target: Column) -> Column:
+    """target_key of text that is folded already."""
+    f = F.regexp_replace(target, r"^[\"'<\s]+|[\"'>;,\s]+$", "")
     leaf = F.regexp_extract(F.regexp_replace(_percent_decoded(f), r"[/\\]+$", ""), r"([^/\\]*)$", 1)
     mail = F.regexp_extract(f, r"([^\s<>:;,\"']+@[^\s<>;,\"']+)", 1)
     page = _percent_decoded(F.regexp_replace(F.regexp_replace(f, r"^[a-z][a-z0-9+.\-]*://", ""), r"[?#].*$", ""))

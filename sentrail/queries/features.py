@@ -19,7 +19,9 @@ def p6_features(spark: SparkSession, d: str) -> DataFrame:
     return wide.selectExpr("vm_id", "n_events", "total_steps", "last_seen", "cardinality(count_by_type) AS n_types", "coalesce(try_element_at(count_by_level, 'L4'), 0) AS n_l4", "coalesce(try_element_at(last_by_type, 'file'), 0) AS last_file")
 
 
-_FOLD = r"lower(trim(translate(translate({c}, 'ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ０１２３４５６７８９．＿－（）', 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._-()'), chr(9) || chr(10) || chr(13) || chr(160) || chr(12288), '     ')))"
+_NARROW = "".join(chr(c) for c in range(0x21, 0x7F))
+_WIDE = "".join(chr(c + 0xFEE0) for c in range(0x21, 0x7F))
+_FOLD = "lower(trim(translate({c}, '" + _WIDE + "' || chr(9) || chr(10) || chr(13) || chr(160) || chr(12288), '" + _NARROW.replace("'", "''").replace("{", "{{").replace("}", "}}") + "     ')))"
 
 
 def fold_sql(c: str) -> str:
