@@ -35,15 +35,18 @@ def collapse_runs(events: DataFrame, seq: str, ts: str, event_id: str, keys: lis
         F.when(F.lead("_pos").over(by).isNull(), F.col("_last_ts")).otherwise(F.lead("_ts_before").over(by)).alias("_end"),
         F.lead("_pos").over(by).isNull().alias("_is_last"),
     )
+    # A chunk's pieces between its first and last are runs already (`_inner`); only the edges of one
+    # sequence's chunks meet. Joining up again keeps the rows that start a run.
     edge = (F.col("_pos") == 1) | F.col("_is_last")
-    # A chunk's pieces between its first and last are runs already; the edges meet those of the next chunk.
-    edges = pieces.filter(edge)
-    along = Window.partitionBy("_seq").orderBy("_chunk", "_pos")
-    joined = edges.withColumn("_new", (~F.coalesce((F.lag("_key").over(along).eqNullSafe(F.col("_key"))) & (F.col("_pos") == 1) & F.lag("_is_last").over(along), F.lit(False))).cast("int"))
-    grouped = joined.withColumn("_run", F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = grouped.groupBy("_seq", "_run").agg(F.min_by(F.struct("_chunk", "_pos", "_id", "_key"), F.struct("_chunk", "_pos")).alias("f"), F.min("_start").alias("_start"), F.max("_end").alias("_end"), F.sum("_count").alias("_count"))
-    inner = pieces.filter(~edge).select("_seq", "_chunk", "_pos", "_id", "_key", "_start", "_end", "_count")
-    runs = merged.select("_seq", "f.*", "_start", "_end", "_count").unionByName(inner)
+    along = Window.partitionBy("_seq", "_inner").orderBy("_chunk", "_pos")
+    goes_on = F.lag("_key").over(along).eqNullSafe(F.col("_key")) & (F.col("_pos") == 1) & F.coalesce(F.lag("_is_last").over(along), F.lit(False))
+    upto = along.rowsBetween(Window.unboundedPreceding, 0)
+    met = pieces.withColumn("_inner", F.when(~edge, F.col("_chunk"))).select("*", goes_on.alias("_goes_on"), F.sum("_count").over(upto).alias("_upto"), F.lag("_end").over(along).alias("_end_before"), F.sum("_count").over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_all"), F.last("_end").over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_last_end"))
+    runs = met.filter(~F.col("_goes_on")).select(
+        "_seq", "_chunk", "_pos", "_id", "_key", "_start",
+        (F.coalesce(F.lead(F.col("_upto") - F.col("_count")).over(along), F.col("_all")) - F.col("_upto") + F.col("_count")).alias("_count"),
+        F.when(F.lead("_pos").over(along).isNull(), F.col("_last_end")).otherwise(F.lead("_end_before").over(along)).alias("_end"),
+    )
     return runs.select(
         F.col("_seq").alias(seq), F.col("_chunk").alias("chunk_no"), F.col("_pos").alias("pos_in_chunk"), F.col("_id").alias("first_event_id"), "_key.*", F.col("_count").cast("long").alias("n_events"),
         F.col("_start").alias("start_time"), F.col("_end").alias("end_time"), (F.unix_micros("_end") - F.unix_micros("_start")).alias("duration_us"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentrail.functions.canon import name_key, target_key, type_key
+from sentrail.functions.canon import fold, folded_target_key, name_key, type_key
 
 
 def one_per_sequence(sequences: DataFrame, *columns: str) -> DataFrame:
@@ -26,4 +26,5 @@ def flat_events(sequences: DataFrame) -> DataFrame:
     """seq_id, timestamp, event_id, base_type, action_key, target_key; null events are dropped."""
     rows = sequences.select("seq_id", F.explode("events").alias("e")).filter(F.col("e").isNotNull())
     base = type_key(F.col("e.event_type"))
-    return rows.select("seq_id", F.col("e.timestamp").alias("timestamp"), F.col("e.event_id").alias("event_id"), base.alias("base_type"), name_key(F.col("e.action")).alias("action_key"), target_key(base, F.col("e.target")).alias("target_key"))
+    typed = rows.select("seq_id", F.col("e.timestamp").alias("timestamp"), F.col("e.event_id").alias("event_id"), base.alias("base_type"), name_key(F.col("e.action")).alias("action_key"), fold(F.col("e.target")).alias("target_fold"))
+    return typed.select("seq_id", "timestamp", "event_id", "base_type", "action_key", folded_target_key(F.col("base_type"), F.col("target_fold")).alias("target_key"))
