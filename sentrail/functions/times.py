@@ -17,4 +17,4 @@ def coerce_ts(text: Column) -> Column:
     iso = F.regexp_replace(F.regexp_replace(t, "/", "-"), r"^(\d{4}-\d{1,2}-\d{1,2})[tT ]+", "$1 ")
     zoned = F.when(iso.rlike(r"(?:[zZ]|UTC|GMT|[+-]\d{2}:?\d{0,2})$") & iso.contains(":"), F.regexp_replace(iso, r"([+-]\d{2})(\d{2})$", "$1:$2")).otherwise(F.concat(iso, F.lit("Z")))
     zoned = F.when(iso.contains(":"), zoned).otherwise(F.concat(iso, F.lit(" 00:00:00Z")))
-    return F.when(n.isNotNull(), F.timestamp_micros(micros.cast("long"))).otherwise(zoned.try_cast("timestamp"))
+    return F.when(n.isNotNull(), F.timestamp_micros(micros.cast("long"))).when(iso.rlike(r"^\d{4}-\d{1,2}-\d{1,2}( |$)"), zoned.try_cast("timestamp"))
