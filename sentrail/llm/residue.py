@@ -308,6 +308,8 @@ def train(documents: DataFrame, text: str, source: str, sample_texts: int = SAMP
     every = Segments(np.concatenate([p.slots for p in parts]), np.concatenate([p.starts + b for p, b in zip(parts, base)]), np.concatenate([p.texts for p in parts]), np.concatenate([p.spans for p in parts]))
     y, out = np.concatenate(labels), np.concatenate(hosts)
     kept = ~out & (y | np.concatenate(hard))
+    if not (kept & y).any():
+        kept = y | np.concatenate(hard)  # too few sources to hold one out
     weights, bias = fit(_only(every, kept), y[kept]) if kept.any() else (np.zeros(1 << TABLE_BITS, np.float32), -9.0)
     # Unseen sources: the decision as residue() makes it, against the weak labels.
     z = scores(_only(every, out), weights, bias)

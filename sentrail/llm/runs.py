@@ -41,9 +41,11 @@ def collapse_runs(events: DataFrame, seq: str, ts: str, event_id: str, keys: lis
     along = Window.partitionBy("_seq", "_inner").orderBy("_chunk", "_pos")
     goes_on = F.lag("_key").over(along).eqNullSafe(F.col("_key")) & (F.col("_pos") == 1) & F.coalesce(F.lag("_is_last").over(along), F.lit(False))
     upto = along.rowsBetween(Window.unboundedPreceding, 0)
-    met = pieces.withColumn("_inner", F.when(~edge, F.col("_chunk"))).select("*", goes_on.alias("_goes_on"), F.sum("_count").over(upto).alias("_upto"), F.lag("_end").over(along).alias("_end_before"), F.sum("_count").over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_all"), F.last("_end").over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_last_end"))
+    met = pieces.withColumn("_inner", F.when(~edge, F.col("_chunk"))).select("*", goes_on.alias("_goes_on"), F.sum("_count").over(upto).alias("_upto"), F.lag("_end").over(along).alias("_end_before"), F.lead("_start").over(along).alias("_start_after"), F.sum("_count").over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_all"), F.last("_end").over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_last_end"))
     runs = met.filter(~F.col("_goes_on")).select(
-        "_seq", "_chunk", "_pos", "_id", "_key", "_start",
+        "_seq", "_chunk", "_pos", "_id", "_key",
+        # Only the chunk without times has a null start; a run that goes on from it starts at its first time.
+        F.coalesce("_start", F.when(F.coalesce(F.lead(F.col("_upto") - F.col("_count")).over(along), F.col("_all")) > F.col("_upto"), F.col("_start_after"))).alias("_start"),
         (F.coalesce(F.lead(F.col("_upto") - F.col("_count")).over(along), F.col("_all")) - F.col("_upto") + F.col("_count")).alias("_count"),
         F.when(F.lead("_pos").over(along).isNull(), F.col("_last_end")).otherwise(F.lead("_end_before").over(along)).alias("_end"),
     )
