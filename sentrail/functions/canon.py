@@ -22,8 +22,9 @@ LEVELS = tuple(LEVEL_NAMES)
 
 def fold(c: Column) -> Column:
     """Narrow full-width forms, drop invisible marks, trim blanks of any kind, lower case."""
-    narrow = F.when(c.rlike("[^ -~]"), F.translate(c, _WIDE + _INVISIBLE, _NARROW)).otherwise(c)
-    return F.lower(F.regexp_replace(narrow, r"^\s+|\s+$", ""))
+    full = F.regexp_replace(F.translate(c, _WIDE + _INVISIBLE, _NARROW), r"^\s+|\s+$", "")
+    # Most values are plain ASCII without blanks: one test spares them the rest.
+    return F.lower(F.when(c.rlike("^[!-~]*$"), c).otherwise(full))
 
 
 def name_key(c: Column) -> Column:
@@ -41,8 +42,8 @@ def type_key(c: Column) -> Column:
 def machine_key(c: Column) -> Column:
     """Letters and number of a machine name: VM-41, vm0041.desk.example give vm:41; else null."""
     f = fold(c)
-    pattern = r"^([a-z]+)[-_ ]*0*([0-9]+)(?:\.[a-z0-9.\-]*)?$"
-    return F.when(f.rlike(pattern), F.concat_ws(":", F.regexp_extract(f, pattern, 1), F.regexp_extract(f, pattern, 2)))
+    key = F.regexp_replace(f, r"^([a-z]+)[-_ ]*0*([0-9]+)(?:\.[a-z0-9.\-]*)?$", "$1:$2")
+    return F.when(key != f, key)
 
 
 def level_key(c: Column) -> Column:

@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = 8, app: str = "sentrail", memory: str = "8g") -> SparkSession:
@@ -45,3 +46,15 @@ def cut(df: DataFrame) -> DataFrame:
     """Compute df once into the shared checkpoint folder, so later stages survive executor loss."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: Rows of up to 200 bytes that a broadcast side may have (40 MB).
+BROADCAST_ROWS = 200_000
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """df marked for broadcast if it is counted to have at most BROADCAST_ROWS rows, else as it is.
+
+    For narrow tables that are cheap to count (cut or read columns); beyond the bound Spark shuffles.
+    """
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
