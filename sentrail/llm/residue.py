@@ -83,7 +83,7 @@ STEMS = (
 ).split("|")
 # Wording of sentences that quote, explain or report such things, and of code and paths.
 MENTION = _phrases(
-    r"template (?:carries|contains|holds|has|names)", r"(?:editors|authors|rule writers) (?:use|put|write|set)", r"(?:editor|tool|macro) marked", r"parser (?:rejects|drops|refuses)", r"the message [\"“']", r"right answer", r"attached to ticket", r"for \d+ minutes, and", r"in the first (?:mock-up|sketch|draft)", r"had been renamed", r"page then (?:told|tells|asks|asked)", r"\bexport [A-Z_]+=", r"%[A-Z]+%\\", r"\bSELECT\b.*\bFROM\b", r"^rule \w+ \{", r"in use has",
+    r"template (?:carries|contains|holds|has|names)", r"(?:editors|authors|rule writers) (?:use|put|write|set)", r"(?:editor|tool|macro) marked", r"parser (?:rejects|drops|refuses)", r"the message [\"“']", r"right answer", r"attached to ticket", r"for \d+ minutes, and", r"in the first (?:mock-up|sketch|draft)", r"had been renamed;", r"page then (?:told|tells|asks|asked)", r"\bexport [A-Z_]+=", r"%[A-Z]+%\\", r"\bSELECT\b.*\bFROM\b", r"^rule \w+ \{", r"in use has",
     r"vorlage enthält", r"Werkzeug schrieb", r"Der Hinweis", r"das Gateway \d+ Minuten", r"Minuten lang mit Fehler", r"Die Folie",
     r"自动替换", r"旧工具用", r"按设计提示", r"曾出现", r"返回\d+共", r"作为示例", r"以便(?:员工|同事)", r"提示“", r"初稿(?:里|中)?使用",
 )
