@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 
 from sentrail.functions import canon, scalars
 from sentrail.functions.times import coerce_ts
-from sentrail.operators import bitslice, folds, predicates, relational, rules, shred, temporal
+from sentrail import session
+from sentrail.operators import bitslice, folds, predicates, relational, rules, shred, temporal, vectors
 from sentrail.operators.entity_features import feature_cells, feature_table
 from sentrail.operators.ordinals import with_ordinals
+from sentrail.operators.scan import pattern_hits
+from sentrail.plans.workbook import Workbook
 from sentrail.sources import files, sinks
 from sentrail.streaming.standing import StandingQueries, fan_out
 
@@ -257,3 +260,56 @@ def test_standing_queries():
     old = made["a"]
     assert s.set({"a": ("2", lambda: start("a"))}) == ["a"] and not old.running and not made["b"].running
     s.stop()
+
+
+def test_pattern_hits(spark):
+    df = spark.createDataFrame([(1, "ab 12 ab 34 ab"), (2, None), (3, ""), (4, "x\x00y")], "id int, text string")
+    got = sorted(map(tuple, pattern_hits(df, "id", "text", {"n": r"\d+", "e": "z*", "h": "0x6162", "z": "\x00"}, hits=2, context=1).collect()))
+    assert got == [(1, "h", 0, 0, "ab", "ab "), (1, "h", 1, 6, "ab", " ab "), (1, "n", 0, 3, "12", " 12 "), (1, "n", 1, 9, "34", " 34 "), (4, "z", 0, 1, "\x00", "x\x00y")]
+    assert pattern_hits(df.limit(0), "id", "text", {"n": "1"}).count() == 0
+
+
+def test_workbook(spark):
+    runs = []
+
+    def numbers(book, upto=3):
+        runs.append(upto)
+        return spark.range(upto)
+
+    book = Workbook(spark).fixed("numbers", numbers).let("twice", lambda b, upto=3: b.use("numbers", upto=upto).selectExpr("id * 2 AS id"))
+    assert book.use("twice").count() == 3 and book.use("twice").count() == 3 and runs == [3]
+    assert book.use("twice", upto=5).count() == 5 and runs == [3, 5]
+    assert {r._source for r in book.call("twice").collect()} == {"twice"}
+    assert book.query("SELECT id FROM {twice} WHERE id > :least", least=1).count() == 2
+    assert book.query("SELECT 1 AS x WHERE :name = 'a'' OR 1=1'", name="b").count() == 0
+    with pytest.raises(KeyError):
+        book.use("nothing")
+
+
+def test_knn_blocks_and_ties(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=(120, 6)).round(2)
+    m[7] = m[9]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)] + [(999, None)], "id long, v array<double>").repartition(5)
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 7)
+    got = {}
+    for r in vectors.knn(rows, rows.filter("id % 5 = 0"), "id", "v", 4).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.row_id))
+    norm = m / np.linalg.norm(m, axis=1)[:, None]
+    for q in range(0, 120, 5):
+        s = norm @ norm[q]
+        want = [i for i in np.lexsort((np.arange(120), -s.round(12))) if i != q][:4]
+        assert [i for _, i in sorted(got[q])] == want
+    assert vectors.knn(rows, rows.limit(0), "id", "v", 4).count() == 0
+
+
+def test_kmeans_step_empty_cluster(spark):
+    df = spark.createDataFrame([([0.0, 0.0],), ([1.0, 1.0],), (None,)], "v array<double>")
+    new, weights, objective = vectors.kmeans_step(df, "v", np.array([[0.5, 0.5], [9.0, 9.0]]), np.array([0.5, 0.5]))
+    assert new.tolist() == [[0.5, 0.5], [0.0, 0.0]] and abs(weights.sum() - 1) < 1e-9 and abs(objective - 0.5) < 1e-9
+
+
+def test_broadcast_only_when_small(spark, monkeypatch):
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 3)
+    plan = lambda n: session.broadcast_if_small(spark.range(n))._jdf.queryExecution().analyzed().toString()
+    assert "broadcast" in plan(3).lower() and "broadcast" not in plan(4).lower()
