@@ -82,3 +82,18 @@ def call_chain(df: DataFrame, child: str, parent: str, max_depth: int = 32) -> D
             return wider
         known, reach = wider, reach * 2
     return known
+
+
+def first_with_rows(*frames: DataFrame) -> DataFrame:
+    """The rows of the first table that has any; all tables have the same columns. None: no rows."""
+    parts = reduce(lambda a, b: a.unionByName(b), [f.withColumn("_branch", F.lit(i)) for i, f in enumerate(frames)])
+    first = parts.agg(F.min("_branch").alias("_branch"))
+    return parts.join(first, "_branch", "left_semi").drop("_branch")
+
+
+def overlay(layers: list[DataFrame], key: str) -> DataFrame:
+    """Rows of several layers by key, the earliest layer that has the key winning; null keys are dropped."""
+    rest = [c for c in layers[0].columns if c != key]
+    parts = reduce(lambda a, b: a.unionByName(b), [f.select(key, *rest).withColumn("_layer", F.lit(i)) for i, f in enumerate(layers)])
+    best = parts.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(F.struct(*rest), "_layer").alias("_r"))
+    return best.select(key, *[F.col(f"_r.{c}").alias(c) for c in rest])

@@ -121,3 +121,21 @@ def fold_grammar(tokens: Column, transitions: dict[tuple[str, str], str], start:
     """The state after reading an array of tokens; 'fail' once a token has no transition."""
     table = F.create_map(*[F.lit(x) for (s, t), n in transitions.items() for x in (f"{s}|{t}", n)])
     return F.aggregate(tokens, F.lit(start), lambda s, t: F.coalesce(F.try_element_at(table, F.concat(s, F.lit("|"), t)), F.lit("fail")))
+
+
+def fitting_templates(templates: DataFrame, actions: list[str]) -> DataFrame:
+    """Templates that share an action with the wanted ones; all of them if none is wanted."""
+    wanted = F.array(*map(F.lit, actions)).cast("array<string>")
+    return templates.filter(F.arrays_overlap("actions", wanted)) if actions else templates
+
+
+def rule_counts(df: DataFrame, rules: list[dict]) -> DataFrame:
+    """rule_id, hits, misses of every rule over the rows, in one aggregation."""
+    total = df.agg(F.count(F.lit(1)).alias("_all"), *[F.count_if(predicate(r)).alias(f"h{i}") for i, r in enumerate(rules)])
+    cases = F.array(*[F.struct(F.lit(r["id"]).alias("rule_id"), F.col(f"h{i}").alias("hits"), (F.col("_all") - F.col(f"h{i}")).alias("misses")) for i, r in enumerate(rules)])
+    return total.select(F.explode(cases).alias("c")).select("c.*")
+
+
+def pushed(rules: DataFrame, agents: DataFrame) -> DataFrame:
+    """rule_id, agent_id of every rule for the agents of its role; a rule without a role goes to none."""
+    return rules.filter("role IS NOT NULL").join(agents, "role").select("rule_id", "agent_id")

@@ -116,3 +116,67 @@ def knn(rows: DataFrame, queries: DataFrame, row_id: str, vector: str, k: int) -
     from sentrail.operators.relational import chain, top_per_group
 
     return top_per_group(chain(*found).drop("_part"), ["query_id"], [F.col("score").desc(), F.col("row_id")], k)
+
+
+def seed_centres(df: DataFrame, vector: str, k: int, seed: int = 42, sample: int = 20_000) -> np.ndarray:
+    """k centres by the k-means++ rule on a bounded sample (by hash of the vector, so reruns agree)."""
+    rows = df.filter(F.col(vector).isNotNull()).select(F.col(vector).alias("v"), F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.to_json(F.struct(vector))), 32).alias("h"))
+    share = int(min(1.0, 1.2 * sample / max(1, df.count())) * (1 << 32))
+    x = np.array([r.v for r in sorted(rows.filter(F.col("h") < share).collect(), key=lambda r: (r.h, list(r.v)))[:sample]], np.float64)
+    if len(x) < k:
+        raise ValueError(f"{len(x)} vectors for {k} centres")
+    rng = np.random.default_rng(seed)
+    centres = [x[rng.integers(len(x))]]
+    d = ((x - centres[0]) ** 2).sum(1)
+    while len(centres) < k:
+        p = d / d.sum() if d.sum() > 0 else None
+        centres.append(x[rng.choice(len(x), p=p)])
+        d = np.minimum(d, ((x - centres[-1]) ** 2).sum(1))
+    return np.array(centres)
+
+
+def calinski_harabasz(df: DataFrame, vector: str, centres: np.ndarray) -> float:
+    """Scatter between clusters against scatter within, by nearest centre; 0 if it isn't defined."""
+    k, d = centres.shape
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, s, q = np.zeros(k), np.zeros((k, d)), 0.0
+        for pdf in batches:
+            x = np.array(pdf[vector].tolist(), np.float64).reshape(len(pdf), d)
+            own = np.stack([((x - c) ** 2).sum(1) for c in centres], 1).argmin(1)
+            np.add.at(n, own, 1)
+            np.add.at(s, own, x)
+            q += (x * x).sum()
+        yield pd.DataFrame({"part": [pickle.dumps((n, s, q))]})
+
+    parts = [pickle.loads(r[0]) for r in df.select(vector).filter(F.col(vector).isNotNull()).mapInPandas(partial, "part binary").collect()]
+    n, s, q = (sum(p[i] for p in parts) for i in range(3))
+    used, total = n > 0, n.sum()
+    if used.sum() < 2 or total <= used.sum():
+        return 0.0
+    of_means = (s[used] ** 2 / n[used][:, None]).sum()
+    between, within = of_means - (s.sum(0) ** 2).sum() / total, q - of_means
+    return float((between / (used.sum() - 1)) / (within / (total - used.sum()))) if within > 0 else 0.0
+
+
+def best_k(df: DataFrame, vector: str, ks: range = range(2, 9), rounds: int = 20) -> tuple[int, dict[int, float]]:
+    """The number of clusters with the highest Calinski-Harabasz score; ties go to the fewest."""
+    scores = {}
+    for k in ks:
+        centres, _, _ = kmeans(df, vector, seed_centres(df, vector, k), rounds)
+        scores[k] = calinski_harabasz(df, vector, centres)
+    return min(scores, key=lambda k: (-scores[k], k)), scores
+
+
+def drifted(df: DataFrame, vector: str, mean: list[float], covariance: list[list[float]], limit: float = 2.5) -> DataFrame:
+    """distance and drifted of each vector from a mean, by the full covariance (its inverse is made once)."""
+    s = np.array(covariance) + 1e-6 * np.eye(len(mean))
+    try:
+        inverse = np.linalg.inv(s)
+    except np.linalg.LinAlgError:
+        inverse = np.eye(len(mean))
+    m = [float(x) for x in mean]
+    diff = F.zip_with(vector, F.array(*map(F.lit, m)), lambda x, y: x.cast("double") - y)
+    rows = F.array(*[F.array(*[F.lit(float(v)) for v in r]) for r in inverse])
+    d2 = dot(diff, F.transform(rows, lambda r: dot(r, diff)))
+    return df.withColumn("distance", F.sqrt(F.when(d2 > 0, d2).otherwise(d2 * 0))).withColumn("drifted", F.col("distance") > limit)

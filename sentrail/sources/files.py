@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import struct
 import zipfile
 from collections.abc import Iterator
 
@@ -98,3 +99,27 @@ def documents_from(*parts: DataFrame) -> DataFrame:
         texts = [F.col(c).cast("string") for c in ("text", "content", "summary") if c in p.columns]
         some.append(p.select(F.coalesce(*texts).alias("text"), F.col("level").cast("string").alias("level")))
     return chain(*some).filter("text IS NOT NULL AND level IS NOT NULL").withColumnRenamed("_part", "origin")
+
+
+def merge_config(base: dict, *files: dict) -> dict:
+    """Settings of several files over a base: a later key replaces an earlier one, tables are merged key by key."""
+    out = dict(base)
+    for f in files:
+        for k, v in f.items():
+            out[k] = {**out[k], **v} if isinstance(v, dict) and isinstance(out.get(k), dict) else v
+    return out
+
+
+def unpack(df: DataFrame, content: str, layout: str, names: list[str], offset: int = 0) -> DataFrame:
+    """Numbers at fixed places of binary content (layout as in Python's struct) as double or long columns.
+
+    Null or too short content gives nulls.
+    """
+    size = struct.calcsize(layout)
+    kinds = ["double" if c in "efd" else "long" for c in layout.lstrip("<>=!@") if c.isalpha() and c != "x"]
+    @F.pandas_udf(f"struct<{', '.join(f'{n}: {k}' for n, k in zip(names, kinds))}>".replace(": long", ": bigint"))
+    def read(raw: pd.Series) -> pd.DataFrame:
+        rows = [struct.unpack_from(layout, r, offset) if r is not None and len(r) >= offset + size else (None,) * len(names) for r in raw]
+        return pd.DataFrame(rows, columns=names).astype({n: "Int64" if k == "long" else "float64" for n, k in zip(names, kinds)})
+
+    return df.withColumn("_u", read(content)).select(*df.columns, *[F.col(f"_u.{n}").alias(n) for n in names])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import time
 import uuid
 from collections import deque
 from collections.abc import Callable, Iterator
@@ -11,6 +12,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sentrail.operators.folds import admit
@@ -113,3 +115,54 @@ def admitted_stream(alerts: DataFrame, key: str, ts: str, row_id: str, limit: in
         yield pd.DataFrame({"id": rows["id"], "admitted": let})
 
     return timed.groupBy("k").applyInPandasWithState(step, f"id {kind[row_id]}, admitted boolean", "times array<double>", "append", GroupStateTimeout.NoTimeout).withColumnRenamed("id", row_id)
+
+
+def interleave(*streams: DataFrame) -> DataFrame:
+    """Several streams as one; columns that one lacks are null."""
+    out = streams[0]
+    for s in streams[1:]:
+        out = out.unionByName(s, allowMissingColumns=True)
+    return out
+
+
+def late_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, seconds: int, late: str) -> DataFrame:
+    """Left rows with right rows of the same key at most `seconds` away, as they come.
+
+    A left row that no right row meets is given out with nulls once the watermark has passed it, so what
+    is remembered stays bounded. right's columns get the prefix r_.
+    """
+    a = left.withColumn("_t", F.col(left_ts).cast("timestamp")).withWatermark("_t", late)
+    b = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns], F.col(right_ts).cast("timestamp").alias("_u")).withWatermark("_u", late)
+    near = (F.col("_u") >= F.col("_t") - F.expr(f"INTERVAL {seconds} SECONDS")) & (F.col("_u") <= F.col("_t") + F.expr(f"INTERVAL {seconds} SECONDS"))
+    return a.join(b, (F.col(key) == F.col(f"r_{key}")) & near, "left_outer").drop("_t", "_u")
+
+
+def ticks(spark: SparkSession, per_second: int = 1) -> DataFrame:
+    """A clock: rows of time, unix and unix_nano."""
+    r = spark.readStream.format("rate").option("rowsPerSecond", per_second).load()
+    return r.select(F.col("timestamp").alias("time"), F.unix_seconds("timestamp").alias("unix"), (F.unix_micros("timestamp") * 1000).alias("unix_nano"))
+
+
+class StallWatch(StreamingQueryListener):
+    """Notes when each stream last moved; stalled(now, limit) names those that stand still longer."""
+
+    def __init__(self, clock: Callable[[], float] = time.time) -> None:
+        self._clock, self.moved, self.ended = clock, {}, {}
+
+    def onQueryStarted(self, event: object) -> None:  # noqa: N802
+        self.moved[event.name or str(event.id)] = self._clock()
+
+    def onQueryProgress(self, event: object) -> None:  # noqa: N802
+        p = event.progress
+        if p.numInputRows:
+            self.moved[p.name or str(p.id)] = self._clock()
+
+    def onQueryIdle(self, event: object) -> None:  # noqa: N802
+        """Nothing to read is no progress."""
+
+    def onQueryTerminated(self, event: object) -> None:  # noqa: N802
+        self.ended[str(event.id)] = event.exception
+
+    def stalled(self, limit_s: float) -> list[str]:
+        now = self._clock()
+        return sorted(n for n, t in self.moved.items() if now - t > limit_s)
