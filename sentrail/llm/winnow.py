@@ -32,8 +32,8 @@ CJK_UNITS = 4
 #: Share of a passage's fingerprints that a document must hold before its hits are extended. A document
 #: with 45 % of a passage in stretches of 23 units or more holds far more than this.
 CANDIDATE_SHARE = 0.2
-#: Passages whose tables one broadcast holds (about 40 MB); more are taken in blocks of as many.
-BLOCK_ITEMS = 20_000
+#: Bytes of passages whose tables one broadcast holds (about 18 times as much); more are taken in blocks.
+BLOCK_BYTES = 2_000_000
 _CHUNK_UNITS = 250_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -172,7 +172,7 @@ def _word_numbers(text: str) -> np.ndarray:
             elif fresh:
                 no, fresh = no + 1, False
             out += [no] * int(weight[c])
-    return np.array(out, np.int64)
+    return np.array(out, np.int32)
 
 
 def passages_of(ids: list[str], texts: list[str]) -> Passages:
@@ -188,9 +188,9 @@ def passages_of(ids: list[str], texts: list[str]) -> Passages:
         hashes = h[lo:hi]
         valid = np.flatnonzero(hashes != _NONE)
         order = valid[np.argsort(hashes[valid], kind="stable")]
-        grams.append((hashes[order], order))
+        grams.append((hashes[order], order.astype(np.int32)))
         numbers = _word_numbers(text)
-        words.append(numbers if len(numbers) == hi - lo else np.arange(hi - lo))
+        words.append(numbers if len(numbers) == hi - lo else np.arange(hi - lo, dtype=np.int32))
         own.append(u.units[lo:hi])
     sieve = np.zeros(1 << 20, bool)
     sieve[(pairs["h"] >> _SHIFT).astype(np.int64)] = True
@@ -280,18 +280,19 @@ def leaked_passages(documents: DataFrame, doc_id: str, text: str, items: DataFra
 
     Null ids, texts and passages match nothing; a passage of fewer than K units has no fingerprint and is
     never found; copies of a document or passage each give their own rows (items of one id and text
-    count once). Empty in, empty out. The passages are the query set: they are read in id order in blocks
-    of BLOCK_ITEMS, each broadcast once and held against all documents. No text is sent through a shuffle.
+    count once). Empty in, empty out. The passages are the query set: they are read in blocks of about
+    BLOCK_BYTES, each broadcast once and held against all documents. No text goes through a shuffle.
     """
     spark = documents.sparkSession
     wanted = items.select(F.col(item_id).cast("string").alias("i"), F.col(passage).alias("p")).dropna().distinct()
-    n = wanted.count()
+    size = wanted.agg(F.sum(F.octet_length("p"))).first()[0] or 0
+    blocks = max(1, -(-size // BLOCK_BYTES))
     docs = documents.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text")).dropna()
     kind = dict(docs.dtypes)["_doc"]
     schema = f"doc {kind}, item string, shared_prints int, share double"
     results = []
-    for block in range(max(1, -(-n // BLOCK_ITEMS))):
-        part = wanted if n <= BLOCK_ITEMS else wanted.filter(F.pmod(F.xxhash64("i", "p"), F.lit(-(-n // BLOCK_ITEMS))) == block)
+    for block in range(blocks):
+        part = wanted if blocks == 1 else wanted.filter(F.pmod(F.xxhash64("i", "p"), F.lit(blocks)) == block)
         rows = sorted(part.collect())
         table = spark.sparkContext.broadcast(pickle.dumps(passages_of([r[0] for r in rows], [r[1] for r in rows])))
 
@@ -307,5 +308,5 @@ def leaked_passages(documents: DataFrame, doc_id: str, text: str, items: DataFra
     out = results[0]
     for r in results[1:]:
         out = out.unionByName(r)
-    best = out if n == 0 else out.groupBy("doc", "item").agg(F.max("shared_prints").alias("shared_prints"), F.max("share").alias("share"))
+    best = out.groupBy("doc", "item").agg(F.max("shared_prints").alias("shared_prints"), F.max("share").alias("share"))
     return best.select(F.col("doc").alias(doc_id), F.col("item").alias(item_id), "shared_prints", "share")

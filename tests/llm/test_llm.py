@@ -276,7 +276,7 @@ def test_winnowing_guarantee():
 
 
 def test_blocks_of_passages(spark, monkeypatch):
-    monkeypatch.setattr(winnow, "BLOCK_ITEMS", 1)
+    monkeypatch.setattr(winnow, "BLOCK_BYTES", 60)
     assert set(shares(spark, [ITEM, ZH])) == {(0, "i1"), (1, "i2")}
 
 
@@ -313,6 +313,8 @@ def test_segments():
     joined = "\n".join(texts) + "\n"
     assert [joined[a:b].strip() for a, b in s.spans[:3]] == ["First line", "Second one.", "Third!"]
     assert np.bincount(s.texts, minlength=4).tolist() == [3, 0, 3, 1]
+    long = residue.segments_of(["word " * 1000])
+    assert len(long.starts) == -(-1000 // residue.LONG_SEGMENT) and long.spans[0, 0] == 0 and long.spans[-1, 1] >= 4999
     assert len(residue.segments_of(["", " \n"]).starts) == 0
 
 
