@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sentrail.functions.canon import LEVELS, level_key, machine_key, type_key
 from sentrail.operators.bitslice import entity_cells
-from sentrail.operators.ordinals import with_ordinals
+from sentrail.operators.ordinals import counted_ordinals
 from sentrail.session import broadcast_if_small
 
 _LEVELS = (*LEVELS, "none")
@@ -21,9 +21,9 @@ def feature_cells(events: DataFrame, machines: DataFrame, catalog: DataFrame, st
     earliest time hold. Null event_ids can't be told apart and are dropped. total_steps adds
     metadata['step'] (missing, negative or unreadable: 0). Spelling is folded on every side; extra columns are ignored.
     """
-    entities = with_ordinals(machines.select(F.col("vm_id").alias("vm_name")).dropna().distinct(), "vm_name")
+    entities, n_entities = counted_ordinals(machines.select(F.col("vm_id").alias("vm_name")).dropna().distinct(), "vm_name")
     by_key = entities.select(machine_key(F.col("vm_name")).alias("vm_key"), "ordinal").dropna().groupBy("vm_key").agg(F.min("ordinal").alias("ordinal"))
-    types = with_ordinals(catalog.select(F.col("event_type").alias("type_name")).dropna().distinct(), "type_name", "type_no")
+    types, n_types = counted_ordinals(catalog.select(F.col("event_type").alias("type_name")).dropna().distinct(), "type_name", "type_no")
     type_by_key = types.select(type_key(F.col("type_name")).alias("type_key"), "type_no").dropna().groupBy("type_key").agg(F.min("type_no").alias("type_no"))
     ts = F.col("timestamp")
     level = level_key(F.col("sensitivity_level"))
@@ -31,15 +31,15 @@ def feature_cells(events: DataFrame, machines: DataFrame, catalog: DataFrame, st
     rows = (
         events.filter(F.col("event_id").isNotNull() & (ts >= F.lit(start).cast("timestamp")) & (ts < F.lit(end).cast("timestamp")))
         .select("event_id", machine_key(F.col("vm_id")).alias("vm_key"), type_key(F.col("event_type")).alias("type_key"), F.coalesce(F.substring(level, 2, 1).cast("int") - 1, F.lit(len(LEVELS))).alias("level_no"), F.unix_seconds(ts).alias("ts"), F.greatest(step, F.lit(0)).alias("measure"))
-        .join(broadcast_if_small(by_key), "vm_key")
-        .join(broadcast_if_small(type_by_key), "type_key")
+        .join(broadcast_if_small(by_key, n_entities), "vm_key")
+        .join(broadcast_if_small(type_by_key, n_types), "type_key")
     )
     packed = F.shiftleft(F.col("type_no"), 43) + F.shiftleft(F.col("level_no").cast("long"), 40) + F.col("ordinal")
     once = rows.groupBy("event_id").agg(F.min(packed).alias("packed"), F.min("ts").alias("ts"), F.min("measure").alias("measure"))
     cells = entity_cells(once.select(F.shiftright("packed", 40).cast("int").alias("cell"), F.col("packed").bitwiseAND(F.lit((1 << 40) - 1)).alias("ordinal"), "ts", "measure"))
     return (
-        cells.join(broadcast_if_small(entities), "ordinal")
-        .join(broadcast_if_small(types), F.shiftright("cell", 3) == F.col("type_no"))
+        cells.join(broadcast_if_small(entities, n_entities), "ordinal")
+        .join(broadcast_if_small(types, n_types), F.shiftright("cell", 3) == F.col("type_no"))
         .select(F.col("vm_name").alias("vm_id"), F.col("type_name").alias("event_type"), F.element_at(F.array(*map(F.lit, _LEVELS)), F.col("cell").bitwiseAND(7) + 1).alias("sensitivity_level"), "n_events", F.col("total").alias("total_steps"), "last_seen")
     )
 

@@ -9,7 +9,12 @@ from sentrail.session import cut
 
 
 def with_ordinals(df: DataFrame, key: str, out: str = "ordinal") -> DataFrame:
-    """Add the 0-based rank of each row by key (unique, null keys dropped; empty in, empty out).
+    """Add the 0-based rank of each row by key (unique, null keys dropped; empty in, empty out)."""
+    return counted_ordinals(df, key, out)[0]
+
+
+def counted_ordinals(df: DataFrame, key: str, out: str = "ordinal") -> tuple[DataFrame, int]:
+    """with_ordinals and the number of its rows.
 
     Range-sorted partitions number their own rows; only the partitions' row counts reach the driver.
     """
@@ -21,7 +26,7 @@ def with_ordinals(df: DataFrame, key: str, out: str = "ordinal") -> DataFrame:
         starts[p] = total
         total += n
     if not starts:
-        return ranged.withColumn(out, F.lit(0).cast("long")).drop("_mid")
+        return ranged.withColumn(out, F.lit(0).cast("long")).drop("_mid"), 0
     offsets = df.sparkSession.createDataFrame(list(starts.items()), "p long, start long")
     within = F.col("_mid") - F.shiftleft(part, 33)
-    return ranged.join(offsets, part == F.col("p")).withColumn(out, F.col("start") + within).drop("_mid", "p", "start")
+    return ranged.join(F.broadcast(offsets), part == F.col("p")).withColumn(out, F.col("start") + within).drop("_mid", "p", "start"), total

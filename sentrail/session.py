@@ -19,6 +19,7 @@ def local_session(cpus: int | str = 8, app: str = "sentrail", memory: str = "8g"
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -52,9 +53,12 @@ def cut(df: DataFrame) -> DataFrame:
 BROADCAST_ROWS = 200_000
 
 
-def broadcast_if_small(df: DataFrame) -> DataFrame:
+def broadcast_if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
     """df marked for broadcast if it is counted to have at most BROADCAST_ROWS rows, else as it is.
 
-    For narrow tables that are cheap to count (cut or read columns); beyond the bound Spark shuffles.
+    For narrow tables that are cheap to count (cut or read columns), or whose rows are known to be at most
+    `rows`; beyond the bound Spark shuffles.
     """
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    if rows is None:
+        rows = df.limit(BROADCAST_ROWS + 1).count()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
