@@ -65,9 +65,19 @@ def parse(payload: object, unwrap: tuple[str, ...]) -> list[dict] | None:
     return roots
 
 
+def _nested(value: object) -> bool:
+    """Whether a value is, or encodes, a list or object. Most values are plain and end here."""
+    kind = type(value)
+    return kind is dict or kind is list or (kind is str and value[:1] in ("[", "{", " ", "\n"))
+
+
 def _edges(obj: dict, label: str, found: set) -> None:
     for key, value in obj.items():
-        child, value = snake(key), _opened(value)
+        child = snake(key)
+        if not _nested(value):
+            found.add((label, child, False, False))
+            continue
+        value = _opened(value)
         repeated = isinstance(value, list)
         for x in value if repeated else [value]:
             x = _opened(x)
@@ -130,7 +140,7 @@ def map_schema(edges: list[tuple[str, str, bool, bool]]) -> Mapping:
 
 
 class _Shredder:
-    def __init__(self, mapping: Mapping, keep: frozenset[str] | None, source: int):
+    def __init__(self, mapping: Mapping, keep: dict[str, frozenset[str] | None] | None, source: int):
         self.mapping, self.keep, self.source, self.rows = mapping, keep, source, []
         self.nodes, self.counts = 0, {}
 
@@ -146,9 +156,16 @@ class _Shredder:
         return node, cols, {}
 
     def fill(self, obj: dict, prefix: str, cols: dict, tab: str, node: int, root: int, positions: dict) -> None:
+        wanted = None if self.keep is None else self.keep.get(tab, frozenset())
         for key, value in obj.items():
-            label, value = snake(key), _opened(value)
-            if label in self.mapping.tables:
+            label = snake(key)
+            table = label in self.mapping.tables
+            if not table and not _nested(value):
+                if value is not None and (wanted is None or prefix + label in wanted):
+                    cols.setdefault(prefix + label, _text(value))
+                continue
+            value = _opened(value)
+            if table:
                 for x in value if isinstance(value, list) else [value]:
                     x = _opened(x)
                     if x is None:
@@ -162,7 +179,7 @@ class _Shredder:
                         own["value"] = _text(x)
             elif isinstance(value, dict):
                 self.fill(value, f"{prefix}{label}.", cols, tab, node, root, positions)
-            elif value is not None:
+            elif value is not None and (wanted is None or prefix + label in wanted):
                 cols.setdefault(prefix + label, _text(value))
 
 
@@ -170,16 +187,16 @@ def _text(x: object) -> str:
     return x if isinstance(x, str) else json.dumps(x, ensure_ascii=False)
 
 
-def shred(records: DataFrame, source_id: str, payload: str, mapping: Mapping, unwrap: tuple[str, ...] = (), keep: tuple[str, ...] | None = None) -> DataFrame:
+def shred(records: DataFrame, source_id: str, payload: str, mapping: Mapping, unwrap: tuple[str, ...] = (), keep: dict[str, tuple[str, ...] | None] | None = None) -> DataFrame:
     """All rows of all tables in one pass, told apart by `tab`.
 
     node numbers a record's elements in reading order; (source_id, node) is the key, (source_id,
     parent_node) in parent_tab the foreign key, root_node the top row. pos counts a table's rows under
     one parent, record_pos those in the record, from 0. cols holds the inlined columns by path. Payloads
     that are null or not complete JSON give one row of table '_rejected'; a null source_id is kept.
-    keep limits the tables that are returned, not what is read.
+    keep limits the tables that are returned, and with names their columns; all is read all the same.
     """
-    kept = frozenset(keep) if keep is not None else None
+    kept = {k: None if v is None else frozenset(v) for k, v in keep.items()} if keep is not None else None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in _ROWS.replace("map<string,string>", "map").split(", ")]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sentrail.functions.times import coerce_ts
@@ -12,7 +12,7 @@ from sentrail.session import table
 UNWRAP = ("record",)
 
 
-def _shredded(spark: SparkSession, d: str, *keep: str) -> DataFrame:
+def _shredded(spark: SparkSession, d: str, keep: dict[str, tuple[str, ...] | None]) -> DataFrame:
     raw = table(spark, d, "raw_sequences").select("record_id", "payload")
     return shred(raw, "record_id", "payload", read_mapping(raw, "record_id", "payload", UNWRAP), UNWRAP, keep)
 
@@ -22,22 +22,27 @@ def _col(name: str) -> Column:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    rows = _shredded(spark, d, "root", "events", "attachments")
-    events = rows.filter("tab = 'events'").select("source_id", "node", "root_node", F.col("record_pos").alias("event_pos"), F.coalesce(_col("event_id"), F.lit("")).alias("event_id"))
-    head = rows.filter("tab = 'root'").select("source_id", F.col("node").alias("root_node"), _col("seq_id").alias("seq_id"))
-    items = rows.filter("tab = 'attachments'").select("source_id", F.col("parent_node").alias("node"), F.col("pos").alias("item_pos"))
-    own = events.join(head, ["source_id", "root_node"])
-    both = own.withColumn("item_pos", F.lit(-1)).unionByName(own.join(items, ["source_id", "node"]))
-    return both.select(F.col("source_id").alias("record_id"), "seq_id", "event_pos", "event_id", "item_pos")
+    """Records are shredded once; one exchange on the record brings each item its event and sequence."""
+    rows = _shredded(spark, d, {"root": ("seq_id",), "events": ("event_id",), "attachments": ()})
+    is_event, is_item = F.col("tab") == "events", F.col("tab") == "attachments"
+    own = rows.select(
+        F.col("source_id").alias("record_id"), "root_node", is_item.alias("is_item"),
+        F.when(is_event, F.col("node")).when(is_item & (F.col("parent_tab") == "events"), F.col("parent_node")).otherwise(-1).alias("event_node"),
+        F.when(F.col("tab") == "root", _col("seq_id")).alias("seq_id"), F.when(is_event, F.col("record_pos")).alias("event_pos"), F.when(is_event, F.coalesce(_col("event_id"), F.lit(""))).alias("event_id"),
+        F.when(is_item, F.col("pos")).otherwise(-1).alias("item_pos"),
+    ).repartition("record_id")
+    whole, event = Window.partitionBy("record_id", "root_node"), Window.partitionBy("record_id", "root_node", "event_node")
+    named = own.select("record_id", "event_node", F.max("seq_id").over(whole).alias("seq_id"), F.max("event_pos").over(event).alias("event_pos"), F.max("event_id").over(event).alias("event_id"), "item_pos")
+    return named.filter("event_node >= 0").drop("event_node")
 
 
 def p1_sequences(spark: SparkSession, d: str) -> DataFrame:
-    rows = _shredded(spark, d, "root")
+    rows = _shredded(spark, d, {"root": None})
     return rows.select(F.col("source_id").alias("record_id"), "node", *[_col(c).alias(c) for c in ("seq_id", "vm_id", "user_role", "channel", "label", "difficulty", "ground_truth")])
 
 
 def p1_events(spark: SparkSession, d: str) -> DataFrame:
-    rows = _shredded(spark, d, "events")
+    rows = _shredded(spark, d, {"events": None})
     return rows.select(
         F.col("source_id").alias("record_id"), "node", "root_node", "parent_tab", "parent_node", F.col("record_pos").alias("event_pos"),
         *[_col(c).alias(c) for c in ("event_id", "vm_id", "user_role", "event_type", "action", "target", "sensitivity_level")],
@@ -46,7 +51,7 @@ def p1_events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_attachments(spark: SparkSession, d: str) -> DataFrame:
-    rows = _shredded(spark, d, "attachments")
+    rows = _shredded(spark, d, {"attachments": None})
     return rows.select(F.col("source_id").alias("record_id"), "node", "root_node", F.col("parent_node").alias("event_node"), F.col("pos").alias("item_pos"), _col("name").alias("name"), _col("bytes").try_cast("long").alias("bytes"), _col("origin.host").alias("origin_host"))
 
 

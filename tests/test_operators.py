@@ -127,7 +127,8 @@ def test_shred(spark):
     assert {r.source_id for r in rows if r.tab == "_rejected"} == {4, 5, 6, 10}
     assert [r.cols["metadata.step"] for r in rows if r.tab == "events" and "metadata.step" in r.cols] == ["1"]
     assert sorted(by[r.source_id, r.parent_node].cols["name"] for r in rows if r.tab == "children") == ["m", "n"]
-    _, few = shredded(spark, payloads, keep=("events",))
+    _, few = shredded(spark, payloads, keep={"events": ("event_id",)})
+    assert {k for r in few for k in r.cols} == {"event_id"}
     assert {r.tab for r in few} == {"events"}
 
 
