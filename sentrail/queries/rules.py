@@ -111,7 +111,7 @@ def gr23_stale(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in list(globals().values()) if callable(f) and getattr(f, "__module__", "") == __name__}
-_GRADED = "SELECT doc_id, CASE WHEN l4 THEN 'L4' WHEN l3 THEN 'L3' WHEN l2 THEN 'L2' ELSE 'L1' END AS grade, round(least(0.5 + 0.1 * (l2::INT + l3::INT + l4::INT), 0.95), 6) AS confidence FROM (SELECT doc_id, " + ", ".join(f"regexp_matches(lower(coalesce(text, '')), '{p}') AS {g.lower()}" for g, p in GRADES) + " FROM documents)"
+_GRADED = "SELECT doc_id, CASE WHEN l4 THEN 'L4' WHEN l3 THEN 'L3' WHEN l2 THEN 'L2' ELSE 'L1' END AS grade, round(least(0.5 + 0.1 * (l2::INT + l3::INT + l4::INT), 0.95)::DOUBLE, 6) AS confidence FROM (SELECT doc_id, " + ", ".join(f"regexp_matches(lower(coalesce(text, '')), '{p}') AS {g.lower()}" for g, p in GRADES) + " FROM documents)"
 _ENTITY = "SELECT doc_id, kind, count(*) AS n, count(DISTINCT e) AS n_distinct FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnest(regexp_extract_all(text, '{p}')) AS e FROM documents" for k, p in ENTITIES.items()) + ") GROUP BY ALL"
 from sentrail.queries.features import level_sql  # noqa: E402
 
