@@ -28,7 +28,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_collapsed(spark: SparkSession, d: str) -> DataFrame:
     """One event per run, with count and duration."""
-    return _runs(spark, d).select("seq_id", "first_event_id", "base_type", "action_key", "target_key", "n_events", "start_time", "duration_us")
+    return _runs(spark, d).select("seq_id", "first_event_id", "base_type", "action_key", "target_key", "n_events", F.unix_micros("start_time").alias("start_us"), "duration_us")
 
 
 def _machine_groups(machines: DataFrame) -> DataFrame:
@@ -122,11 +122,11 @@ k AS (SELECT seq_id, e."timestamp" AS ts, e.event_id AS event_id, {_TYPE} AS bas
   CASE WHEN e.target IS NULL THEN NULL WHEN {_TYPE} = 'email' THEN coalesce(nullif(regexp_extract({_TEXT}, '[^\\s<>:;,]+@[^\\s<>;,]+'), ''), {_TEXT})
   WHEN {_TYPE} = 'http' THEN regexp_replace({_PAGE}, '/$', '') WHEN {_TYPE} = 'device' THEN regexp_replace({_LEAF}, '[\\s_-]+', '_', 'g') ELSE {_LEAF} END AS target_key FROM y),
 b AS (SELECT *, row_number() OVER w AS pos, row_number() OVER (PARTITION BY seq_id, base_type, action_key, target_key ORDER BY ts NULLS FIRST, event_id NULLS FIRST) AS same FROM k WINDOW w AS (PARTITION BY seq_id ORDER BY ts NULLS FIRST, event_id NULLS FIRST)),
-r AS (SELECT seq_id, base_type, action_key, target_key, pos - same AS run, min_by(event_id, pos) AS first_event_id, count(*) AS n_events, min(ts) AS start_time, epoch_us(max(ts)) - epoch_us(min(ts)) AS duration_us FROM b GROUP BY ALL)
+r AS (SELECT seq_id, base_type, action_key, target_key, pos - same AS run, min_by(event_id, pos) AS first_event_id, count(*) AS n_events, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) - epoch_us(min(ts)) AS duration_us FROM b GROUP BY ALL)
 """
 ORACLES = {
     "p2_found": _P2 + "SELECT seq_id, first_event_id, n_events FROM r WHERE n_events >= 2",
-    "p2_collapsed": _P2 + "SELECT seq_id, first_event_id, base_type, action_key, target_key, n_events, start_time, duration_us FROM r",
+    "p2_collapsed": _P2 + "SELECT seq_id, first_event_id, base_type, action_key, target_key, n_events, start_us, duration_us FROM r",
     "p3_found": _P3 + f"SELECT s.seq_id, min(g.group_vm_id) AS group_vm_id FROM op_sequences s JOIN m ON m.k = {machine_sql('s.vm_id')} JOIN g ON g.vm_id = m.vm_id WHERE s.seq_id IS NOT NULL GROUP BY s.seq_id",
     "p4_found": _P4 + f"SELECT {', '.join(CATEGORY)} FROM q WHERE available < wanted",
     "p4_report": _P4 + f"SELECT {', '.join(CATEGORY)}, target_bp, available, wanted, least(available, wanted) AS taken, available >= wanted AS met FROM q",
