@@ -1,9 +1,10 @@
 """Groups of records tied by shared keys, and splits that keep groups whole.
 
-Distributed union-find: each task builds a local forest over its links, a node's roots from different
-tasks are tied to the smallest of them, and the much smaller graph of roots goes through the same step
-with a quarter of the tasks, until no ties are left or few enough for one forest. Nodes that end in one
-level are resolved by joins on the way back. Only the count of ties reaches the driver.
+Distributed union-find: each task builds a local forest over its links and passes on one link per node, to
+the node's root. Few links (LAST_FOREST_LINKS) are merged into one forest. More are merged in rounds: every
+node is tied to the smallest neighbour of its neighbours (large star, then small star, by grouped minima),
+and the tasks' local forests shorten the result, until all links are stars. The rounds grow with the
+logarithm of the nodes; only counts reach the driver.
 """
 
 from __future__ import annotations
@@ -43,6 +44,13 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return names, names[root]
 
 
+def _whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One forest over all links of the task: at most LAST_FOREST_LINKS."""
+    both = pd.concat(list(batches))
+    names, roots = _forest(both["a"].to_numpy(object).astype(str), both["b"].to_numpy(object).astype(str))
+    yield pd.DataFrame({"node": names, "root": roots})
+
+
 def _local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     held, n = [], 0
 
@@ -64,31 +72,43 @@ def _local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield flush()
 
 
-def components(links: DataFrame, a: str, b: str, tasks: int | None = None) -> DataFrame:
+def _pairs(df: DataFrame) -> DataFrame:
+    """Links as (a, b) with a > b, each once."""
+    return df.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def _star_round(links: DataFrame) -> DataFrame:
+    """Large star, then small star, over links a > b. Grouped minima are combined before the shuffle."""
+    both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+    large = _pairs(both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")))
+    lowest = large.groupBy("a").agg(F.min("b").alias("m"))
+    small = large.join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(lowest.select("a", F.col("m").alias("b")))
+    return _pairs(small)
+
+
+def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """node, root: every node of the links with the smallest node (as text) tied to it.
 
     Links with a null end are dropped; repeated links, self-links and cycles are allowed; empty in, empty
-    out. A node with a third of all links costs one row per task after the local forests.
+    out. A node with a third of all links is spread over all tasks: each sends its part's forest, and minima
+    are combined before any shuffle.
     """
-    tasks = tasks or int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    todo = cut(links.select(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b")).dropna().distinct())
-    levels = []
-    while True:
-        n = todo.count()
-        if n <= LAST_FOREST_LINKS:
-            tasks = 1
-        forest = cut(todo.coalesce(tasks).mapInPandas(_local, "node string, root string").distinct())
-        if tasks == 1 and n <= LAST_FOREST_LINKS:
-            known = forest
+    named = links.select(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b")).dropna()
+    alone = named.filter("a = b").select("a").distinct()
+    todo = cut(_pairs(named))
+    while (n := todo.count()) > LAST_FOREST_LINKS:
+        shorter = todo.mapInPandas(_local, "node string, root string").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        todo = cut(_star_round(_pairs(shorter)))
+        stars = todo.join(todo.select(F.col("b").alias("a")).distinct(), "a", "left_semi").limit(1).count() == 0
+        if stars and todo.select("a").distinct().count() == todo.count():
+            roots = todo.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            known = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
             break
-        least = forest.groupBy("node").agg(F.min("root").alias("least"))
-        levels.append(cut(least))
-        todo = cut(forest.join(levels[-1], "node").filter("root <> least").select(F.col("root").alias("a"), F.col("least").alias("b")).distinct())
-        tasks = max(1, tasks // 4)
-    for least in reversed(levels):
-        top = known.select(F.col("node").alias("least"), F.col("root").alias("top"))
-        known = least.join(top, "least", "left").select("node", F.coalesce("top", "least").alias("root"))
-    return known
+    else:
+        known = cut(todo.coalesce(1).mapInPandas(_whole, "node string, root string")) if n else todo.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    single = alone.select(F.col("a").alias("node"), F.col("a").alias("root"))
+    return known.unionByName(single.join(known.select("node"), "node", "left_anti"))
 
 
 def assign_splits(groups: DataFrame, group: str, size: str, shares: dict[str, float], heavy_share: float = 1e-4, buckets: int = 10_000) -> DataFrame:

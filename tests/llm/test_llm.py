@@ -74,12 +74,13 @@ def test_runs_for_any_chunk(spark, chunk):
 # Components and splits
 
 
-@pytest.mark.parametrize("last,tasks", [(10**6, 4), (0, 8)])
-def test_components(spark, monkeypatch, last, tasks):
-    """Both as one forest and through the levels of contracted graphs."""
-    monkeypatch.setattr(C, "LAST_FOREST_LINKS", max(last, 1))
+@pytest.mark.parametrize("last,local", [(10**6, 10**6), (1, 10**6), (1, 20)])
+def test_components(spark, monkeypatch, last, local):
+    """As one forest, and in rounds of stars with large and small local forests."""
+    monkeypatch.setattr(C, "LAST_FOREST_LINKS", last)
+    monkeypatch.setattr(C, "LOCAL_LINKS", local)
     rng = random.Random(2)
-    links = [(f"n{rng.randrange(300):03d}", f"n{rng.randrange(300):03d}") for _ in range(170)] + [(None, "n1"), ("hub", "n000")] + [("hub", f"leaf{i}") for i in range(50)]
+    links = [(f"n{rng.randrange(300):03d}", f"n{rng.randrange(300):03d}") for _ in range(170)] + [(None, "n1"), ("hub", "n000")] + [("hub", f"leaf{i}") for i in range(50)] + [(f"path{i:02d}", f"path{i + 1:02d}") for i in range(60)] + [("self", "self"), ("hub", "hub")]
     parent = {}
 
     def find(x):
@@ -92,7 +93,7 @@ def test_components(spark, monkeypatch, last, tasks):
         if a and b:
             x, y = find(a), find(b)
             parent[max(x, y)] = min(x, y)
-    got = {r.node: r.root for r in C.components(spark.createDataFrame(links, "a string, b string"), "a", "b", tasks).collect()}
+    got = {r.node: r.root for r in C.components(spark.createDataFrame(links, "a string, b string").repartition(6), "a", "b").collect()}
     assert got == {x: find(x) for x in parent}
 
 
