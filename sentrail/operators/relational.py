@@ -97,3 +97,18 @@ def overlay(layers: list[DataFrame], key: str) -> DataFrame:
     parts = reduce(lambda a, b: a.unionByName(b), [f.select(key, *rest).withColumn("_layer", F.lit(i)) for i, f in enumerate(layers)])
     best = parts.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(F.struct(*rest), "_layer").alias("_r"))
     return best.select(key, *[F.col(f"_r.{c}").alias(c) for c in rest])
+
+
+def hash_rank(df: DataFrame, group: str, row_id: str, out: str = "rank") -> DataFrame:
+    """Rank from 1 of each row within its group, in md5 order of the unique row_id.
+
+    Ranks are made per slot of the hash's first 12 bits and moved by the counts of the slots before, so
+    a group that holds most rows is ranked by many tasks.
+    """
+    h = F.md5(F.col(row_id).cast("string"))
+    rows = df.withColumn("_h", h).withColumn("_slot", F.substring("_h", 1, 3))
+    slots = rows.groupBy(group, "_slot").agg(F.count(F.lit(1)).alias("_n"))
+    before = slots.withColumn("_before", F.sum("_n").over(Window.partitionBy(group).orderBy("_slot")) - F.col("_n")).select(F.col(group).alias("_g"), F.col("_slot").alias("_s"), "_before")
+    inside = rows.withColumn("_r", F.row_number().over(Window.partitionBy(group, "_slot").orderBy("_h", row_id)))
+    joined = inside.join(before, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_slot") == F.col("_s")))
+    return joined.withColumn(out, (F.col("_before") + F.col("_r")).cast("int")).drop("_h", "_slot", "_g", "_s", "_before", "_r")

@@ -26,14 +26,18 @@ def interval_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, rig
 def recent_history(events: DataFrame, is_trigger: Column, is_history: Column, key: str, ts: str, order: str, max_rows: int, max_age_s: int) -> DataFrame:
     """Trigger rows with the last max_rows history rows of their key no older than max_age_s.
 
-    recent holds their `order` values, oldest first. One window per key: a bounded array, no self-join.
+    recent holds their `order` values, oldest first. Time is cut into buckets of max_age_s; a history row
+    goes to its own and the next bucket, so a hot key is spread over its buckets and needs no self-join.
     """
-    w = Window.partitionBy(key).orderBy(seconds_of(ts)).rangeBetween(-max_age_s, 0)
-    before = F.when(is_history, F.struct(F.col(ts).alias("t"), F.col(order).alias("o")))
-    rows = events.withColumn("_h", F.array_sort(F.collect_list(before).over(w)))
+    bucket = F.floor(seconds_of(ts) / max_age_s)
+    copies = F.when(F.coalesce(is_history, F.lit(False)), F.array(bucket, bucket + 1)).otherwise(F.array(bucket))
+    rows = events.withColumns({"_trigger": F.coalesce(is_trigger, F.lit(False)), "_past": F.coalesce(is_history, F.lit(False)), "_home": bucket}).withColumn("_bucket", F.explode(copies))
+    w = Window.partitionBy(key, "_bucket").orderBy(seconds_of(ts)).rangeBetween(-max_age_s, 0)
     own = F.struct(F.col(ts).alias("t"), F.col(order).alias("o"))
+    held = rows.withColumn("_h", F.array_sort(F.collect_list(F.when(F.col("_past"), own)).over(w)))
     kept = F.filter("_h", lambda h: h < own)
-    return rows.filter(is_trigger).select(*events.columns, F.transform(F.slice(kept, -F.least(F.lit(max_rows), F.greatest(F.size(kept), F.lit(1))), max_rows), lambda h: h["o"]).alias("recent"))
+    last = F.slice(kept, -F.least(F.lit(max_rows), F.greatest(F.size(kept), F.lit(1))), max_rows)
+    return held.filter(F.col("_trigger") & (F.col("_bucket") == F.col("_home"))).select(*events.columns, F.transform(last, lambda h: h["o"]).alias("recent"))
 
 
 def sliding_count(events: DataFrame, key: str, ts: str, seconds: int, where: Column | None = None) -> Column:

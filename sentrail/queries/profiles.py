@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sentrail.functions.scalars import sigmoid
 from sentrail.operators import vectors as V
 from sentrail.operators.metrics import class_report, fleiss, mcnemar, youden
+from sentrail.operators.relational import hash_rank
 from sentrail.session import table
 
 #: Centres of these queries: the vectors with the smallest ids, cut to the first dimensions.
@@ -145,17 +146,15 @@ def ev3_fleiss(spark: SparkSession, d: str) -> DataFrame:
 
 def ev4_folds(spark: SparkSession, d: str) -> DataFrame:
     """Stratified 5 folds of documents by type, in hash order."""
-    t = table(spark, d, "documents").select("doc_id", "doc_type")
-    r = F.row_number().over(Window.partitionBy("doc_type").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id"))
-    return t.select("doc_id", ((r - 1) % 5).alias("fold"))
+    t = hash_rank(table(spark, d, "documents").select("doc_id", "doc_type"), "doc_type", "doc_id")
+    return t.select("doc_id", ((F.col("rank") - 1) % 5).alias("fold"))
 
 
 def ev5_quotas(spark: SparkSession, d: str) -> DataFrame:
     """At most 18, 22, 12 documents of three types, in hash order (a sampling operator)."""
     q = spark.createDataFrame([("memo", 18), ("policy", 22), ("mail", 12)], "doc_type string, quota int")
-    t = table(spark, d, "documents").select("doc_id", "doc_type").join(q, "doc_type")
-    r = F.row_number().over(Window.partitionBy("doc_type").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id"))
-    return t.withColumn("r", r).filter("r <= quota").select("doc_id", "doc_type")
+    t = hash_rank(table(spark, d, "documents").select("doc_id", "doc_type"), "doc_type", "doc_id").join(q, "doc_type")
+    return t.filter("rank <= quota").select("doc_id", "doc_type")
 
 
 def ag31_report(spark: SparkSession, d: str) -> DataFrame:
