@@ -36,6 +36,7 @@ SHORT_TEXT_TOKENS = 60
 _CHUNK_POINTS = 250_000
 FEATURES = 6  # per token
 LONG_SEGMENT = 150
+PIECE_CHARS = 500_000
 
 # Notations of unfilled placeholders.
 PLACEHOLDER = re.compile(
@@ -262,6 +263,23 @@ def fit(s: Segments, labels: np.ndarray) -> tuple[np.ndarray, float]:
     return w.astype(np.float32), float(bias)
 
 
+def pieces_of(texts: list[str]) -> tuple[list[str], np.ndarray]:
+    """Texts in pieces of at most PIECE_CHARS, cut after a line or blank, and the text number of each piece."""
+    out, of = [], []
+    for i, t in enumerate(texts):
+        at = 0
+        while len(t) - at > PIECE_CHARS:
+            end = at + PIECE_CHARS
+            cut_at = max(t.rfind("\n", at, end), t.rfind(" ", end - 1000, end)) + 1
+            end = cut_at if cut_at > at + PIECE_CHARS // 2 else end
+            out.append(t[at:end])
+            of.append(i)
+            at = end
+        out.append(t[at:])
+        of.append(i)
+    return out, np.array(of, np.int64)
+
+
 def chunks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
     first, size = 0, 0
     for i, t in enumerate(texts):
@@ -349,23 +367,20 @@ def residue(documents: DataFrame, doc_id: str, text: str, model: Model) -> DataF
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weights, bias = table.value
         for pdf in batches:
-            ids, texts = pdf["doc"].tolist(), [t.replace("\x00", " ") for t in pdf["text"]]
-            out = []
+            ids = pdf["doc"].tolist()
+            texts, of = pieces_of([t.replace("\x00", " ") for t in pdf["text"]])
+            n_segments, by = np.zeros(len(ids), np.int64), {}
             for first, some in chunks(texts):
                 seg = segments_of(some)
                 z = scores(seg, weights, bias)
-                hits = np.flatnonzero(z > DOUBTFUL)
-                if not len(hits):
-                    continue
+                np.add.at(n_segments, of[first + seg.texts], 1)
                 joined = "\n".join(some) + "\n"
-                sizes = np.bincount(seg.texts, minlength=len(some))
-                by: dict[int, list[tuple[float, str]]] = {}
-                for i in hits.tolist():
+                for i in np.flatnonzero(z > DOUBTFUL).tolist():
                     a, b = seg.spans[i]
                     own = joined[a:b].strip()
                     if weak_label(own) or (z[i] > SURE and not MENTION.search(own.lower())):
-                        by.setdefault(int(seg.texts[i]), []).append((float(z[i]), own))
-                out += [(ids[first + k], int(sizes[k]), len(v), *max(v)) for k, v in by.items()]
+                        by.setdefault(int(of[first + seg.texts[i]]), []).append((float(z[i]), own))
+            out = [(ids[k], int(n_segments[k]), len(v), *max(v)) for k, v in by.items()]
             if out:
                 yield pd.DataFrame(out, columns=["doc", "n_segments", "n_flagged", "score", "example"])
 

@@ -35,6 +35,8 @@ CANDIDATE_SHARE = 0.2
 #: Bytes of passages whose tables one broadcast holds (about 18 times as much); more are taken in blocks.
 BLOCK_BYTES = 2_000_000
 _CHUNK_UNITS = 250_000
+#: Positions hashed at a time, so that a very long text needs no more memory than many short ones.
+_SLICE = 1_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -101,42 +103,53 @@ def units_of(texts: list[str]) -> Units:
     return Units(np.repeat(codes, reps), starts)
 
 
-def kgram_hashes(u: Units) -> np.ndarray:
-    """Hash of the K units from each position on; _NONE where they would cross a text's end."""
-    n = len(u.units)
-    out = np.full(n, _NONE, np.uint64)
-    if n < K:
-        return out
+def _hashes(units: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         b2 = _BASE * _BASE
         b4 = b2 * b2
-        h1 = u.units.astype(np.uint64) + np.uint64(1)
+        n = len(units) - K + 1
+        h1 = units.astype(np.uint64) + np.uint64(1)
         h2 = h1[:-1] + h1[1:] * _BASE
         h4 = h2[:-2] + h2[2:] * b2
         h8 = h4[:-4] + h4[4:] * b4
-        h = h8[: n - K + 1] + h4[8 : 8 + n - K + 1] * (b4 * b4)
+        h = h8[:n] + h4[8 : 8 + n] * (b4 * b4)
         h ^= h >> np.uint64(31)
         h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(29)
-    out[: n - K + 1] = h
+        return h ^ (h >> np.uint64(29))
+
+
+def kgram_hashes(u: Units) -> np.ndarray:
+    """Hash of the K units from each position on; _NONE where they would cross a text's end."""
+    n = len(u.units)
+    out = np.full(n, _NONE, np.uint64)
+    for lo in range(0, n - K + 1, _SLICE):
+        part = u.units[lo : lo + _SLICE + K - 1]
+        out[lo : lo + len(part) - K + 1] = _hashes(part)
     for end in u.starts[1:]:
         out[max(0, end - K + 1) : end] = _NONE
     return out
 
 
-def winnowed(h: np.ndarray) -> np.ndarray:
-    """Positions that hold the smallest hash of some window of WINDOW positions (ties: all of them)."""
-    n = len(h)
-    padded = np.r_[np.full(WINDOW - 1, _NONE), h, np.full(WINDOW - 1, _NONE)]
-    low, width = padded, 1
-    while width < WINDOW:
-        low = np.minimum(low[:-width], low[width:])
-        width *= 2
-    high, width = low, 1
+def _slid(f: np.ufunc, x: np.ndarray) -> np.ndarray:
+    """f over every WINDOW neighbours (a power of two)."""
+    width = 1
     while width < WINDOW:
-        high = np.maximum(high[:-width], high[width:])
+        x = f(x[:-width], x[width:])
         width *= 2
-    return np.flatnonzero((h == high[:n]) & (h != _NONE))
+    return x
+
+
+def winnowed(h: np.ndarray) -> np.ndarray:
+    """Positions that hold the smallest hash of some window of WINDOW positions (ties: all of them)."""
+    edge = np.full(WINDOW - 1, _NONE)
+    found = []
+    for lo in range(0, len(h), _SLICE):
+        a, b = max(0, lo - WINDOW + 1), min(len(h), lo + _SLICE + WINDOW - 1)
+        own = h[a:b]
+        high = _slid(np.maximum, _slid(np.minimum, np.r_[edge, own, edge]))[: len(own)]
+        at = np.flatnonzero((own == high) & (own != _NONE)) + a
+        found.append(at[(at >= lo) & (at < lo + _SLICE)])
+    return np.concatenate(found) if found else np.empty(0, np.int64)
 
 
 @dataclass

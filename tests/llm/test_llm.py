@@ -340,3 +340,20 @@ def test_residue_cases(spark):
     assert {r.doc_id for r in residue.residue(docs, "doc_id", "text", model).collect()} == {5, 6}
     none = residue.train(docs.limit(0), "text", "source")
     assert residue.residue(docs.limit(0), "doc_id", "text", none).count() == 0
+
+
+def test_pieces_are_the_text():
+    t = "line one\n" + "word " * 300_000 + "x" * 1_200_000
+    parts, of = residue.pieces_of(["a", t, ""])
+    assert "".join(p for p, i in zip(parts, of) if i == 1) == t and max(map(len, parts)) <= residue.PIECE_CHARS and of.tolist() == sorted(of.tolist())
+
+
+def test_slices_change_nothing(monkeypatch):
+    rng = random.Random(12)
+    u = winnow.units_of(["".join(rng.choices("abcdefghijk", k=n)) for n in (5, 300, 0, 1000, 13)])
+    h = winnow.kgram_hashes(u)
+    at = winnow.winnowed(h)
+    monkeypatch.setattr(winnow, "_SLICE", 37)
+    assert (winnow.kgram_hashes(u) == h).all() and (winnow.winnowed(h) == at).all()
+    naive = sorted({j for i in range(-winnow.WINDOW + 1, len(h)) for w in [range(max(0, i), min(len(h), i + winnow.WINDOW))] for j in w if h[j] == min(h[k] for k in w) and h[j] != winnow._NONE})
+    assert at.tolist() == naive
