@@ -93,3 +93,23 @@ def test_stall_watch():
 
 def test_ticks_is_a_stream(spark):
     assert standing.ticks(spark).isStreaming
+
+
+def test_hash_rank_is_a_plain_rank(spark):
+    df = spark.createDataFrame([(i, "a" if i % 3 else None) for i in range(2000)], "id int, g string")
+    got = {r.id: r.rank for r in relational.hash_rank(df, "g", "id").collect()}
+    import hashlib
+
+    for g in ("a", None):
+        own = sorted((hashlib.md5(str(i).encode()).hexdigest(), i) for i in range(2000) if ("a" if i % 3 else None) == g)
+        assert [got[i] for _, i in own] == list(range(1, len(own) + 1))
+
+
+def test_recent_history_across_buckets(spark):
+    from sentrail.operators.temporal import recent_history
+
+    rows = [(i, s, s % 3 == 0) for i, s in enumerate([0, 1, 59, 60, 61, 119, 120, 180, 181])]
+    df = spark.createDataFrame(rows, "id int, s int, trig boolean").withColumn("t", F.timestamp_seconds("s")).withColumn("k", F.lit("x"))
+    got = {r.id: list(r.recent) for r in recent_history(df, F.col("trig"), ~F.col("trig"), "k", "t", "id", 2, 60).collect()}
+    want = {i: [j for j, u, h in rows if not h and s - 60 <= u and (u, j) < (s, i)][-2:] for i, s, h in rows if h}
+    assert got == want
