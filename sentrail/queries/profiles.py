@@ -59,7 +59,7 @@ def cl5_kmeans(spark: SparkSession, d: str) -> DataFrame:
 def cl7_silhouette(spark: SparkSession, d: str) -> DataFrame:
     """Mean silhouette of the vectors whose id is divisible by 20, each against all vectors, by label.
 
-    The query set is broadcast in blocks; a task adds up distances per query and cluster only.
+    The query set is small against the rows; a task adds up distances per query and cluster only.
     """
     e = _small(spark, d)
     q = e.filter("vec_id % 20 = 0").orderBy("vec_id").collect()
@@ -68,11 +68,14 @@ def cl7_silhouette(spark: SparkSession, d: str) -> DataFrame:
     def sums(batches):
         import pandas as pd
 
+        mm = (m * m).sum(1)
         for pdf in batches:
-            x, own = np.array(pdf["v"].tolist()), pdf["label"].to_numpy()
-            dist = np.sqrt(np.maximum(((m[:, None, :] - x[None, :, :]) ** 2).sum(2), 0))
-            for c in np.unique(own):
-                yield pd.DataFrame({"vec_id": ids, "own": labels, "cluster": int(c), "s": dist[:, own == c].sum(1), "n": int((own == c).sum())})
+            every, labels_of = np.array(pdf["v"].tolist()), pdf["label"].to_numpy()
+            for lo in range(0, len(every), 512):
+                x, own = every[lo : lo + 512], labels_of[lo : lo + 512]
+                dist = np.sqrt(np.maximum(mm[:, None] + (x * x).sum(1)[None, :] - 2 * m @ x.T, 0))
+                for c in np.unique(own):
+                    yield pd.DataFrame({"vec_id": ids, "own": labels, "cluster": int(c), "s": dist[:, own == c].sum(1), "n": int((own == c).sum())})
 
     s = e.mapInPandas(sums, "vec_id long, own int, cluster int, s double, n long").groupBy("vec_id", "own", "cluster").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     ab = s.groupBy("vec_id").agg(F.max(F.when(F.col("own") == F.col("cluster"), F.col("s") / F.greatest(F.col("n") - 1, F.lit(1)))).alias("a"), F.min(F.when(F.col("own") != F.col("cluster"), F.col("s") / F.col("n"))).alias("b"))
