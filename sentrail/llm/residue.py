@@ -43,9 +43,9 @@ PLACEHOLDER = re.compile(
     "|".join(
         (
             r"\{\{[^{}\n]{1,60}\}\}", r"\{%[^%{}\n]{1,60}%\}", r"<%=?[^%\n]{1,60}%>", r"\$\{[^{}\n]{1,60}\}", r"%%[^%\n]{1,40}%%", r"@@[^@\n]{1,40}@@",
-            r"#[A-Z][A-Za-z._ \-]{2,30}[0-9]?#", r"#[一-鿿]{2,8}#", r"<<[^<>\n]{1,40}>>", r"«[^«»\n]{1,40}»", r"\[\[[^\[\]\n]{1,40}\]\]", r"__[A-Za-z一-鿿][\w.\- ]{0,40}__",
-            r"%\([^()\n]{1,40}\)[sd]", r"\$[A-Z][A-Z._ \-]{2,30}[0-9]?\$", r"(?<![A-Za-z])X{4,}(?![A-Za-z])", r"\[(?i:insert|enter|your|tbd|todo|fill)\b[^\[\]\n]{0,50}\]",
-            r"\[[A-Z][A-Z._ \-]{2,30}[0-9]?\]", r"\([a-z0-9 \-]+ to be (?:supplied|added|confirmed|filled in)\)", r"<your [^<>\n]{1,40}>", r"&lt;[^&\n]{1,40}&gt;", r"(?<!\$)\{[A-Za-z一-鿿][\w.]{1,30}\}",
+            r"#[A-ZÄÖÜ][A-Za-zÄÖÜäöüß._ \-]{2,30}[0-9]?#", r"#[一-鿿]{2,8}#", r"<<[^<>\n]{1,40}>>", r"«[^«»\n]{1,40}»", r"\[\[[^\[\]\n]{1,40}\]\]", r"__[A-Za-z][A-Za-z0-9_.\- ÄÖÜäöüß]{1,40}__", r"__(?:[A-Za-z]+\.)?[一-鿿]{2,8}[0-9]?__",
+            r"%\([^()\n]{1,40}\)[sd]", r"\$[A-ZÄÖÜ][A-ZÄÖÜ._ \-]{2,30}[0-9]?\$", r"(?<![A-Za-z])X{4,}(?![A-Za-z])", r"\[(?i:insert|enter|your|tbd|todo|fill)\b[^\[\]\n]{0,50}\]",
+            r"\[[A-ZÄÖÜ][A-ZÄÖÜ._ \-]{2,30}[0-9]?\]", r"\([a-z0-9 \-]+ to be (?:supplied|added|confirmed|filled in)\)", r"<(?:your|bitte|hier|ihr) [^<>\n]{1,40}>", r"×{3,}", r"\((?:bitte |hier )?[A-Za-zÄÖÜäöüß \-]+ (?:ergänzen|einsetzen|einfügen|eintragen|folgt|nachtragen)\)", r"\[(?:bitte |hier )?[A-Za-zÄÖÜäöüß \-]+ (?:ergänzen|einsetzen|einfügen|eintragen|folgt|nachtragen)\]", r"&lt;[^&\n]{1,40}&gt;", r"(?<!\$)\{[A-Za-z一-鿿][\w.\-]{1,30}\}",
             r"[［\[][^［］\[\]\n]{0,20}(?:待补|待填|待定)[^［］\[\]\n]{0,10}[］\]]", r"[\[$#](?:[a-zA-Z]+\.)?[一-鿿]{2,8}[0-9]?[\]$#]", r"<enter [^<>\n]{1,40}>", r"【(?:请填写|此处|待)[^【】\n]{1,20}】", r"[（(](?:此处插入|请填写|待)[^（）()\n]{1,20}[）)]",
         )
     )
@@ -67,7 +67,7 @@ ERROR = _phrases(
     r"too many (?:requests|attempts)", r"unusually many", r"^slow down", r"^come back later", r"^try (?:again )?later", r"^wait \d+ seconds", r"under maintenance", r"(?:server|relay|store|gateway|service|backend|database|upstream) (?:did not answer|took too long|returned an empty|closed the connection)",
     r"(?:enable|activate|allow|turn on|switch on|needs?|requires?|without|lack|supports?|blocks?) (?:java ?script|js\b|scripts?\b|scripting|cookies|active content)", r"(?:java ?script|js|scripts?|scripting|cookies)(?: and \w+)? (?:must be|is|are) (?:on|needed|required|disabled|off|allowed)", r"<noscript>", r"checking (?:your|the) browser", r"browser (?:does not|is not|is out of|in use|blocks)", r"while the page is prepared",
     r"preview is not available", r"download the original to view", r"\bloading\.\.\.|^loading\b", r"^one moment", r"^please wait",
-    r"^traceback \(most", r"^[A-Z][A-Za-z]*(?:Error|Exception):", r'^\s*file "/', r"<error>", r'"(?:error|detail|reason|message)": ?"', r"^nothing to see at",
+    r"^traceback \(most", r"^[A-Z][A-Za-z]*(?:Error|Exception):", r'^\s*file "/', r"<error>", r'"(?:error|detail|reason|message)": ?"', r"^nothing to see at", r"\bERR_[A-Z_]+",
     r"ist abgelaufen\.", r"lässt sich nicht (?:öffnen|laden|anzeigen)", r"(?:Sitzung|Anmeldung|Freigabe|Link|Adresse) wurde (?:beendet|zurückgezogen|entzogen)", r"wird gewartet", r"Fehlende Rechte", r"nicht erreichbar", r"gilt nicht mehr", r"neu anmelden", r"(?:Server|Speicher|Relais) ist überlastet", r"melden Sie sich", r"später erneut", r"Browser (?:blockiert|unterstützt)", r"(?:aktivieren|erlauben) Sie", r"benötigt (?:JavaScript|Skripte|aktive)", r"läuft nur mit", r"nicht (?:dargestellt|geladen|gefunden|angezeigt|geöffnet) werden", r"antwortet nicht", r"Zugriff verweigert", r"keine Berechtigung", r"zu viele Anfragen", r"(?:Seite|Datei|Link|Adresse|Dokument|Ansicht|Akte|Inhalt)\b.*nicht (?:mehr )?(?:gefunden|verfügbar|gültig)",
     r"(?:预览|加载|打开)失败", r"(?:允许|启用|开启) ?(?:JS|JavaScript)", r"转换出错", r"没有(?:权限|授权)", r"无权", r"请(?:重新)?登录", r"连接超时", r"(?:会话|登录|令牌|链接|地址|页面|分享|连接超时|分享)已?(?:超时|过期|失效|撤回)", r"请稍[候后]", r"请联系(?:管理员|分享人)", r"不支持脚本", r"未启用脚本", r"禁用了?脚本", r"(?:开启|允许|启用|运行)脚本", r"允许脚本", r"浏览器版本", r"检测浏览器", r"不存在", r"请求过于频繁", r"操作过于频繁", r"错误码", r"正在维护", r"^加载中", r"无法(?:显示|打开|加载|访问|连接)", r"已被(?:移除|删除|移动)", r"空结果", r"运行脚本",
 )
@@ -81,9 +81,9 @@ FURNITURE = re.compile(r"(?:skip to main content|menu\s+search\s+sign in|corbel
 BLIND_TEXT = frozenset("lorem ipsum dolor amet elit magna aliqua veniam quis enim minim labore tempor incididunt adipiscing consectetur sit sed nostrud eiusmod".split())
 # Stems without which none of the patterns above can match; a cheap test before them.
 STEMS = (
-    "{|<|$|%|@@|#|«|[|［|【|__|xxxx|&lt;|to be supplied|to be added|to be confirmed|to be filled|（此处|（请|（待|(此处|(请|(待|40|41|42|50|denied|permission|right|clearance|authori|request access|ask the owner|administrator|"
+    "{|<|$|×××|(|%|@@|#|«|[|［|【|__|xxxx|&lt;|to be supplied|to be added|to be confirmed|to be filled|（此处|（请|（待|(此处|(请|(待|40|41|42|50|denied|permission|right|clearance|authori|request access|ask the owner|administrator|"
     "can't|cannot|can not|couldn't|could not|unable|not opened|switched off|work properly|revoked|closed|have rights|have the rights|not retrieved|not loaded|not rendered|not displayed|not found|not available|failed|there is no|went wrong|asked for has|link has|no longer|not valid|withdrawn|moved|expired|ended|timed out|sign in|log in|authenticate|please retry|too many|unusually|slow down|come back|later|wait|"
-    "maintenance|did not answer|took too long|returned an empty|closed the connection|script|js|cookies|active content|browser|is prepared|preview|original to view|moment|traceback|error|exception|file \"|\"reason\"|\"detail\"|\"message\"|nothing to see|takes a few|oh no|oops|loading|"
+    "maintenance|did not answer|took too long|returned an empty|closed the connection|script|js|cookies|active content|browser|is prepared|preview|original to view|moment|traceback|error|exception|file \"|\"reason\"|\"detail\"|\"message\"|nothing to see|err_|takes a few|oh no|oops|loading|"
     "abgelaufen|erreichbar|gewartet|fehlende|anmelden|überlastet|sitzung|melden sie|erneut|aktivieren|erlauben|lässt sich|wurde beendet|wurde zurückgezogen|wurde entzogen|benötigt|läuft nur|nicht dargestellt|nicht geladen|nicht gefunden|nicht angezeigt|nicht geöffnet|nicht mehr|nicht verfügbar|nicht gültig|antwortet|verweigert|berechtigung|anfragen|"
     "允许|启用|开启|运行脚本|失败|出错|没有|无权|请登录|请重新|会话|登录|令牌|链接|地址|页面|分享|连接超时|请稍|请联系|脚本|浏览器|不存在|频繁|错误码|维护|加载|无法|已被|空结果|click to add|second level|goes here|replace this|in this box|dummy|this is sample|hier steht|eigenen text|blindtext|此处|占位|示例"
 ).split("|")
