@@ -312,13 +312,14 @@ def train(documents: DataFrame, text: str, source: str, sample_texts: int = SAMP
     held_out has precision and recall against the weak labels of the unseen sources at the threshold.
     """
     rows = documents.select(F.col(text).cast("string").alias("t"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("s")).filter(F.length("t") <= SAMPLE_CHARS)
-    total = documents.count()
-    # Hashes below a bound that follows from the count: about as many rows reach the driver at any scale.
+    # Hashes below a bound that follows from the number of distinct texts, each text once: about as many
+    # rows reach the driver at any scale, however often a text is copied.
+    total = rows.agg(F.approx_count_distinct(F.xxhash64("t"))).first()[0]
     share = lambda n: F.lit(int(min(1.0, n / max(1, total)) * (1 << 32)))
     h = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "t"), 32)
     cue = F.col("t").rlike(_cue())
-    near = rows.withColumn("h", h).filter((F.col("h") < share(1.1 * sample_texts)) | ((F.col("h") < share(5 * sample_texts)) & cue)).withColumn("cue", cue).collect()
-    by_hash = sorted({(r.h, r.t, r.s, r.cue) for r in near})
+    near = rows.withColumn("h", h).filter((F.col("h") < share(1.1 * sample_texts)) | ((F.col("h") < share(5 * sample_texts)) & cue)).withColumn("cue", cue).groupBy("t").agg(F.first("h").alias("h"), F.min("s").alias("s"), F.first("cue").alias("cue")).collect()
+    by_hash = sorted((r.h, r.t, r.s, r.cue) for r in near)
     picked = sorted({x[:3] for x in by_hash[:sample_texts] + [x for x in by_hash if x[3]][:sample_texts]})
     texts = [t.replace("\x00", " ") for _, t, _ in picked]
     unseen = np.array([zlib.crc32(s.encode()) % 5 == 0 for _, _, s in picked], bool)
