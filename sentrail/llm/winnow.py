@@ -3,9 +3,11 @@
 Texts are reduced to their letters and digits: encodings (JSON escapes, entities, percent signs), tags,
 width, case, ligatures, look-alike letters, invisible marks, line breaks and punctuation don't count. A
 CJK character weighs as four units, so one k serves all scripts. Of every window of `WINDOW` k-grams the
-smallest hash is kept, on both sides, so any shared stretch of WINDOW + K - 1 units shares a fingerprint.
-Passages that share enough fingerprints with a document are extended: stretches of equal k-grams are
-chained in the passage's order, and the share of the passage's words inside the chain is the result.
+smallest hash is kept, on both sides, so any shared stretch of WINDOW + K - 1 units shares a fingerprint;
+these are counted for the report. Shorter stretches may share none, so what is extended doesn't hang on
+them: a pair is left out only if all the k-grams it shares cover fewer units of the passage than
+the shortest words that make up the wanted share. In all others stretches of equal k-grams are chained in the
+passage's order, and the share of the passage's words inside the chain is the result.
 
 All work on a batch of documents is array arithmetic over its code units; documents are never cut.
 """
@@ -29,14 +31,13 @@ from pyspark.sql import functions as F
 #: Units of a k-gram (12 letters or 3 CJK characters), k-grams in a window.
 K, WINDOW = 12, 8
 CJK_UNITS = 4
-#: Share of a passage's fingerprints that a document must hold before its hits are extended. A document
-#: with 45 % of a passage in stretches of 23 units or more holds far more than this.
-CANDIDATE_SHARE = 0.2
-#: Bytes of passages whose tables one broadcast holds (about 18 times as much); more are taken in blocks.
+#: Bytes of passages whose tables one broadcast holds (about 50 times as much); more are taken in blocks.
 BLOCK_BYTES = 2_000_000
 _CHUNK_UNITS = 250_000
 #: Positions hashed at a time, so that a very long text needs no more memory than many short ones.
 _SLICE = 1_000_000
+#: Pairs of a document's k-gram and a place of it in a passage that are held at a time (one document may go beyond).
+_PAIRS = 4_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -154,20 +155,28 @@ def winnowed(h: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Passages:
-    """Fingerprints and k-gram positions of a block of passages."""
+    """K-gram positions of a block of passages, and its distinct k-grams.
+
+    k-gram keys[i] stands at places[j] of the joined passages, in passage owners[j], for j from firsts[i]
+    to firsts[i + 1]; prints[j] is set once for each passage of which it is a fingerprint. needed: units
+    of each passage without which the share can't be reached.
+    """
 
     ids: list[str]
     units: list[np.ndarray]
     words: list[np.ndarray]
     grams: list[tuple[np.ndarray, np.ndarray]]
-    n_prints: np.ndarray
-    prints: np.ndarray
+    keys: np.ndarray
+    firsts: np.ndarray
     owners: np.ndarray
+    places: np.ndarray
+    prints: np.ndarray
+    needed: np.ndarray
     sieve: np.ndarray
+    shift: np.uint64
 
 
 _WORD = re.compile(r"[\w]+(?:[-'’][\w]+)*")
-_SHIFT = np.uint64(64 - 20)
 
 
 def _word_numbers(text: str) -> np.ndarray:
@@ -188,13 +197,19 @@ def _word_numbers(text: str) -> np.ndarray:
     return np.array(out, np.int32)
 
 
-def passages_of(ids: list[str], texts: list[str]) -> Passages:
+def _needed(numbers: np.ndarray, least_share: float) -> int:
+    """Units that least_share of the words have at the very least: those of the shortest words."""
+    sizes = np.sort(np.bincount(numbers)) if len(numbers) else np.empty(0, np.int64)
+    n = int(np.ceil(least_share * len(sizes) - 1e-9))
+    return int(sizes[:n].sum())
+
+
+def passages_of(ids: list[str], texts: list[str], least_share: float = 0.45) -> Passages:
     clean = [plain(t) for t in texts]
     u = units_of(clean)
     h = kgram_hashes(u)
-    at = winnowed(h)
-    owner = np.searchsorted(u.starts, at, "right") - 1
-    pairs = np.unique(np.array(list(zip(h[at].tolist(), owner.tolist())), dtype=[("h", np.uint64), ("o", np.int64)]))
+    is_print = np.zeros(len(h), bool)
+    is_print[winnowed(h)] = True
     grams, words, own = [], [], []
     for i, text in enumerate(clean):
         lo, hi = u.starts[i], u.starts[i + 1]
@@ -205,9 +220,19 @@ def passages_of(ids: list[str], texts: list[str]) -> Passages:
         numbers = _word_numbers(text)
         words.append(numbers if len(numbers) == hi - lo else np.arange(hi - lo, dtype=np.int32))
         own.append(u.units[lo:hi])
-    sieve = np.zeros(1 << 20, bool)
-    sieve[(pairs["h"] >> _SHIFT).astype(np.int64)] = True
-    return Passages(ids, own, words, grams, np.bincount(pairs["o"], minlength=len(ids)), pairs["h"].copy(), pairs["o"].copy(), sieve)
+    at = np.flatnonzero(h != _NONE)
+    at = at[np.argsort(h[at], kind="stable")]
+    owner = np.searchsorted(u.starts, at, "right") - 1
+    keys, firsts = np.unique(h[at], return_index=True)
+    prints = np.zeros(len(at), bool)
+    if len(at):
+        fresh = np.flatnonzero(np.r_[True, (h[at][1:] != h[at][:-1]) | (owner[1:] != owner[:-1])])
+        prints[fresh] = np.logical_or.reduceat(is_print[at], fresh)
+    bits = min(24, max(16, int(8 * len(keys)).bit_length()))
+    shift, sieve = np.uint64(64 - bits), np.zeros(1 << bits, bool)
+    sieve[(keys >> shift).astype(np.int64)] = True
+    needed = np.array([_needed(w, least_share) for w in words], np.int64)
+    return Passages(ids, own, words, grams, keys, np.r_[firsts, len(at)], owner, at, prints, needed, sieve, shift)
 
 
 def ordered_share(p: Passages, item: int, doc: np.ndarray) -> float:
@@ -268,24 +293,43 @@ def scan(p: Passages, texts: list[str]) -> Iterator[tuple[int, int, int, float]]
 def _scan_chunk(p: Passages, clean: list[str], offset: int) -> Iterator[tuple[int, int, int, float]]:
     u = units_of(clean)
     h = kgram_hashes(u)
-    at = winnowed(h)
-    at = at[p.sieve[(h[at] >> _SHIFT).astype(np.int64)]]
-    if not len(at):
+    at = np.flatnonzero(p.sieve[(h >> p.shift).astype(np.int64)] & (h != _NONE))
+    if not len(at) or not len(p.keys):
         return
-    mine = h[at]
-    lo, hi = np.searchsorted(p.prints, mine, "left"), np.searchsorted(p.prints, mine, "right")
-    sizes = hi - lo
-    doc = np.repeat(np.searchsorted(u.starts, at, "right") - 1, sizes)
-    k = np.repeat(lo - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
-    # Distinct fingerprints per (document, passage).
-    seen = np.unique(doc.astype(np.int64) * len(p.prints) + k)
-    doc, k = seen // len(p.prints), seen % len(p.prints)
-    pair, shared = np.unique(doc * len(p.ids) + p.owners[k], return_counts=True)
-    item = pair % len(p.ids)
-    strong = shared >= np.maximum(1, CANDIDATE_SHARE * p.n_prints[item])
-    for q, i, n in zip(pair[strong].tolist(), item[strong].tolist(), shared[strong].tolist()):
-        d = q // len(p.ids)
-        yield offset + d, i, n, ordered_share(p, i, h[u.starts[d] : u.starts[d + 1]])
+    key = np.searchsorted(p.keys, h[at])
+    key[key == len(p.keys)] = 0
+    same = p.keys[key] == h[at]
+    at, key = at[same], key[same]
+    is_print = np.zeros(len(h), bool)
+    is_print[winnowed(h)] = True
+    # Distinct k-grams per document, then the passages that hold them.
+    code = (np.searchsorted(u.starts, at, "right") - 1).astype(np.int64) * len(p.keys) + key
+    seen = np.unique(code)
+    chosen = np.isin(seen, code[is_print[at]])
+    doc, key = seen // len(p.keys), seen % len(p.keys)
+    sizes = p.firsts[key + 1] - p.firsts[key]
+    ends, lo = np.cumsum(sizes), 0
+    while lo < len(doc):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + _PAIRS, "right")))
+        if hi < len(doc):  # whole documents
+            first = int(np.searchsorted(doc, doc[hi]))
+            hi = first if first > lo else int(np.searchsorted(doc, doc[lo], "right"))
+        n = sizes[lo:hi]
+        k = np.repeat(p.firsts[key[lo:hi]] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        hit = np.repeat(doc[lo:hi], n) * len(p.ids) + p.owners[k]
+        order = np.lexsort((p.places[k], hit))
+        hit, k = hit[order], k[order]
+        firsts = np.flatnonzero(np.r_[True, hit[1:] != hit[:-1]])
+        gain = np.minimum(K, np.diff(p.places[k], append=0))
+        gain[np.r_[firsts[1:], len(hit)] - 1] = K
+        pair, covered = hit[firsts], np.add.reduceat(gain, firsts)
+        shared = np.add.reduceat((p.prints[k] & np.repeat(chosen[lo:hi], n)[order]).astype(np.int64), firsts)
+        item = pair % len(p.ids)
+        strong = covered >= p.needed[item]
+        for q, i, s in zip(pair[strong].tolist(), item[strong].tolist(), shared[strong].tolist()):
+            d = q // len(p.ids)
+            yield offset + d, i, s, ordered_share(p, i, h[u.starts[d] : u.starts[d + 1]])
+        lo = hi
 
 
 def leaked_passages(documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, passage: str, least_share: float = 0.45) -> DataFrame:
@@ -307,7 +351,7 @@ def leaked_passages(documents: DataFrame, doc_id: str, text: str, items: DataFra
     for block in range(blocks):
         part = wanted if blocks == 1 else wanted.filter(F.pmod(F.xxhash64("i", "p"), F.lit(blocks)) == block)
         rows = sorted(part.collect())
-        table = spark.sparkContext.broadcast(pickle.dumps(passages_of([r[0] for r in rows], [r[1] for r in rows])))
+        table = spark.sparkContext.broadcast(pickle.dumps(passages_of([r[0] for r in rows], [r[1] for r in rows], least_share)))
 
         def run(batches: Iterator[pd.DataFrame], table=table) -> Iterator[pd.DataFrame]:
             p = pickle.loads(table.value)

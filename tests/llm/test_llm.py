@@ -276,6 +276,32 @@ def test_winnowing_guarantee():
         assert prints[0] & prints[1]
 
 
+def test_leaks_in_short_stretches(spark, monkeypatch):
+    """Whatever chained k-grams find in any pair is found, however few fingerprints the pair shares."""
+    rng = random.Random(5)
+    lexicon = ["".join(rng.choices("abcdefghijklmnop", k=rng.randrange(3, 9))) for _ in range(400)]
+    passages = [" ".join(rng.choices(lexicon, k=40)) for _ in range(12)]
+    texts = []
+    for passage in passages:
+        words = passage.split()
+        for gap in (3, 4, 5, 6):
+            texts.append(" ".join("zq%dy" % rng.randrange(10**6) if i % gap == gap - 1 else w for i, w in enumerate(words)))
+        texts.append(" ".join(words[i] for i in range(40) if i % 8 < 5) + " tail")
+    items = [(i, p) for i, p in enumerate(passages)]
+    table = winnow.passages_of([f"i{i}" for i, _ in items], passages, 0.0)
+    wanted = {}
+    for d, text in enumerate(texts):
+        u = winnow.units_of([winnow.plain(text)])
+        for i in range(len(passages)):
+            if (share := winnow.ordered_share(table, i, winnow.kgram_hashes(u))) >= 0.45:
+                wanted[d, f"i{i}"] = share
+    assert len(wanted) > 40
+    assert shares(spark, texts, items) == pytest.approx(wanted)
+    monkeypatch.setattr(winnow, "_PAIRS", 7)
+    found = {(d, f"i{i}"): share for d, i, _, share in winnow.scan(winnow.passages_of([str(i) for i, _ in items], passages), texts) if share >= 0.45}
+    assert found == pytest.approx(wanted)
+
+
 def test_blocks_of_passages(spark, monkeypatch):
     monkeypatch.setattr(winnow, "BLOCK_BYTES", 60)
     assert set(shares(spark, [ITEM, ZH])) == {(0, "i1"), (1, "i2")}
