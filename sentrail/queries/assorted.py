@@ -12,12 +12,14 @@ from sentrail.operators.relational import top_per_group
 from sentrail.operators.scan import pattern_hits
 from sentrail.operators.temporal import seconds_of
 from sentrail.plans.workbook import Workbook
+from sentrail.queries.profiles import _over_whole, _whole, _whole_sql
 from sentrail.session import table
 
 DIMS = 8
 
 
 def _small(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors cut as the SQL of the older queries has them; those with _whole in their names read all of each."""
     return table(spark, d, "embeddings").select("vec_id", "label", F.transform(F.slice("embedding", 1, DIMS), lambda x: x.cast("double")).alias("v"))
 
 
@@ -69,18 +71,47 @@ def ag13_covariance(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("label").agg(F.round(F.coalesce(F.var_samp("x"), F.lit(0.01)), 8).alias("xx"), F.round(F.coalesce(F.covar_samp("x", "y"), F.lit(0.0)), 8).alias("xy"))
 
 
-def ag14_recent_vectors(spark: SparkSession, d: str) -> DataFrame:
+def ag13_covariance_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Sample covariance of each label's vectors, for every two dimensions; a single row gives 0.01 on the diagonal.
+
+    A task sends sums and products of each label per batch, centred by the batch's means.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def partial(batches):
+        for pdf in batches:
+            for label, own in pdf.groupby("label", dropna=False)["v"]:
+                x = np.array(own.tolist(), np.float64)
+                m = x.mean(0)
+                yield pd.DataFrame({"label": [label], "n": [len(x)], "m": [m.tolist()], "q": [((x - m).T @ (x - m)).ravel().tolist()]})
+
+    def merged(key, pdf):
+        n, m = pdf["n"].to_numpy(np.float64), np.array(pdf["m"].tolist())
+        apart = m - (n[:, None] * m).sum(0) / n.sum()
+        q = np.array(pdf["q"].tolist()).sum(0).reshape(m.shape[1], -1) + (n[:, None] * apart).T @ apart
+        i, j = np.triu_indices(m.shape[1])
+        cov = q[i, j] / (n.sum() - 1) if n.sum() > 1 else np.where(i == j, 0.01, 0.0)
+        return pd.DataFrame({"label": key[0], "pos": i, "other": j, "cov": cov})
+
+    e = _whole(spark, d)
+    kind = dict(e.dtypes)["label"]
+    parts = e.select("label", "v").mapInPandas(partial, f"label {kind}, n long, m array<double>, q array<double>")
+    return parts.groupBy("label").applyInPandas(merged, f"label {kind}, pos int, other int, cov double").withColumn("cov", F.round("cov", 8))
+
+
+def ag14_recent_vectors(spark: SparkSession, d: str, vectors=_small) -> DataFrame:
     """Mean of the last 30 vectors per label and dimension, up to each vector."""
-    x = _small(spark, d).select("vec_id", "label", F.posexplode("v").alias("pos", "x"))
+    x = vectors(spark, d).select("vec_id", "label", F.posexplode("v").alias("pos", "x"))
     w = Window.partitionBy("label", "pos").orderBy("vec_id").rowsBetween(-29, 0)
     return x.select("vec_id", "pos", F.round(F.avg("x").over(w), 6).alias("mean"))
 
 
-def ag12_selected(spark: SparkSession, d: str) -> DataFrame:
+def ag12_selected(spark: SparkSession, d: str, vectors=_small) -> DataFrame:
     """Dimensions whose information gain lies above mean plus one deviation."""
     from sentrail.queries.profiles import ag11_information_gain
 
-    g = ag11_information_gain(spark, d).withColumn("_all", F.lit(1))
+    g = ag11_information_gain(spark, d, vectors).withColumn("_all", F.lit(1))
     w = Window.partitionBy("_all")
     return g.select("pos", "gain", (F.avg("gain").over(w) + F.stddev_pop("gain").over(w)).alias("bar")).filter("gain > bar").select("pos")
 
@@ -172,9 +203,9 @@ def gr16_prompt(spark: SparkSession, d: str) -> DataFrame:
     return t.select("doc_id", F.concat_ws("\n", F.format_string("[type] %s", F.coalesce("doc_type", F.lit(""))), F.concat(F.lit("[text] "), F.substring("text", 1, 500))).alias("prompt"))
 
 
-def gr18_fused(spark: SparkSession, d: str) -> DataFrame:
+def gr18_fused(spark: SparkSession, d: str, vectors=_small) -> DataFrame:
     """Weighted sum of each label's vectors, weights falling with the id."""
-    x = _small(spark, d).withColumn("w", 1 / (1 + F.col("vec_id") % 10)).select("label", "w", F.posexplode("v").alias("pos", "x"))
+    x = vectors(spark, d).withColumn("w", 1 / (1 + F.col("vec_id") % 10)).select("label", "w", F.posexplode("v").alias("pos", "x"))
     return x.groupBy("label", "pos").agg(F.round(F.sum(F.col("w") * F.col("x")) / F.sum("w"), 6).alias("h"))
 
 
@@ -189,14 +220,14 @@ def cl10_spark_kmeans(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    e = _small(spark, d).select("vec_id", array_to_vector("v").alias("features"))
+    e = _whole(spark, d).select("vec_id", array_to_vector("v").alias("features"))
     return KMeans(k=4, seed=1, maxIter=10).fit(e).transform(e).groupBy("prediction").agg(F.count(F.lit(1)).alias("n"))
 
 
-def cl14_ema_centres(spark: SparkSession, d: str) -> DataFrame:
+def cl14_ema_centres(spark: SparkSession, d: str, vectors=_small) -> DataFrame:
     """Label centres of even ids moved a tenth of the way to those of odd ids."""
-    even = V.grouped_mean(_small(spark, d).filter("vec_id % 2 = 0"), ["label"], "v").select("label", "pos", F.col("mean").alias("a"))
-    odd = V.grouped_mean(_small(spark, d).filter("vec_id % 2 = 1"), ["label"], "v").select("label", "pos", F.col("mean").alias("b"))
+    even = V.grouped_mean(vectors(spark, d).filter("vec_id % 2 = 0"), ["label"], "v").select("label", "pos", F.col("mean").alias("a"))
+    odd = V.grouped_mean(vectors(spark, d).filter("vec_id % 2 = 1"), ["label"], "v").select("label", "pos", F.col("mean").alias("b"))
     return even.join(odd, ["label", "pos"]).select("label", "pos", F.round(0.9 * F.col("a") + 0.1 * F.col("b"), 6).alias("c"))
 
 
@@ -208,9 +239,9 @@ def cl19_feature_row(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, "user_id", "full_outer").select("user_id", F.size(v).alias("d"), F.round(F.aggregate(v, F.lit(0.0), lambda s, x: s + x), 4).alias("s"))
 
 
-def dc2_mahalanobis(spark: SparkSession, d: str) -> DataFrame:
+def dc2_mahalanobis(spark: SparkSession, d: str, vectors=_small) -> DataFrame:
     """Distance of each vector from its label's mean, by the label's variances."""
-    x = _small(spark, d).select("vec_id", "label", F.posexplode("v").alias("pos", "x"))
+    x = vectors(spark, d).select("vec_id", "label", F.posexplode("v").alias("pos", "x"))
     s = x.groupBy("label", "pos").agg(F.avg("x").alias("m"), F.var_samp("x").alias("s"))
     return x.join(s, ["label", "pos"]).groupBy("vec_id").agg(F.round(F.sqrt(F.sum(F.pow(F.col("x") - F.col("m"), 2) / (F.col("s") + 1e-6))), 5).alias("d"))
 
@@ -255,6 +286,8 @@ def str4_history(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in list(globals().values()) if callable(f) and getattr(f, "__module__", "") == __name__ and not f.__name__.startswith("_")}
+_WHOLE = _over_whole(ag12_selected, ag14_recent_vectors, gr18_fused, cl14_ema_centres, dc2_mahalanobis)
+QUERIES |= _WHOLE
 from sentrail.queries.features import level_sql, machine_sql  # noqa: E402
 from sentrail.queries.profiles import ORACLES as _PROFILES  # noqa: E402
 
@@ -300,3 +333,5 @@ ORACLES = {
     "ev10_report": " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n_rows, {k} AS n_columns FROM {n}" for n, k in (("region", 2), ("nation", 3), ("supplier", 4), ("machines", 6), ("event_catalog", 2), ("sample_targets", 6), ("eval_items", 3))),
     "str4_history": "SELECT action, event_id, row_number() OVER (PARTITION BY action ORDER BY ingested_at DESC, event_id DESC)::INTEGER AS rank FROM behavior_events WHERE ingested_at IS NOT NULL AND action IS NOT NULL QUALIFY rank <= 100",
 }
+ORACLES |= {name: _whole_sql(ORACLES[name.removesuffix("_whole")]) for name in _WHOLE}
+ORACLES["ag13_covariance_whole"] = _whole_sql(f"WITH {_LONG} SELECT a.label, a.pos, b.pos AS other, round(coalesce(covar_samp(a.x, b.x), CASE WHEN a.pos = b.pos THEN 0.01 ELSE 0 END), 8) AS cov FROM x a JOIN x b ON a.vec_id = b.vec_id AND a.pos <= b.pos GROUP BY a.label, a.pos, b.pos")

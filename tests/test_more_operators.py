@@ -113,3 +113,25 @@ def test_recent_history_across_buckets(spark):
     got = {r.id: list(r.recent) for r in recent_history(df, F.col("trig"), ~F.col("trig"), "k", "t", "id", 2, 60).collect()}
     want = {i: [j for j, u, h in rows if not h and s - 60 <= u and (u, j) < (s, i)][-2:] for i, s, h in rows if h}
     assert got == want
+
+
+def test_vectors_are_read_whole(spark, tmp_path):
+    """Groups that differ only in dimension 40 of 48: nothing may hang on the first eight."""
+    from sentrail import queries as Q
+
+    rng = np.random.default_rng(3)
+    x = np.zeros((80, 48), np.float32)
+    x[:, 40] = [10 * (i % 4) for i in range(80)] + rng.normal(scale=0.1, size=80)
+    x[:, 41] = rng.normal(size=80)
+    spark.createDataFrame([(i, i % 4, v) for i, v in enumerate(x.tolist())], "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    q = {n: f for m in Q.modules() for n, f in m.QUERIES.items()}
+    run = lambda n: q[n](spark, str(tmp_path)).collect()
+    assert {(r.vec_id, r.cluster) for r in run("cl5_kmeans")} == {(i, i % 4) for i in range(80)}
+    assert sorted(r.n for r in run("cl10_spark_kmeans")) == [20] * 4
+    assert {(r.vec_id, r.cluster) for r in run("cl6_nearest_whole")} == {(i, i % 4) for i in range(80)}
+    assert [r.nmi for r in run("cl9_nmi_whole")] == [1.0]
+    assert [r.pos for r in run("ag12_selected_whole")] == [40]
+    cov = {(r.label, r.pos, r.other): r.cov for r in run("ag13_covariance_whole")}
+    assert len(cov) == 4 * 48 * 49 // 2
+    for label in range(4):
+        assert cov[label, 40, 41] == pytest.approx(np.cov(x[label::4].astype(float).T)[40, 41], abs=1e-7)
