@@ -133,11 +133,20 @@ def wn8_cross_channel(spark: SparkSession, d: str) -> DataFrame:
 
 
 def st9_priority(spark: SparkSession, d: str) -> DataFrame:
-    """Documents of one source in grade order, unknown grades last."""
+    """Documents of one source (as its SQL has it) in grade order, unknown grades last."""
+    return _graded(table(spark, d, "documents").filter("source = 'wiki'"))
+
+
+def st9_priority_whole(spark: SparkSession, d: str) -> DataFrame:
+    """All documents in grade order, unknown grades last."""
+    return _graded(table(spark, d, "documents"))
+
+
+def _graded(documents: DataFrame) -> DataFrame:
     from sentrail.functions.canon import level_key
 
     rank = F.coalesce(4 - F.substring(level_key(F.col("sensitivity_level")), 2, 1).cast("int"), F.lit(99))
-    return table(spark, d, "documents").filter("source = 'wiki'").select("doc_id", rank.alias("rank")).orderBy("rank", "doc_id")
+    return documents.select("doc_id", rank.alias("rank")).orderBy("rank", "doc_id")
 
 
 def set5_deleted(spark: SparkSession, d: str) -> DataFrame:
@@ -310,6 +319,7 @@ ORACLES = {
     "wn8_cross_channel": f"""WITH e AS (SELECT {machine_sql('vm_id')} AS k, string_split({_TYPE.format(c='event_type')}, '.')[1] AS t, "timestamp" AS ts FROM behavior_events), f AS (SELECT * FROM e WHERE k IS NOT NULL AND ts IS NOT NULL AND t IN ('file', 'email', 'http', 'im', 'device')),
         w AS (SELECT k, ts, """ + " + ".join(f"max((t = '{t}')::INT) OVER w" for t in ("file", "email", "http", "im", "device")) + " AS n FROM f WINDOW w AS (PARTITION BY k ORDER BY floor(epoch(ts)) RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW)) SELECT k, floor(epoch(min(ts)))::BIGINT AS first FROM w WHERE n >= 3 GROUP BY 1",
     "st9_priority": f"SELECT doc_id, coalesce(4 - right({level_sql('sensitivity_level')}, 1)::INTEGER, 99) AS rank FROM documents WHERE source = 'wiki'",
+    "st9_priority_whole": f"SELECT doc_id, coalesce(4 - right({level_sql('sensitivity_level')}, 1)::INTEGER, 99) AS rank FROM documents",
     "set5_deleted": "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)",
     "set8_recently_used": "SELECT user_id FROM events GROUP BY 1 ORDER BY max(ts) DESC, user_id LIMIT 50",
     "sc2_document_hash": "SELECT doc_id, sha256(coalesce(text, file_name, '')) AS h FROM documents",

@@ -38,8 +38,8 @@ def rl3_parsed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rl4_grammar(spark: SparkSession, d: str) -> DataFrame:
-    """The grammar state after each user's first six event types."""
-    e = table(spark, d, "events").groupBy("user_id").agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))), 1, 6), lambda x: x["event_type"]).alias("t"))
+    """The grammar state after all of each user's event types, in order of time."""
+    e = table(spark, d, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: x["event_type"]).alias("t"))
     return e.select("user_id", RL.fold_grammar(F.col("t"), MOVES, "s").alias("state"))
 
 

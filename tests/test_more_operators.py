@@ -135,3 +135,16 @@ def test_vectors_are_read_whole(spark, tmp_path):
     assert len(cov) == 4 * 48 * 49 // 2
     for label in range(4):
         assert cov[label, 40, 41] == pytest.approx(np.cov(x[label::4].astype(float).T)[40, 41], abs=1e-7)
+
+
+def test_no_rows_are_left_out(spark, tmp_path, data):
+    """The grammar reads events after the sixth; orders of all nations and documents of all sources count."""
+    from sentrail import queries as Q
+
+    q = {n: f for m in Q.modules() for n, f in m.QUERIES.items()}
+    kinds = {1: ["view"] * 6 + ["error", "purchase"], 2: ["click"] * 7 + ["signup"], 3: ["view"] * 9}
+    spark.createDataFrame([(u, i, f"2024-01-01 00:{i:02d}:00", k) for u, own in kinds.items() for i, k in enumerate(own)], "user_id int, event_id int, ts string, event_type string").withColumn("ts", F.to_timestamp("ts")).write.parquet(f"{tmp_path}/events.parquet")
+    assert {r.user_id: r.state for r in q["rl4_grammar"](spark, str(tmp_path)).collect()} == {1: "p", 2: "fail", 3: "s"}
+    buyers = spark.read.parquet(f"{data}/orders.parquet").select("o_custkey").distinct().count()
+    assert q["jn7_lateral_whole"](spark, data).filter("rank = 1").count() == buyers
+    assert q["st9_priority_whole"](spark, data).count() == spark.read.parquet(f"{data}/documents.parquet").count()
