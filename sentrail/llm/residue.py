@@ -89,7 +89,7 @@ STEMS = (
 ).split("|")
 # Wording of sentences that quote, explain or report such things, and of code and paths.
 MENTION = _phrases(
-    r"template (?:carries|contains|holds|has|names)", r"(?:editors|authors|rule writers) (?:use|put|write|set)", r"(?:editor|tool|macro) marked", r"parser (?:rejects|drops|refuses)", r"the message [\"“']", r"right answer", r"attached to ticket", r"for \d+ minutes, and", r"in the first (?:mock-up|sketch|draft)", r"had been renamed;", r"page then (?:told|tells|asks|asked)", r"\bexport [A-Z_]+=", r"%[A-Z]+%\\", r"\bSELECT\b.*\bFROM\b", r"^rule \w+ \{", r"form in use has",
+    r"template (?:carries|contains|holds|has|names)", r"(?:editors|authors|rule writers) (?:use|put|write|set)", r"(?:editor|tool|macro) marked", r"parser (?:rejects|drops|refuses)", r"the message [\"“']", r"right answer", r"attached to ticket", r"for \d+ minutes, and", r"in the first (?:mock-up|sketch|draft)", r"had been renamed;", r"page then (?:told|tells|asks|asked)", r"\bexport [A-Z_]+=", r"%[A-Z]+%\\", r"\bSELECT\s+(?:DISTINCT\s+)?(?:\*|[\w.]+(?:\([^()]*\))?(?:\s+AS\s+\w+)?(?:\s*,\s*[\w.]+(?:\([^()]*\))?(?:\s+AS\s+\w+)?)*)\s+FROM\s+(?!(?:the|your|our|this|that|these|those|a|an|its|their)\b)[\w.\"`]+", r"^rule \w+ \{", r"form in use has",
     r"vorlage enthält", r"Werkzeug schrieb", r"Der Hinweis", r"das Gateway \d+ Minuten", r"Minuten lang mit Fehler", r"Die Folie",
     r"自动替换", r"旧工具用", r"按设计提示", r"曾出现", r"返回\d+共", r"作为示例", r"以便(?:员工|同事)", r"提示“", r"初稿(?:里|中)?使用",
 )
@@ -341,7 +341,8 @@ def train(documents: DataFrame, text: str, source: str, sample_texts: int = SAMP
     if not (kept & y).any():
         kept = use  # too few sources to hold one out
     weights, bias = fit(_only(every, kept), y[kept]) if kept.any() else (np.zeros(1 << TABLE_BITS, np.float32), -9.0)
-    # Unseen sources: the decision as residue() makes it, against the weak labels.
+    # Unseen sources: the classifier alone, against the weak labels. residue() also asks the phrases, so its
+    # own figures can't be had from labels that the phrases make.
     z = scores(_only(every, out), weights, bias)
     flagged = z > 0
     hit = int((flagged & y[out]).sum())

@@ -383,3 +383,9 @@ def test_slices_change_nothing(monkeypatch):
     assert (winnow.kgram_hashes(u) == h).all() and (winnow.winnowed(h) == at).all()
     naive = sorted({j for i in range(-winnow.WINDOW + 1, len(h)) for w in [range(max(0, i), min(len(h), i + winnow.WINDOW))] for j in w if h[j] == min(h[k] for k in w) and h[j] != winnow._NONE})
     assert at.tolist() == naive
+
+
+def test_residue_select_from_is_no_veto():
+    """Only SQL is let go, not any sentence with 'select' and 'from'."""
+    assert residue.weak_label("Please select another file from the list, access denied")
+    assert not residue.weak_label("SELECT id, count(*) AS n FROM logs WHERE msg = 'page not found'")
