@@ -26,7 +26,7 @@ ROOT = "root"
 MAX_EDGES = 20_000
 
 _EDGES = "parent string, child string, repeated boolean, nested boolean"
-_ROWS = "tab string, source_id long, node int, root_node int, parent_tab string, parent_node int, pos int, record_pos int, cols map<string,string>"
+_ROWS = "tab string, source_id long, node int, root_node int, parent_tab string, parent_node int, pos int, record_pos int, cols map<string,string>, under_node int, under_pos int"
 
 
 @lru_cache(maxsize=100_000)
@@ -140,22 +140,26 @@ def map_schema(edges: list[tuple[str, str, bool, bool]]) -> Mapping:
 
 
 class _Shredder:
-    def __init__(self, mapping: Mapping, keep: dict[str, frozenset[str] | None] | None, source: int):
-        self.mapping, self.keep, self.source, self.rows = mapping, keep, source, []
+    def __init__(self, mapping: Mapping, keep: dict[str, frozenset[str] | None] | None, source: int, under: str | None = None):
+        self.mapping, self.keep, self.source, self.rows, self.under = mapping, keep, source, [], under
         self.nodes, self.counts = 0, {}
 
-    def row(self, tab: str, parent: tuple[str, int] | None, root: int, positions: dict) -> tuple[int, dict, dict]:
+    def row(self, tab: str, parent: tuple[str, int] | None, root: int, positions: dict, home: int | None = None) -> tuple[int, dict, dict]:
         node, cols = self.nodes, {}
         self.nodes += 1
         pos = positions.get(tab, 0)
         positions[tab] = pos + 1
         seen = self.counts.get(tab, 0)
         self.counts[tab] = seen + 1
+        under_pos = None
+        if home is not None:
+            under_pos = self.counts.get((tab, home), 0)
+            self.counts[tab, home] = under_pos + 1
         if self.keep is None or tab in self.keep:
-            self.rows.append((tab, self.source, node, node if root < 0 else root, parent[0] if parent else None, parent[1] if parent else None, pos, seen, cols))
+            self.rows.append((tab, self.source, node, node if root < 0 else root, parent[0] if parent else None, parent[1] if parent else None, pos, seen, cols, home, under_pos))
         return node, cols, {}
 
-    def fill(self, obj: dict, prefix: str, cols: dict, tab: str, node: int, root: int, positions: dict) -> None:
+    def fill(self, obj: dict, prefix: str, cols: dict, tab: str, node: int, root: int, positions: dict, home: int | None = None) -> None:
         wanted = None if self.keep is None else self.keep.get(tab, frozenset())
         for key, value in obj.items():
             label = snake(key)
@@ -172,13 +176,13 @@ class _Shredder:
                         continue
                     if isinstance(x, list):
                         x = {key: x}
-                    child, own, below = self.row(label, (tab, node), root, positions)
+                    child, own, below = self.row(label, (tab, node), root, positions, home)
                     if isinstance(x, dict):
-                        self.fill(x, "", own, label, child, root, below)
+                        self.fill(x, "", own, label, child, root, below, child if label == self.under else home)
                     else:
                         own["value"] = _text(x)
             elif isinstance(value, dict):
-                self.fill(value, f"{prefix}{label}.", cols, tab, node, root, positions)
+                self.fill(value, f"{prefix}{label}.", cols, tab, node, root, positions, home)
             elif value is not None and (wanted is None or prefix + label in wanted):
                 cols.setdefault(prefix + label, _text(value))
 
@@ -187,7 +191,7 @@ def _text(x: object) -> str:
     return x if isinstance(x, str) else json.dumps(x, ensure_ascii=False)
 
 
-def shred(records: DataFrame, source_id: str, payload: str, mapping: Mapping, unwrap: tuple[str, ...] = (), keep: dict[str, tuple[str, ...] | None] | None = None) -> DataFrame:
+def shred(records: DataFrame, source_id: str, payload: str, mapping: Mapping, unwrap: tuple[str, ...] = (), keep: dict[str, tuple[str, ...] | None] | None = None, under: str | None = None) -> DataFrame:
     """All rows of all tables in one pass, told apart by `tab`.
 
     node numbers a record's elements in reading order; (source_id, node) is the key, (source_id,
@@ -195,6 +199,8 @@ def shred(records: DataFrame, source_id: str, payload: str, mapping: Mapping, un
     one parent, record_pos those in the record, from 0. cols holds the inlined columns by path. Payloads
     that are null or not complete JSON give one row of table '_rejected'; a null source_id is kept.
     keep limits the tables that are returned, and with names their columns; all is read all the same.
+    under_node is the nearest ancestor in table `under`, whatever tables lie between, and under_pos counts
+    a table's rows below it; null without one.
     """
     kept = {k: None if v is None else frozenset(v) for k, v in keep.items()} if keep is not None else None
 
@@ -203,7 +209,7 @@ def shred(records: DataFrame, source_id: str, payload: str, mapping: Mapping, un
         for pdf in batches:
             out = []
             for source, text in zip(pdf["source_id"], pdf["payload"]):
-                roots, s = parse(text, unwrap), _Shredder(mapping, kept, None if pd.isna(source) else int(source))
+                roots, s = parse(text, unwrap), _Shredder(mapping, kept, None if pd.isna(source) else int(source), under)
                 try:
                     positions: dict = {}
                     for r in roots or []:
@@ -212,13 +218,13 @@ def shred(records: DataFrame, source_id: str, payload: str, mapping: Mapping, un
                 except RecursionError:
                     roots, s.rows = None, []
                 if roots is None and (kept is None or "_rejected" in kept):
-                    s.rows.append(("_rejected", s.source, 0, 0, None, None, 0, 0, {"reason": "null" if text is None else "not complete JSON"}))
+                    s.rows.append(("_rejected", s.source, 0, 0, None, None, 0, 0, {"reason": "null" if text is None else "not complete JSON"}, None, None))
                 out += s.rows
                 if len(out) >= 20_000:
-                    yield pd.DataFrame(out, columns=names)
+                    yield pd.DataFrame(out, columns=names).astype({c: "Int32" for c in ("under_node", "under_pos")})
                     out = []
             if out:
-                yield pd.DataFrame(out, columns=names)
+                yield pd.DataFrame(out, columns=names).astype({c: "Int32" for c in ("under_node", "under_pos")})
 
     return records.select(F.col(source_id).cast("long").alias("source_id"), F.col(payload).cast("string").alias("payload")).mapInPandas(run, _ROWS)
 

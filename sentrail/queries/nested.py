@@ -14,7 +14,7 @@ UNWRAP = ("record",)
 
 def _shredded(spark: SparkSession, d: str, keep: dict[str, tuple[str, ...] | None]) -> DataFrame:
     raw = table(spark, d, "raw_sequences").select("record_id", "payload")
-    return shred(raw, "record_id", "payload", read_mapping(raw, "record_id", "payload", UNWRAP), UNWRAP, keep)
+    return shred(raw, "record_id", "payload", read_mapping(raw, "record_id", "payload", UNWRAP), UNWRAP, keep, "events")
 
 
 def _col(name: str) -> Column:
@@ -27,9 +27,9 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     is_event, is_item = F.col("tab") == "events", F.col("tab") == "attachments"
     own = rows.select(
         F.col("source_id").alias("record_id"), "root_node", is_item.alias("is_item"),
-        F.when(is_event, F.col("node")).when(is_item & (F.col("parent_tab") == "events"), F.col("parent_node")).otherwise(-1).alias("event_node"),
+        F.when(is_event, F.col("node")).when(is_item & F.col("under_node").isNotNull(), F.col("under_node")).otherwise(-1).alias("event_node"),
         F.when(F.col("tab") == "root", _col("seq_id")).alias("seq_id"), F.when(is_event, F.col("record_pos")).alias("event_pos"), F.when(is_event, F.coalesce(_col("event_id"), F.lit(""))).alias("event_id"),
-        F.when(is_item, F.col("pos")).otherwise(-1).alias("item_pos"),
+        F.when(is_item, F.col("under_pos")).otherwise(-1).alias("item_pos"),
     ).repartition("record_id")
     whole, event = Window.partitionBy("record_id", "root_node"), Window.partitionBy("record_id", "root_node", "event_node")
     named = own.select("record_id", "event_node", F.max("seq_id").over(whole).alias("seq_id"), F.max("event_pos").over(event).alias("event_pos"), F.max("event_id").over(event).alias("event_id"), "item_pos")
@@ -52,7 +52,7 @@ def p1_events(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_attachments(spark: SparkSession, d: str) -> DataFrame:
     rows = _shredded(spark, d, {"attachments": None})
-    return rows.select(F.col("source_id").alias("record_id"), "node", "root_node", F.col("parent_node").alias("event_node"), F.col("pos").alias("item_pos"), _col("name").alias("name"), _col("bytes").try_cast("long").alias("bytes"), _col("origin.host").alias("origin_host"))
+    return rows.select(F.col("source_id").alias("record_id"), "node", "root_node", F.coalesce("under_node", "parent_node").alias("event_node"), F.coalesce("under_pos", "pos").alias("item_pos"), _col("name").alias("name"), _col("bytes").try_cast("long").alias("bytes"), _col("origin.host").alias("origin_host"))
 
 
 QUERIES = {"p1_found": p1_found, "p1_sequences": p1_sequences, "p1_events": p1_events, "p1_attachments": p1_attachments}

@@ -314,3 +314,17 @@ def test_broadcast_only_when_small(spark, monkeypatch):
     monkeypatch.setattr(session, "BROADCAST_ROWS", 3)
     plan = lambda n: session.broadcast_if_small(spark.range(n))._jdf.queryExecution().analyzed().toString()
     assert "broadcast" in plan(3).lower() and "broadcast" not in plan(4).lower()
+
+
+def test_attachments_below_any_table(spark, tmp_path):
+    """Attachments find their event also where metadata is a table of its own."""
+    from sentrail.queries.nested import QUERIES as Q
+
+    events = [{"event_id": "a", "metadata": {"attachments": [{"name": "x"}, {"name": "y"}]}}, {"event_id": "b", "attachments": [{"name": "z"}], "metadata": [{"attachments": {"name": "u"}}, {"attachments": {"name": "v"}}]}]
+    payloads = [json.dumps({"seq_id": "s", "events": events}), json.dumps({"seq_id": "t", "metadata": {"by": "m"}, "attachments": [{"name": "w"}]})]
+    spark.createDataFrame(list(enumerate(payloads)), "record_id long, payload string").write.parquet(f"{tmp_path}/raw_sequences.parquet")
+    found = sorted((r.event_id, r.item_pos) for r in Q["p1_found"](spark, str(tmp_path)).collect())
+    assert found == [("a", -1), ("a", 0), ("a", 1), ("b", -1), ("b", 0), ("b", 1), ("b", 2)]
+    node = {r.event_id: r.node for r in Q["p1_events"](spark, str(tmp_path)).collect()}
+    own = {r.name: (r.event_node, r.item_pos) for r in Q["p1_attachments"](spark, str(tmp_path)).collect()}
+    assert {k: own[k] for k in "xyzuv"} == {"x": (node["a"], 0), "y": (node["a"], 1), "z": (node["b"], 0), "u": (node["b"], 1), "v": (node["b"], 2)}
