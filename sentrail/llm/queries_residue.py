@@ -24,7 +24,7 @@ def p9_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_validation(spark: SparkSession, d: str) -> DataFrame:
-    """Precision and recall of the classifier alone against the weak labels of unseen sources."""
+    """Precision and recall of the decision of p9_found, by segment, against the weak labels of unseen sources."""
     held = train(table(spark, d, "documents").select("text", "source"), "text", "source").held_out
     return spark.createDataFrame([(held["segments"], held["precision"], held["recall"])], "segments double, precision double, recall double")
 

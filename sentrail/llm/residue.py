@@ -1,11 +1,12 @@
 """Template residue, filler and error pages, by a linear classifier over hashed n-grams of segments.
 
 A text is read as segments (sentences and lines). A segment's features are its hashed word 1- to 3-grams,
-whether a word repeats the one before, its length, and its place (first segment of the text, segment of a
-short text). Weak labels come from phrases, status lines and placeholder notations; sentences that quote,
-explain or report such things are labelled clean. A logistic regression with L2 penalty is fitted on a
-bounded sample and validated on sources that it has not seen. Scoring is array arithmetic over whole
-batches: token hashes by prefix sums, n-gram weights by one table lookup, segment sums by one reduction.
+whether a word repeats the one before, its shapes, its length, and its place (first segment of the text,
+segment of a short text). Weak labels come from status lines, phrases in general use and placeholder
+notations (residue_labels.py); a logistic regression with L2 penalty is fitted on a bounded sample and on
+seeds, its threshold chosen and the decision validated on sources that it has not seen. The classifier
+alone decides. Scoring is array arithmetic over whole batches: token hashes by prefix sums, n-gram weights
+by one table lookup, segment sums by one reduction.
 """
 
 from __future__ import annotations
@@ -22,90 +23,30 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TABLE_BITS = 18
-#: Texts that are labelled for the fit: as many at random, and as many of those that hold a cue.
-SAMPLE_TEXTS = 2000
+from sentrail.llm.residue_labels import seeds, weak_label
+from sentrail.session import cut
+
+TABLE_BITS = 21
+#: Texts that are labelled for the fit, at most: half of them at random, half of those that hold a cue.
+SAMPLE_TEXTS = 4000
 #: Longer texts are scored like any other, but not fitted on, so the sample is bounded in bytes too.
 SAMPLE_CHARS = 20_000
-#: Of the clean segments that hold no cue of residue about so many are fitted on.
-CLEAN_SEGMENTS = 15_000
-EPOCHS, RATE, PENALTY = 120, 0.08, 1e-7
-#: Log odds from which a segment is flagged as it is, and from which it is held against the phrases.
-SURE, DOUBTFUL = 5.0, -5.0
+#: Of the clean segments that hold no cue of residue about so many are fitted on, and into so many a placeholder is set.
+CLEAN_SEGMENTS, PLANTED_SEGMENTS = 30_000, 8_000
+EPOCHS, RATE, PENALTY = 64, 0.15, 1e-6
+#: Features of fewer segments have no weight: they would only learn single sentences by heart.
+LEAST_SEEN = 3
+#: A label is dropped as noise if the first fit contradicts it by this many log odds.
+NOISE = 2.0
+#: Thresholds (log odds) among which held-out sources choose: the highest whose F1 is so near to the best. The
+#: sample holds residue more often than the corpus, so at equal F1 the higher one makes fewer errors there.
+THRESHOLDS, NEAR_BEST = tuple(x / 4 for x in range(-8, 13)), 0.001
 SHORT_TEXT_TOKENS = 60
 _CHUNK_POINTS = 250_000
 FEATURES = 6  # per token
 LONG_SEGMENT = 150
 PIECE_CHARS = 500_000
 
-# Notations of unfilled placeholders.
-PLACEHOLDER = re.compile(
-    "|".join(
-        (
-            r"\{\{[^{}\n]{1,60}\}\}", r"\{%[^%{}\n]{1,60}%\}", r"<%=?[^%\n]{1,60}%>", r"\$\{[^{}\n]{1,60}\}", r"%%[^%\n]{1,40}%%", r"@@[^@\n]{1,40}@@",
-            r"#[A-ZÄÖÜ][A-Za-zÄÖÜäöüß._ \-]{2,30}[0-9]?#", r"#[一-鿿]{2,8}#", r"<<[^<>\n]{1,40}>>", r"«[^«»\n]{1,40}»", r"\[\[[^\[\]\n]{1,40}\]\]", r"__[A-Za-z][A-Za-z0-9_.\- ÄÖÜäöüß]{1,40}__", r"__(?:[A-Za-z]+\.)?[一-鿿]{2,8}[0-9]?__",
-            r"%\([^()\n]{1,40}\)[sd]", r"\$[A-ZÄÖÜ][A-ZÄÖÜ._ \-]{2,30}[0-9]?\$", r"(?<![A-Za-z])X{4,}(?![A-Za-z])", r"\[(?i:insert|enter|your|tbd|todo|fill)\b[^\[\]\n]{0,50}\]",
-            r"\[[A-ZÄÖÜ][A-ZÄÖÜ._ \-]{2,30}[0-9]?\]", r"\([a-z0-9 \-]+ to be (?:supplied|added|confirmed|filled in)\)", r"<(?:your|bitte|hier|ihr) [^<>\n]{1,40}>", r"×{3,}", r"\((?:bitte |hier )?[A-Za-zÄÖÜäöüß \-]+ (?:ergänzen|einsetzen|einfügen|eintragen|folgt|nachtragen)\)", r"\[(?:bitte |hier )?[A-Za-zÄÖÜäöüß \-]+ (?:ergänzen|einsetzen|einfügen|eintragen|folgt|nachtragen)\]", r"&lt;[^&\n]{1,40}&gt;", r"(?<!\$)\{[A-Za-z一-鿿][\w.\-]{1,30}\}",
-            r"[［\[][^［］\[\]\n]{0,20}(?:待补|待填|待定)[^［］\[\]\n]{0,10}[］\]]", r"[\[$#](?:[a-zA-Z]+\.)?[一-鿿]{2,8}[0-9]?[\]$#]", r"<enter [^<>\n]{1,40}>", r"【(?:请填写|此处|待)[^【】\n]{1,20}】", r"[（(](?:此处插入|请填写|待)[^（）()\n]{1,20}[）)]",
-        )
-    )
-)
-
-
-def _phrases(*parts: str) -> re.Pattern[str]:
-    """One pattern for folded text: lower case on both sides is far faster than ignoring case."""
-    return re.compile("|".join(parts).lower())
-
-
-# Wording of error and access pages, status lines and demands for scripts.
-ERROR = _phrases(
-    r"\b(?:40\d|41\d|429|50\d) (?:not found|forbidden|unauthorized|bad gateway|bad request|gateway time-?out|internal server error|service unavailable|too many requests|gone)\b", r"(?:could not|cannot|can't) complete",
-    r"<title>|<h1>\d", r"^this takes a few", r"^oh no|^oops", r"access (?:is |was |has been )?denied", r"permission to (?:view|open|access)", r"(?:missing|insufficient|no|lack of) (?:rights|permission|clearance)", r"not authori[sz]ed to", r"^request access", r"^ask the owner\.?$", r"contact (?:your|the) administrator",
-    r"(?:can't|cannot|can not|couldn't|could not|unable to) (?:find|connect|reach|load|open|display|be (?:reached|opened|displayed|rendered|loaded|found|shown|retrieved))", r"(?:was|were|is) not (?:opened|retrieved|loaded|rendered|displayed|found|available)",
-    r"failed to (?:be )?(?:load|open|render|display|retriev)", r"there is no (?:this|that|such|the|what)", r"page not found", r"something went wrong", r"document you asked for has been", r"link has (?:run out|expired)", r"no longer (?:valid|available)", r"not valid any more", r"(?:share|link|address|ticket|token|session|login|visit) (?:was|has been) (?:withdrawn|revoked|closed|moved)", r"do(?:es)? not have (?:the )?(?:rights|clearance)", r"switched off (?:java ?script|scripts?|scripting|cookies|active content)", r"(?:doesn't|does not) work properly", r"^it may have moved",
-    r"(?:session|ticket|token|share|login|link|address|visit) (?:has expired|has ended|timed out|has been moved|is no longer valid)", r"^(?:sign|log) in (?:again )?to (?:open|go)", r"^authenticate (?:again|once more|to go on)", r"^(?:sign|log) in once more", r"^please retry", r"took too long",
-    r"too many (?:requests|attempts)", r"unusually many", r"^slow down", r"^come back later", r"^try (?:again )?later", r"^wait \d+ seconds", r"under maintenance", r"(?:server|relay|store|gateway|service|backend|database|upstream) (?:did not answer|took too long|returned an empty|closed the connection)",
-    r"(?:enable|activate|allow|turn on|switch on|needs?|requires?|without|lack|supports?|blocks?) (?:java ?script|js\b|scripts?\b|scripting|cookies|active content)", r"(?:java ?script|js|scripts?|scripting|cookies)(?: and \w+)? (?:must be|is|are) (?:on|needed|required|disabled|off|allowed)", r"<noscript>", r"checking (?:your|the) browser", r"browser (?:does not|is not|is out of|in use|blocks)", r"while the page is prepared",
-    r"preview is not available", r"download the original to view", r"\bloading\.\.\.|^loading\b", r"^one moment", r"^please wait",
-    r"^traceback \(most", r"^[A-Z][A-Za-z]*(?:Error|Exception):", r'^\s*file "/', r"<error>", r'"(?:error|detail|reason|message)": ?"', r"^nothing to see at", r"\bERR_[A-Z_]+",
-    r"ist abgelaufen\.", r"lässt sich nicht (?:öffnen|laden|anzeigen)", r"(?:Sitzung|Anmeldung|Freigabe|Link|Adresse) wurde (?:beendet|zurückgezogen|entzogen)", r"wird gewartet", r"Fehlende Rechte", r"nicht erreichbar", r"gilt nicht mehr", r"neu anmelden", r"(?:Server|Speicher|Relais) ist überlastet", r"melden Sie sich", r"später erneut", r"Browser (?:blockiert|unterstützt)", r"(?:aktivieren|erlauben) Sie", r"benötigt (?:JavaScript|Skripte|aktive)", r"läuft nur mit", r"nicht (?:dargestellt|geladen|gefunden|angezeigt|geöffnet) werden", r"antwortet nicht", r"Zugriff verweigert", r"keine Berechtigung", r"zu viele Anfragen", r"(?:Seite|Datei|Link|Adresse|Dokument|Ansicht|Akte|Inhalt)\b.*nicht (?:mehr )?(?:gefunden|verfügbar|gültig)",
-    r"(?:预览|加载|打开)失败", r"(?:允许|启用|开启) ?(?:JS|JavaScript)", r"转换出错", r"没有(?:权限|授权)", r"无权", r"请(?:重新)?登录", r"连接超时", r"(?:会话|登录|令牌|链接|地址|页面|分享|连接超时|分享)已?(?:超时|过期|失效|撤回)", r"请稍[候后]", r"请联系(?:管理员|分享人)", r"不支持脚本", r"未启用脚本", r"禁用了?脚本", r"(?:开启|允许|启用|运行)脚本", r"允许脚本", r"浏览器版本", r"检测浏览器", r"不存在", r"请求过于频繁", r"操作过于频繁", r"错误码", r"正在维护", r"^加载中", r"无法(?:显示|打开|加载|访问|连接)", r"已被(?:移除|删除|移动)", r"空结果", r"运行脚本",
-)
-# Filler wording and layout prompts.
-FILLER = _phrases(
-    r"^(?:[•*\-] )?(?:click to add|second level \w+$|your \w+ goes here|replace this paragraph)", r"type the \w+ in this box", r"dummy \w+, to be", r"this is sample \w+ for layout", r"Hier steht später", r"durch eigenen Text ersetzen", r"nur ein Blindtext", r"(?:此处|单击此处)(?:输入|添加)", r"^占位内容", r"示例文字，请替换",
-)
-# Navigation, addresses and footers that stand before or after a page's wording in one line.
-FURNITURE = re.compile(r"(?:skip to main content|menu\s+search\s+sign in|corbel works intranet|home > files > \S+|start > ablage > \S+|首页 > 文件 > \S+|菜单 搜索 登录|科贝尔内网|corbel hausnetz|menü\s+suche\s+anmelden|https?://\S+|terms \| privacy \| contact|impressum \| kontakt|条款 \| 隐私 \| 联系我们)\s*")
-# Words of the usual blind text.
-BLIND_TEXT = frozenset("lorem ipsum dolor amet elit magna aliqua veniam quis enim minim labore tempor incididunt adipiscing consectetur sit sed nostrud eiusmod".split())
-# Stems without which none of the patterns above can match; a cheap test before them.
-STEMS = (
-    "{|<|$|×××|(|%|@@|#|«|[|［|【|__|xxxx|&lt;|to be supplied|to be added|to be confirmed|to be filled|（此处|（请|（待|(此处|(请|(待|40|41|42|50|denied|permission|right|clearance|authori|request access|ask the owner|administrator|"
-    "can't|cannot|can not|couldn't|could not|unable|not opened|switched off|work properly|revoked|closed|have rights|have the rights|not retrieved|not loaded|not rendered|not displayed|not found|not available|failed|there is no|went wrong|asked for has|link has|no longer|not valid|withdrawn|moved|expired|ended|timed out|sign in|log in|authenticate|please retry|too many|unusually|slow down|come back|later|wait|"
-    "maintenance|did not answer|took too long|returned an empty|closed the connection|script|js|cookies|active content|browser|is prepared|preview|original to view|moment|traceback|error|exception|file \"|\"reason\"|\"detail\"|\"message\"|nothing to see|err_|takes a few|oh no|oops|loading|"
-    "abgelaufen|erreichbar|gewartet|fehlende|anmelden|überlastet|sitzung|melden sie|erneut|aktivieren|erlauben|lässt sich|wurde beendet|wurde zurückgezogen|wurde entzogen|benötigt|läuft nur|nicht dargestellt|nicht geladen|nicht gefunden|nicht angezeigt|nicht geöffnet|nicht mehr|nicht verfügbar|nicht gültig|antwortet|verweigert|berechtigung|anfragen|"
-    "允许|启用|开启|运行脚本|失败|出错|没有|无权|请登录|请重新|会话|登录|令牌|链接|地址|页面|分享|连接超时|请稍|请联系|脚本|浏览器|不存在|频繁|错误码|维护|加载|无法|已被|空结果|click to add|second level|goes here|replace this|in this box|dummy|this is sample|hier steht|eigenen text|blindtext|此处|占位|示例"
-).split("|")
-# Wording of sentences that quote, explain or report such things, and of code and paths.
-MENTION = _phrases(
-    r"template (?:carries|contains|holds|has|names)", r"(?:editors|authors|rule writers) (?:use|put|write|set)", r"(?:editor|tool|macro) marked", r"parser (?:rejects|drops|refuses)", r"the message [\"“']", r"right answer", r"attached to ticket", r"for \d+ minutes, and", r"in the first (?:mock-up|sketch|draft)", r"had been renamed;", r"page then (?:told|tells|asks|asked)", r"\bexport [A-Z_]+=", r"%[A-Z]+%\\", r"\bSELECT\s+(?:DISTINCT\s+)?(?:\*|[\w.]+(?:\([^()]*\))?(?:\s+AS\s+\w+)?(?:\s*,\s*[\w.]+(?:\([^()]*\))?(?:\s+AS\s+\w+)?)*)\s+FROM\s+(?!(?:the|your|our|this|that|these|those|a|an|its|their)\b)[\w.\"`]+", r"^rule \w+ \{", r"form in use has",
-    r"vorlage enthält", r"Werkzeug schrieb", r"Der Hinweis", r"das Gateway \d+ Minuten", r"Minuten lang mit Fehler", r"Die Folie",
-    r"自动替换", r"旧工具用", r"按设计提示", r"曾出现", r"返回\d+共", r"作为示例", r"以便(?:员工|同事)", r"提示“", r"初稿(?:里|中)?使用",
-)
-
-
-def weak_label(segment: str) -> bool:
-    """Whether phrases or notations of residue stand in the segment, and nothing says they are only quoted."""
-    s = segment.strip()
-    low = s.lower()
-    words = low.split()
-    hit = len(words) >= 4 and (any(a == b == c for a, b, c in zip(words, words[1:], words[2:])) or words[:4] == words[2:6] or sum(w.strip(".,") in BLIND_TEXT for w in words) * 4 >= len(words))
-    if not hit and any(x in low for x in STEMS):
-        bare = FURNITURE.sub("", low)
-        hit = bool(PLACEHOLDER.search(s) or ERROR.search(bare) or FILLER.search(bare))
-    return hit and not MENTION.search(low)
-
 
 @lru_cache(maxsize=1)
 def _classes() -> np.ndarray:
@@ -160,7 +101,9 @@ def segments_of(texts: list[str]) -> Segments:
     with np.errstate(over="ignore"):
         joined = "\n".join(texts) + "\n"
         points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        stop = (points == 10) | np.isin(points, _ENDERS)
         points = np.where(points > 0xFFFF, 0x4E00 + (points & 0x3FFF), points)
+        points = np.where((points > 0xFF00) & (points < 0xFF5F), points - 0xFEE0, points)  # full-width forms
         kind = _classes()[points]
         n = len(points)
         low = points.astype(np.uint64)
@@ -180,9 +123,7 @@ def segments_of(texts: list[str]) -> Segments:
         prefix = np.r_[np.uint64(0), np.cumsum(low * _powers(int(_B), n))]
         last = np.r_[first[1:], n]
         token = _mix((prefix[last] - prefix[first]) * _powers(int(_B_INVERSE), n)[first])
-        stop = points == 10
-        soft = ((points == 46) | (points == 33) | (points == 63)) & (np.r_[kind[1:], np.uint8(0)] == 0)
-        stop |= soft | np.isin(points, _ENDERS)
+        stop |= ((points == 46) | (points == 33) | (points == 63)) & (np.r_[kind[1:], np.uint8(0)] == 0)
         number = np.r_[0, np.cumsum(stop)[:-1]]
         seg = number[first]
         text = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), first, "right")
@@ -242,25 +183,54 @@ def scores(s: Segments, weights: np.ndarray, bias: float) -> np.ndarray:
     return np.add.reduceat(weights[s.slots], s.starts) + bias if len(s.starts) else np.empty(0)
 
 
-def fit(s: Segments, labels: np.ndarray) -> tuple[np.ndarray, float]:
-    """Logistic regression with L2 penalty by full-batch steps scaled per weight; both classes weigh alike."""
-    size = 1 << TABLE_BITS
+def fit(s: Segments, labels: np.ndarray, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
+    """Logistic regression with L2 penalty by full-batch steps scaled per weight; both classes weigh alike.
+
+    Only slots that occur LEAST_SEEN times have weights to fit; all others stay 0.
+    """
+    count = np.bincount(s.slots, minlength=1 << TABLE_BITS)
+    used = np.flatnonzero(count >= LEAST_SEEN)
+    code = np.full(1 << TABLE_BITS, -1, np.int32)
+    code[used] = np.arange(len(used))
     sizes = np.diff(np.r_[s.starts, len(s.slots)])
     row = np.repeat(np.arange(len(sizes)), sizes)
+    slots = code[s.slots]
+    row, slots = row[slots >= 0].astype(np.int32), slots[slots >= 0]
+    starts = np.searchsorted(row, np.arange(len(sizes)))  # every segment has its length and place, so none is empty
     y = labels.astype(np.float64)
     share = min(max(y.mean(), 1e-6), 1 - 1e-6)
     cost = np.where(y > 0, 0.5 / share, 0.5 / (1 - share)) / len(y)
-    w, bias, seen = np.zeros(size), 0.0, np.full(size, 1e-8)
+    w, bias, seen = np.zeros(len(used)), 0.0, np.full(len(used), 1e-8)
     seen_bias = 1e-8
-    for _ in range(EPOCHS):
-        z = np.add.reduceat(w[s.slots], s.starts) + bias
+    for _ in range(epochs):
+        z = np.add.reduceat(w[slots], starts) + bias
         g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * cost
-        grad = np.bincount(s.slots, weights=g[row], minlength=size) + PENALTY * w
+        grad = np.bincount(slots, weights=g[row], minlength=len(used)) + PENALTY * w
         seen += grad * grad
         w -= RATE * grad / np.sqrt(seen)
         seen_bias += g.sum() ** 2
         bias -= RATE * g.sum() / np.sqrt(seen_bias)
-    return w.astype(np.float32), float(bias)
+    every = np.zeros(1 << TABLE_BITS, np.float32)
+    every[used] = w
+    return every, float(bias)
+
+
+# Tags of layout, within words and between them, which say nothing about a text.
+INLINE, LAYOUT = re.compile(r"</?(?:b|i|u|em|strong|span|br)\b[^<>]{0,80}>"), re.compile(r"</?(?:p|div|li|ul|ol|td|tr|table|h\d)\b[^<>]{0,80}>")
+
+
+INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
+# Marks of emphasis; two underscores may be a placeholder's.
+EMPHASIS = re.compile(r"\*\*|_(?<![_A-Za-z0-9]_)(?!_)|_(?<!__)(?![_A-Za-z0-9])")
+
+
+def readable(text: str) -> str:
+    """The text without NULs, invisible marks, layout tags and emphasis."""
+    text = LAYOUT.sub(" ", INLINE.sub("", text)) if "<" in text else text
+    text = EMPHASIS.sub("", text) if "_" in text or "**" in text else text
+    for c in INVISIBLE if not text.isascii() else "":
+        text = text.replace(c, "")
+    return text.replace("\x00", " ")
 
 
 def pieces_of(texts: list[str]) -> tuple[list[str], np.ndarray]:
@@ -290,8 +260,8 @@ def chunks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
 
 
 def _is_marked(segment: str) -> bool:
-    """Clean segments that look like residue to a counter of n-grams: quotations, mark-up, emphasis, code."""
-    return bool(MENTION.search(segment.strip().lower())) or any(m in segment for m in ("<b", "</", "<p>", "**", "_", "[", "{", "$", "#", "\xad", "@"))
+    """Clean segments that look like residue to a counter of n-grams: mark-up, emphasis, quotations, code."""
+    return any(m in segment for m in ("<", "**", "_", "[", "{", "$", "#", "\xad", "@", "%", '"', "“", "„"))
 
 
 def _cue() -> str:
@@ -301,53 +271,85 @@ def _cue() -> str:
 
 @dataclass
 class Model:
+    """weights and bias of the classifier; a segment is residue above `threshold`, and nothing else decides."""
+
     weights: np.ndarray
     bias: float
+    threshold: float
     held_out: dict[str, float]
 
 
-def train(documents: DataFrame, text: str, source: str, sample_texts: int = SAMPLE_TEXTS, seed: int = 7) -> Model:
-    """Fit on weak labels of at most 2 * sample_texts texts, chosen by hash (half of them with a cue); a fifth of the sources is held out.
+def _joined(parts: list[Segments]) -> Segments:
+    base = np.cumsum([0] + [len(p.slots) for p in parts])
+    return Segments(np.concatenate([p.slots for p in parts]), np.concatenate([p.starts + b for p, b in zip(parts, base)]), np.concatenate([p.texts for p in parts]), np.concatenate([p.spans for p in parts]))
 
-    held_out has precision and recall against the weak labels of the unseen sources at the threshold.
-    """
+
+def _labelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Adds the weak label of each segment of a text."""
+    for pdf in batches:
+        labels = []
+        for t in map(readable, pdf["t"]):
+            labels.append([weak_label((t + "\n")[a:b]) for a, b in segments_of([t]).spans.tolist()])
+        yield pdf.assign(labels=labels)
+
+
+def _sample(documents: DataFrame, text: str, source: str, sample_texts: int, seed: int) -> list[tuple[str, str, list[bool]]]:
+    """At most sample_texts distinct texts by hash (half of them any, half with a cue), with source and weak labels."""
     rows = documents.select(F.col(text).cast("string").alias("t"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("s")).filter(F.length("t") <= SAMPLE_CHARS)
-    # Hashes below a bound that follows from the number of distinct texts, each text once: about as many
-    # rows reach the driver at any scale, however often a text is copied.
+    # A bound of the hash that follows from the number of distinct texts spares most rows the sort.
     total = rows.agg(F.approx_count_distinct(F.xxhash64("t"))).first()[0]
-    share = lambda n: F.lit(int(min(1.0, n / max(1, total)) * (1 << 32)))
-    h = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "t"), 32)
+    below = lambda n: F.lit(int(min(1.0, n / max(1, total)) * (1 << 32)))
+    half = max(1, sample_texts // 2)
     cue = F.col("t").rlike(_cue())
-    near = rows.withColumn("h", h).filter((F.col("h") < share(1.1 * sample_texts)) | ((F.col("h") < share(5 * sample_texts)) & cue)).withColumn("cue", cue).groupBy("t").agg(F.first("h").alias("h"), F.min("s").alias("s"), F.first("cue").alias("cue")).collect()
-    by_hash = sorted((r.h, r.t, r.s, r.cue) for r in near)
-    picked = sorted({x[:3] for x in by_hash[:sample_texts] + [x for x in by_hash if x[3]][:sample_texts]})
-    texts = [t.replace("\x00", " ") for _, t, _ in picked]
-    unseen = np.array([zlib.crc32(s.encode()) % 5 == 0 for _, _, s in picked], bool)
-    parts, labels, marked, hosts = [], [], [], []
+    near = rows.withColumn("h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "t"), 32)).filter((F.col("h") < below(1.1 * half)) | ((F.col("h") < below(10 * half)) & cue))
+    once = cut(near.withColumn("cue", cue).groupBy("t").agg(F.first("h").alias("h"), F.min("s").alias("s"), F.first("cue").alias("cue")))
+    some = [once.filter(f).orderBy("h", "t").limit(half) for f in (F.col("h") < below(1.1 * half), F.col("cue"))]
+    both = some[0].union(some[1]).select("t", "h", "s").distinct().repartition(16)
+    return [r[:] for r in both.mapInPandas(_labelled, "t string, h long, s string, labels array<boolean>").sort("h", "t").select("t", "s", "labels").collect()]
+
+
+def train(documents: DataFrame, text: str, source: str, sample_texts: int = SAMPLE_TEXTS, seed: int = 7) -> Model:
+    """Fit on weak labels of at most sample_texts texts and on seeds; a fifth of the sources is held out.
+
+    Two fits: labels that the first contradicts clearly are dropped as noise before the second. The threshold
+    is chosen on the unseen sources (NEAR_BEST); held_out has precision and recall there,
+    against their weak labels, of exactly the decision that residue() makes.
+    """
+    picked = _sample(documents, text, source, sample_texts, seed)
+    texts = [readable(t) for t, _, _ in picked]
+    unseen = np.array([zlib.crc32(s.encode()) % 5 == 0 for _, s, _ in picked], bool)
+    y = np.array([label for _, _, labels in picked for label in labels], bool)
+    parts, own, hosts = [], [], []
     for first, some in chunks(texts):
-        seg = segments_of(some)
+        parts.append(seg := segments_of(some))
         joined = "\n".join(some) + "\n"
-        parts.append(seg)
-        labels.append(np.fromiter((weak_label(joined[a:b]) for a, b in seg.spans.tolist()), bool, len(seg.spans)))
-        marked.append(np.fromiter((_is_marked(joined[a:b]) for a, b in seg.spans.tolist()), bool, len(seg.spans)))
+        own += [joined[a:b].strip() for a, b in seg.spans.tolist()]
         hosts.append(unseen[first + seg.texts])
-    if not parts or not sum(len(p.starts) for p in parts):
-        return Model(np.zeros(1 << TABLE_BITS, np.float32), -9.0, {"segments": 0.0, "precision": 1.0, "recall": 1.0})
-    base = np.cumsum([0] + [len(p.slots) for p in parts])
-    every = Segments(np.concatenate([p.slots for p in parts]), np.concatenate([p.starts + b for p, b in zip(parts, base)]), np.concatenate([p.texts for p in parts]), np.concatenate([p.spans for p in parts]))
-    y, out = np.concatenate(labels), np.concatenate(hosts)
-    use = y | np.concatenate(marked) | (np.arange(len(y)) % max(1, len(y) // CLEAN_SEGMENTS) == 0)
-    kept = ~out & use
-    if not (kept & y).any():
-        kept = use  # too few sources to hold one out
-    weights, bias = fit(_only(every, kept), y[kept]) if kept.any() else (np.zeros(1 << TABLE_BITS, np.float32), -9.0)
-    # Unseen sources: the classifier alone, against the weak labels. residue() also asks the phrases, so its
-    # own figures can't be had from labels that the phrases make.
-    z = scores(_only(every, out), weights, bias)
-    flagged = z > 0
-    hit = int((flagged & y[out]).sum())
-    held = {"segments": float(out.sum()), "precision": hit / max(1, int(flagged.sum())), "recall": hit / max(1, int(y[out].sum()))}
-    return Model(weights, bias, held)
+    rng = np.random.default_rng(seed)
+    out = np.concatenate(hosts) if hosts else np.empty(0, bool)
+    if not (~out & y).any():
+        out = np.zeros(len(y), bool)  # too few sources to hold one out
+    marked = np.fromiter(map(_is_marked, own), bool, len(own))
+    plain = ~y & ~marked & (np.arange(len(y)) % max(1, len(y) // CLEAN_SEGMENTS) == 0)
+    extra = list(seeds([own[i] for i in np.flatnonzero(~out & ~y & (rng.random(len(y)) < 0.5))], rng, PLANTED_SEGMENTS))
+    # A seed is a text of its own, so it may hold several segments: all but those of a message are one.
+    seeded = segments_of([t.replace("\n", " ") for t, _ in extra])
+    every = _joined([*parts, seeded])
+    of_seed = np.array([label for _, label in extra], bool)[seeded.texts]
+    labels, kept = np.r_[y, of_seed], np.r_[~out & (y | marked | plain), np.ones(len(of_seed), bool)]
+    weights, bias = fit(_only(every, kept), labels[kept], EPOCHS // 3)
+    z = scores(every, weights, bias)
+    noise = np.r_[np.where(y, z[: len(y)] < -NOISE, z[: len(y)] > NOISE), np.zeros(len(of_seed), bool)]
+    kept &= ~noise
+    weights, bias = fit(_only(every, kept), labels[kept])
+    test = np.r_[out, np.zeros(len(of_seed), bool)]
+    z, truth = scores(_only(every, test), weights, bias), labels[test]
+    found = []
+    for t in THRESHOLDS if truth.any() else ():
+        hit, said = int((truth & (z > t)).sum()), int((z > t).sum())
+        found.append((2 * hit / max(1, said + int(truth.sum())), t, hit / max(1, said), hit / int(truth.sum())))
+    best = max((x for x in found if x[0] >= max(found)[0] - NEAR_BEST), key=lambda x: x[1], default=(0.0, 0.0, 1.0, 1.0))
+    return Model(weights, bias, best[1], {"segments": float(len(truth)), "precision": best[2], "recall": best[3]})
 
 
 def _only(s: Segments, mask: np.ndarray) -> Segments:
@@ -356,34 +358,38 @@ def _only(s: Segments, mask: np.ndarray) -> Segments:
     return Segments(s.slots[np.repeat(mask, sizes)], np.r_[0, np.cumsum(kept)[:-1]].astype(np.int64) if len(kept) else np.empty(0, np.int64), s.texts[mask], s.spans[mask])
 
 
+def flagged(model: Model, texts: list[str]) -> Iterator[tuple[int, int, int, float, str]]:
+    """(text number, segments, segments above the threshold, highest score, its segment) of texts with residue."""
+    parts, of = pieces_of([readable(t) for t in texts])
+    n_segments, by = np.zeros(len(texts), np.int64), {}
+    for first, some in chunks(parts):
+        seg = segments_of(some)
+        z = scores(seg, model.weights, model.bias)
+        np.add.at(n_segments, of[first + seg.texts], 1)
+        above = np.flatnonzero(z > model.threshold)
+        if len(above):
+            joined = "\n".join(some) + "\n"
+            for i in above.tolist():
+                a, b = seg.spans[i]
+                by.setdefault(int(of[first + seg.texts[i]]), []).append((float(z[i]), joined[a:b].strip()))
+    for k, v in by.items():
+        yield k, int(n_segments[k]), len(v), *max(v)
+
+
 def residue(documents: DataFrame, doc_id: str, text: str, model: Model) -> DataFrame:
-    """doc_id, n_segments, n_flagged, score, example of every text with a flagged segment.
+    """doc_id, n_segments, n_flagged, score, example of every text with a segment above the model's threshold.
 
-    The classifier proposes: segments above SURE are flagged, those between DOUBTFUL and SURE only if the
-    phrases of the weak labels bear it out; sentences that quote or explain residue are let go. Null and blank texts have no segments and are never flagged; repeated rows give a
-    row each; empty in, empty out. One pass, no shuffle; the model is broadcast (1 MB).
+    The classifier decides alone; phrases only label its sample. Null and blank texts have no segments and
+    are never flagged; repeated rows give a row each; empty in, empty out. Very long texts are read in
+    pieces, none is cut short. One pass, no shuffle; the model is broadcast (1 MB).
     """
-    table = documents.sparkSession.sparkContext.broadcast((model.weights, model.bias))
+    shared = documents.sparkSession.sparkContext.broadcast(model)
     docs = documents.select(F.col(doc_id).alias("doc"), F.col(text).cast("string").alias("text")).filter("text IS NOT NULL")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weights, bias = table.value
         for pdf in batches:
             ids = pdf["doc"].tolist()
-            texts, of = pieces_of([t.replace("\x00", " ") for t in pdf["text"]])
-            n_segments, by = np.zeros(len(ids), np.int64), {}
-            for first, some in chunks(texts):
-                seg = segments_of(some)
-                z = scores(seg, weights, bias)
-                np.add.at(n_segments, of[first + seg.texts], 1)
-                joined = "\n".join(some) + "\n"
-                for i in np.flatnonzero(z > DOUBTFUL).tolist():
-                    a, b = seg.spans[i]
-                    own = joined[a:b].strip()
-                    if weak_label(own) or (z[i] > SURE and not MENTION.search(own.lower())):
-                        by.setdefault(int(of[first + seg.texts[i]]), []).append((float(z[i]), own))
-            out = [(ids[k], int(n_segments[k]), len(v), *max(v)) for k, v in by.items()]
-            if out:
+            if out := [(ids[k], *rest) for k, *rest in flagged(shared.value, pdf["text"].tolist())]:
                 yield pd.DataFrame(out, columns=["doc", "n_segments", "n_flagged", "score", "example"])
 
     return docs.mapInPandas(run, f"doc {dict(docs.dtypes)['doc']}, n_segments int, n_flagged int, score double, example string").withColumnRenamed("doc", doc_id)
