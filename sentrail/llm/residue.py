@@ -115,7 +115,7 @@ def segments_of(texts: list[str]) -> Segments:
         start = (kind != 0) & ((kind != before) | (kind >= 3))
         first = np.flatnonzero(start)
         if not len(first):
-            return Segments(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, 2), np.int64))
+            return Segments(np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, 2), np.int64))
         # A token's end: the next start or the next blank; blanks add nothing to the prefix sum.
         low[kind == 0] = 0
         # Digits count once: a run of digits is one sign.
@@ -159,15 +159,15 @@ def segments_of(texts: list[str]) -> Segments:
         same_shape = np.full(m, 19, np.uint64)
         spread3, spread4 = same_shape.copy(), same_shape.copy()
         spread3[at], spread4[at] = shape3, shape4
-        slots = np.empty((m, FEATURES), np.int64)
+        slots = np.empty((m, FEATURES), np.int32)
         for i, h in enumerate((token, two, three, repeat, spread3, spread4)):
-            slots[:, i] = (h & mask).astype(np.int64)
+            slots[:, i] = (h & mask).astype(np.int32)
         seg_text = text[seg_first]
         sizes = np.diff(np.r_[seg_first, m])
         per_text = np.bincount(text, minlength=len(texts))
         title = np.r_[True, seg_text[1:] != seg_text[:-1]]
         extra = np.stack([17 + np.minimum(np.log2(sizes).astype(np.int64), 8), 29 + title.astype(np.int64), 31 + (per_text[seg_text] <= SHORT_TEXT_TOKENS).astype(np.int64)], axis=1)
-        flat = np.empty(FEATURES * m + 3 * len(seg_first), np.int64)
+        flat = np.empty(FEATURES * m + 3 * len(seg_first), np.int32)
         starts = FEATURES * seg_first + 3 * np.arange(len(seg_first))
         is_extra = np.zeros(len(flat), bool)
         for i in range(3):
@@ -193,9 +193,9 @@ def fit(s: Segments, labels: np.ndarray, epochs: int = EPOCHS) -> tuple[np.ndarr
     code = np.full(1 << TABLE_BITS, -1, np.int32)
     code[used] = np.arange(len(used))
     sizes = np.diff(np.r_[s.starts, len(s.slots)])
-    row = np.repeat(np.arange(len(sizes)), sizes)
+    row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     slots = code[s.slots]
-    row, slots = row[slots >= 0].astype(np.int32), slots[slots >= 0]
+    row, slots = row[slots >= 0], slots[slots >= 0]
     starts = np.searchsorted(row, np.arange(len(sizes)))  # every segment has its length and place, so none is empty
     y = labels.astype(np.float64)
     share = min(max(y.mean(), 1e-6), 1 - 1e-6)
@@ -305,7 +305,8 @@ def _sample(documents: DataFrame, text: str, source: str, sample_texts: int, see
     once = cut(near.withColumn("cue", cue).groupBy("t").agg(F.first("h").alias("h"), F.min("s").alias("s"), F.first("cue").alias("cue")))
     some = [once.filter(f).orderBy("h", "t").limit(half) for f in (F.col("h") < below(1.1 * half), F.col("cue"))]
     both = some[0].union(some[1]).select("t", "h", "s").distinct().repartition(16)
-    return [r[:] for r in both.mapInPandas(_labelled, "t string, h long, s string, labels array<boolean>").sort("h", "t").select("t", "s", "labels").collect()]
+    # Sorted here: Spark's own sort would label every text twice, once to find its ranges.
+    return [r[1:] for r in sorted(both.mapInPandas(_labelled, "t string, h long, s string, labels array<boolean>").select("h", "t", "s", "labels").collect())]
 
 
 def train(documents: DataFrame, text: str, source: str, sample_texts: int = SAMPLE_TEXTS, seed: int = 7) -> Model:
