@@ -3,14 +3,18 @@
 Each text is measured in tokens of a public tokenizer and its hashed token vector is projected to three
 dimensions; the cell of the point has a place on a Hilbert curve. Texts are range-sorted by that place
 and packed along the curve: a window of neighbours is placed longest first, each into the open container
-that it fills best. Only a text longer than a container is split, into full containers and a rest.
+that it fills best, and containers close once the curve has moved on. Only a text longer than a container
+is split, into full containers and a rest.
 """
 
 from __future__ import annotations
 
 import base64
 import bisect
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -27,8 +31,11 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 DIMENSIONS, BITS = 3, 10
 #: Texts are tokenized in slices of at most so many characters, cut before a blank where there is one.
 SLICE = 200_000
-#: Neighbours along the curve that are placed together, and containers that stay open.
-WINDOW, OPEN = 2048, 512
+#: Neighbours along the curve that are placed together, longest first.
+WINDOW = 64
+#: Passes along the curve: a container is closed when the curve has moved on by so many texts; one that is
+#: filled by less than this share is emptied again into the next pass, which reaches further.
+PASSES = ((64, 0.97), (512, 0.95), (4096, 0.0))
 #: Rows of one packing task; the number of tasks follows from the number of texts.
 ROWS_PER_TASK = 200_000
 
@@ -129,76 +136,128 @@ def curve_places(documents: DataFrame, doc_id: str, text: str, ranks_path: str =
     return docs.mapInPandas(run, f"doc {dict(docs.dtypes)['doc']}, n_tokens long, place long").withColumnRenamed("doc", doc_id)
 
 
+@dataclass
+class _Piece:
+    at: int  # place in the curve's order
+    doc: object
+    size: int
+    no: int
+    of: int
+    start: int
+
+
+class _Open:
+    """Open containers, best fit; one is handed on when it is full or the curve has moved on by `reach` texts."""
+
+    def __init__(self, capacity: int, reach: int, done: Callable[[list[_Piece], int], None]):
+        self.capacity, self.reach, self.done = capacity, reach, done
+        self.free: list[tuple[int, int]] = []  # free tokens, container
+        self.held: dict[int, tuple[int, list[_Piece]]] = {}
+        self.opened: deque[tuple[int, int]] = deque()
+        self.count = 0
+
+    def place(self, pieces: list[_Piece], at: int) -> None:
+        """Pieces of a window that begins at the place `at`, longest first."""
+        while self.opened and at - self.opened[0][0] > self.reach:
+            self._close(self.opened.popleft()[1])
+        for piece in sorted(pieces, key=lambda p: -p.size):
+            i = bisect.bisect_left(self.free, (piece.size, -1))
+            if i < len(self.free):
+                free, k = self.free.pop(i)
+                inside = self.held[k][1]
+            else:
+                free, k, inside = self.capacity, self.count, []
+                self.count += 1
+                self.opened.append((at, k))
+            inside.append(piece)
+            free -= piece.size
+            self.held[k] = free, inside
+            bisect.insort(self.free, (free, k))
+            if not free:
+                self._close(k)
+
+    def _close(self, k: int) -> None:
+        if k in self.held:
+            free, inside = self.held.pop(k)
+            self.free.pop(bisect.bisect_left(self.free, (free, k)))
+            self.done(inside, free)
+
+    def end(self) -> None:
+        for k in list(self.held):
+            self._close(k)
+
+
 class _Packer:
-    """Best fit over a bounded number of open containers."""
+    """Passes along the curve (PASSES): what a pass can't fill well goes on, in the curve's order, to the next."""
 
     def __init__(self, capacity: int, base: int):
-        self.capacity, self.next = capacity, base
-        self.open: list[tuple[int, int, int]] = []  # free tokens, container, offset
-
-    def fresh(self) -> int:
+        self.capacity, self.next, self.rows = capacity, base, []
+        self.passes = [_Open(capacity, reach, partial(self._closed, i)) for i, (reach, _) in enumerate(PASSES)]
+        self.waiting: list[list[_Piece]] = [[] for _ in PASSES]
+
+    def _closed(self, i: int, pieces: list[_Piece], free: int) -> None:
+        if i + 1 < len(PASSES) and free > (1 - PASSES[i][1]) * self.capacity:
+            self.waiting[i + 1] += pieces
+            return
+        at = 0
+        for p in sorted(pieces, key=lambda p: (p.at, p.no)):
+            self.rows.append((p.doc, p.no, p.of, p.start, p.size, self.next, at))
+            at += p.size
         self.next += 1
-        return self.next - 1
 
-    def place(self, size: int) -> tuple[int, int]:
-        at = bisect.bisect_left(self.open, (size, -1, -1))
-        if at < len(self.open):
-            free, container, offset = self.open.pop(at)
-        else:
-            free, container, offset = self.capacity, self.fresh(), 0
-        if free > size:
-            bisect.insort(self.open, (free - size, container, offset + size))
-            if len(self.open) > OPEN:
-                self.open.pop(0)
-        return container, offset
+    def _feed(self, least: int) -> None:
+        for open_, waiting in zip(self.passes, self.waiting):
+            if len(waiting) >= least:
+                window = sorted(waiting, key=lambda p: p.at)
+                waiting.clear()
+                for lo in range(0, len(window), WINDOW):
+                    open_.place(window[lo : lo + WINDOW], window[lo].at)
+
+    def add(self, at: int, doc: object, size: int) -> None:
+        if not size:
+            self.rows.append((doc, 0, 1, 0, 0, None, None))
+            return
+        whole, rest = divmod(size, self.capacity)
+        pieces = whole + (rest > 0)
+        for no in range(whole):
+            self.rows.append((doc, no, pieces, no * self.capacity, self.capacity, self.next, 0))
+            self.next += 1
+        if rest:
+            self.waiting[0].append(_Piece(at, doc, rest, whole, pieces, whole * self.capacity))
+            self._feed(WINDOW)
+
+    def end(self) -> None:
+        for open_ in self.passes:
+            self._feed(1)
+            open_.end()
+
+    def taken(self) -> pd.DataFrame:
+        out = pd.DataFrame(self.rows, columns=["doc", "piece_no", "n_pieces", "start_token", "n_tokens", "container", "offset"])
+        self.rows = []
+        return out.astype({"container": "Int64", "offset": "Int32"})
 
 
 def pack(places: DataFrame, doc_id: str, capacity: int = 2048) -> DataFrame:
     """doc_id, piece_no, n_pieces, start_token, n_tokens, container, offset: every token in one container.
 
-    places: doc_id, n_tokens, place. Rows of 0 tokens (null or empty texts) come back once with a null
-    container; repeated doc_ids are packed each for itself; null doc_ids and ties of place are packed like
-    any other. Empty in, empty out. Containers are numbered within tasks of about ROWS_PER_TASK texts, so
-    no task's share grows with the input and at most OPEN containers per task stay partly filled.
+    places: doc_id, n_tokens, place. Texts of one container lie near each other on the curve (PASSES). Rows
+    of 0 tokens (null or empty texts) come back once with a null container; repeated doc_ids are packed each
+    for itself; null doc_ids and ties of place are packed like any other. Empty in, empty out. Containers
+    are numbered within tasks of about ROWS_PER_TASK texts, so no task's share grows with the input.
     """
     rows = cut(places.select(F.col(doc_id).alias("doc"), "n_tokens", "place"))
     tasks = max(1, -(-rows.count() // ROWS_PER_TASK))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        packer = _Packer(capacity, TaskContext.get().partitionId() << 40)
-        held, n = [], 0
+        packer, at = _Packer(capacity, TaskContext.get().partitionId() << 40), 0
         for pdf in batches:
-            held.append(pdf)
-            n += len(pdf)
-            if n >= WINDOW:
-                both = pd.concat(held)
-                for lo in range(0, n - WINDOW + 1, WINDOW):
-                    yield _placed(both.iloc[lo : lo + WINDOW], packer, capacity)
-                held = [both.iloc[n - n % WINDOW :]]
-                n = len(held[0])
-        if n:
-            yield _placed(pd.concat(held), packer, capacity)
+            for doc, size in zip(pdf["doc"].tolist(), pdf["n_tokens"].tolist()):
+                packer.add(at, doc, size)
+                at += 1
+            yield packer.taken()
+        packer.end()
+        yield packer.taken()
 
     schema = f"doc {dict(rows.dtypes)['doc']}, piece_no int, n_pieces int, start_token long, n_tokens long, container long, offset int"
     ordered = rows.repartitionByRange(tasks, "place", "doc").sortWithinPartitions("place", "doc")
     return ordered.mapInPandas(run, schema).withColumnRenamed("doc", doc_id)
-
-
-def _placed(window: pd.DataFrame, packer: _Packer, capacity: int) -> pd.DataFrame:
-    sizes = window["n_tokens"].to_numpy(np.int64)
-    docs = window["doc"].tolist()
-    out = []
-    for i in np.argsort(-sizes, kind="stable").tolist():
-        size = int(sizes[i])
-        if size == 0:
-            out.append((docs[i], 0, 1, 0, 0, None, None))
-            continue
-        whole, rest = divmod(size, capacity)
-        pieces = whole + (rest > 0)
-        for p in range(whole):
-            out.append((docs[i], p, pieces, p * capacity, capacity, packer.fresh(), 0))
-        if rest:
-            container, offset = packer.place(rest)
-            out.append((docs[i], whole, pieces, whole * capacity, rest, container, offset))
-    frame = pd.DataFrame(out, columns=["doc", "piece_no", "n_pieces", "start_token", "n_tokens", "container", "offset"])
-    return frame.astype({"container": "Int64", "offset": "Int32"})

@@ -221,6 +221,20 @@ def test_packing(spark):
     assert packing.pack(df.limit(0), "doc_id").count() == 0
 
 
+def test_containers_hold_neighbours(spark):
+    """Texts of a container lie within a few windows of each other along the curve."""
+    rng = random.Random(3)
+    rows = [(i, int(min(2000, rng.lognormvariate(5.6, 0.8))) + 1, i) for i in range(12_000)]
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, n_tokens long, place long"), "doc_id").collect()
+    by: dict = {}
+    for r in out:
+        by.setdefault(r.container, []).append(r.doc_id)
+    spans = sorted(max(x) - min(x) for x in by.values() if len(x) > 1)
+    chance = sorted(max(x) - min(x) for x in ([rng.randrange(12_000) for _ in range(6)] for _ in range(500)))
+    assert spans[len(spans) // 2] <= 0.02 * chance[250] and spans[len(spans) * 9 // 10] <= 0.1 * chance[250]
+    assert 1 - sum(r[1] for r in rows) / (len(by) * 2048) <= 0.03
+
+
 def test_token_slices(spark, monkeypatch):
     with open(packing.DEFAULT_RANKS, "rb") as f:
         enc = packing._encoder(f.read())
