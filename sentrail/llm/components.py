@@ -1,10 +1,12 @@
 """Groups of records tied by shared keys, and splits that keep groups whole.
 
 Distributed union-find: each task builds a local forest over its links and passes on one link per node, to
-the node's root. Few links (LAST_FOREST_LINKS) are merged into one forest. More are merged in rounds: every
-node is tied to the smallest neighbour of its neighbours (large star, then small star, by grouped minima),
-and the tasks' local forests shorten the result, until all links are stars. The rounds grow with the
-logarithm of the nodes; only counts reach the driver.
+the node's root. Forests are merged by levels: at each, FAN_IN of them go to one task and become one forest,
+until one is left. Between levels a node that stands in one forest only is settled: nothing but its root
+can change its root, so it is taken out and looks its root up at the end. What is merged are the nodes that
+forests share, and their roots. Should these be more than the next level's tasks may hold, they are first
+contracted by a round of stars (every node is tied to the smallest neighbour of its neighbours, by grouped
+minima). Only counts reach the driver.
 """
 
 from __future__ import annotations
@@ -13,15 +15,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sentrail.session import cut
 
-#: Links that one task may hold as its last forest (about 200 MB).
-LAST_FOREST_LINKS = 2_000_000
-#: Links of a local forest before it is passed on.
-LOCAL_LINKS = 500_000
+#: Links of one task's local forest, forests that one task merges, and forests to begin with at least.
+LOCAL_LINKS, FAN_IN, LEAST_FORESTS = 250_000, 8, 4
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -44,32 +45,12 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return names, names[root]
 
 
-def _whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One forest over all links of the task: at most LAST_FOREST_LINKS."""
-    both = pd.concat(list(batches))
-    names, roots = _forest(both["a"].to_numpy(object).astype(str), both["b"].to_numpy(object).astype(str))
-    yield pd.DataFrame({"node": names, "root": roots})
-
-
-def _local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    held, n = [], 0
-
-    def flush() -> pd.DataFrame:
-        both = pd.concat(held)
-        names, roots = _forest(both["a"].to_numpy(object).astype(str), both["b"].to_numpy(object).astype(str))
-        return pd.DataFrame({"node": names, "root": roots})
-
-    for pdf in batches:
-        held.append(pdf)
-        n += len(pdf)
-        if n >= LOCAL_LINKS:
-            forest = flush().rename(columns={"node": "a", "root": "b"})
-            held, n = [forest], 0
-            if len(forest) > LOCAL_LINKS // 2:
-                yield forest.rename(columns={"a": "node", "b": "root"})
-                held = []
-    if held:
-        yield flush()
+def _grown(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The forest over a task's links: (number of the task, node, root), roots with themselves."""
+    parts = [(pdf["a"].to_numpy(object), pdf["b"].to_numpy(object)) for pdf in batches]
+    if sum(len(a) for a, _ in parts):
+        names, roots = _forest(np.concatenate([a for a, _ in parts]).astype(str), np.concatenate([b for _, b in parts]).astype(str))
+        yield pd.DataFrame({"f": TaskContext.get().partitionId(), "node": names, "root": roots})
 
 
 def _pairs(df: DataFrame) -> DataFrame:
@@ -87,6 +68,12 @@ def _star_round(links: DataFrame) -> DataFrame:
     return _pairs(small)
 
 
+def _are_stars(links: DataFrame) -> bool:
+    """Whether no node is both a leaf and a root, or a leaf of two roots, in links a > b."""
+    leaves = links.select("a")
+    return leaves.join(links.select(F.col("b").alias("a")).distinct(), "a", "left_semi").limit(1).count() == 0 and leaves.distinct().count() == leaves.count()
+
+
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """node, root: every node of the links with the smallest node (as text) tied to it.
 
@@ -95,20 +82,36 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     are combined before any shuffle.
     """
     named = links.select(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b")).dropna()
-    alone = named.filter("a = b").select("a").distinct()
+    alone = named.filter("a = b").select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()
     todo = cut(_pairs(named))
-    while (n := todo.count()) > LAST_FOREST_LINKS:
-        shorter = todo.mapInPandas(_local, "node string, root string").select(F.col("node").alias("a"), F.col("root").alias("b"))
-        todo = cut(_star_round(_pairs(shorter)))
-        stars = todo.join(todo.select(F.col("b").alias("a")).distinct(), "a", "left_semi").limit(1).count() == 0
-        if stars and todo.select("a").distinct().count() == todo.count():
-            roots = todo.select(F.col("a").alias("node"), F.col("b").alias("root"))
-            known = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-            break
-    else:
-        known = cut(todo.coalesce(1).mapInPandas(_whole, "node string, root string")) if n else todo.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    single = alone.select(F.col("a").alias("node"), F.col("a").alias("root"))
-    return known.unionByName(single.join(known.select("node"), "node", "left_anti"))
+    tasks = max(LEAST_FORESTS, -(-todo.count() // LOCAL_LINKS))
+    forest = cut(todo.repartition(tasks).mapInPandas(_grown, "f int, node string, root string"))
+    settled: list[DataFrame] = []
+    while tasks > 1:
+        marked = cut(forest.filter("node <> root").join(forest.groupBy("node").count(), "node"))
+        settled.append(marked.filter("count = 1").select("node", "root"))
+        shared = marked.filter("count > 1").select("f", F.col("node").alias("a"), F.col("root").alias("b"))
+        tasks = -(-tasks // FAN_IN)
+        room = tasks * FAN_IN * LOCAL_LINKS
+        if shared.count() > room:
+            shared = cut(_pairs(shared.select("a", "b")))
+            while shared.count() > room and not _are_stars(shared):
+                shared = cut(_star_round(shared))
+            if shared.count() > room:  # stars say each node's root: nothing is left to merge
+                stars = shared.select(F.lit(0).alias("f"), F.col("a").alias("node"), F.col("b").alias("root"))
+                forest = stars.unionByName(stars.select("f", F.col("root").alias("node"), "root").distinct())
+                break
+            shared = shared.withColumn("f", F.pmod(F.xxhash64("a", "b"), F.lit(tasks * FAN_IN)).cast("int"))
+        merging = shared.repartition(tasks, F.floor(F.col("f") / FAN_IN)) if tasks > 1 else shared.coalesce(1)
+        forest = cut(merging.select("a", "b").mapInPandas(_grown, "f int, node string, root string"))
+    known = forest.select("node", "root")
+    for level in reversed(settled):
+        above = known.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        known = known.unionByName(level.join(above, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
+    known = cut(known)
+    # Roots of trees that share no node with another forest, and nodes that are only linked to themselves.
+    own = known.select(F.col("root").alias("node"), "root").unionByName(alone).distinct()
+    return known.unionByName(own.join(known.select("node"), "node", "left_anti"))
 
 
 def assign_splits(groups: DataFrame, group: str, size: str, shares: dict[str, float], heavy_share: float = 1e-4, buckets: int = 10_000) -> DataFrame:
@@ -116,8 +119,9 @@ def assign_splits(groups: DataFrame, group: str, size: str, shares: dict[str, fl
 
     Groups of more than heavy_share of all rows (at most 1/heavy_share of them) are placed one by one;
     the light rest is placed in `buckets` hash buckets by the same rule, so the driver sees a bounded
-    number of sizes at any scale. Ties go by name. Null groups are dropped. The deviation from a target
-    is bounded by the largest group. Empty in, empty out.
+    number of sizes at any scale. Ties go by name. Null groups are dropped. A split misses its target by at
+    most the largest unit placed, a group or a bucket (a bucket holds about 1/buckets of the light rows, and
+    one light group more at most than chance gives it). Empty in, empty out.
     """
     sized = groups.filter(F.col(group).isNotNull()).groupBy(F.col(group).alias("g")).agg(F.sum(size).alias("n"))
     total = sized.agg(F.sum("n")).first()[0] or 0

@@ -11,7 +11,7 @@ from sentrail.llm.runs import collapse_runs
 from sentrail.llm.sampling import draw_sample, matching, quota_report
 from sentrail.llm.sequences import flat_events, one_per_sequence, slim_events
 from sentrail.queries.features import fold_sql, machine_sql
-from sentrail.session import table
+from sentrail.session import cut, table
 
 SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
 CATEGORY = ["user_role", "channel", "label", "difficulty"]
@@ -52,13 +52,14 @@ def split_table(sequences: DataFrame, machines: DataFrame) -> DataFrame:
     with a number) ties it to others; placeholders tie nothing.
     """
     rows = sequences.filter(F.col("seq_id").isNotNull()).groupBy("seq_id", machine_key(F.col("vm_id")).alias("vm_key")).agg(F.count(F.lit(1)).alias("n"))
-    keyed = rows.join(_machine_groups(machines), "vm_key", "left").withColumn("home", F.coalesce("group_vm_id", "vm_key"))
+    keyed = cut(rows.join(_machine_groups(machines), "vm_key", "left").select("seq_id", "n", F.coalesce("group_vm_id", "vm_key").alias("home")))
     # Only a seq_id with several homes ties groups to each other; all other rows go by their home alone.
     homes = keyed.groupBy("seq_id").agg(F.min("home").alias("home"), F.max("home").alias("far"), F.sum("n").alias("n"))
     several = homes.filter("home <> far").select("seq_id")
     ties = keyed.filter("home IS NOT NULL").join(several, "seq_id").join(homes.select("seq_id", F.col("home").alias("least")), "seq_id").select("home", "least").filter("home <> least")
     tied = components(ties, "home", "least")
     grouped = homes.join(tied, homes.home == tied.node, "left").select("seq_id", F.coalesce("root", "home", F.concat(F.lit("seq:"), "seq_id")).alias("group_id"), "n")
+    grouped = cut(grouped)
     return grouped.join(assign_splits(grouped, "group_id", "n", SHARES), "group_id").select("seq_id", "split", "group_id", F.col("n").alias("n_rows"))
 
 

@@ -74,11 +74,12 @@ def test_runs_for_any_chunk(spark, chunk):
 # Components and splits
 
 
-@pytest.mark.parametrize("last,local", [(10**6, 10**6), (1, 10**6), (1, 20)])
-def test_components(spark, monkeypatch, last, local):
-    """As one forest, and in rounds of stars with large and small local forests."""
-    monkeypatch.setattr(C, "LAST_FOREST_LINKS", last)
+@pytest.mark.parametrize("local,fan_in,least", [(10**6, 8, 4), (10**6, 2, 9), (60, 2, 4), (5, 2, 4), (1, 2, 2)])
+def test_components(spark, monkeypatch, local, fan_in, least):
+    """However many local forests there are, merged in one or more levels, with and without rounds of stars."""
     monkeypatch.setattr(C, "LOCAL_LINKS", local)
+    monkeypatch.setattr(C, "FAN_IN", fan_in)
+    monkeypatch.setattr(C, "LEAST_FORESTS", least)
     rng = random.Random(2)
     links = [(f"n{rng.randrange(300):03d}", f"n{rng.randrange(300):03d}") for _ in range(170)] + [(None, "n1"), ("hub", "n000")] + [("hub", f"leaf{i}") for i in range(50)] + [(f"path{i:02d}", f"path{i + 1:02d}") for i in range(60)] + [("self", "self"), ("hub", "hub")]
     parent = {}
