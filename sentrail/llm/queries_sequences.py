@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sentrail.functions.canon import machine_key, name_key
 from sentrail.llm.components import assign_splits, components
 from sentrail.llm.runs import collapse_runs
-from sentrail.llm.sampling import draw_sample, matching, quota_report
+from sentrail.llm.sampling import draw_sample, matching, quota_report, reservoirs, size_of
 from sentrail.llm.sequences import flat_events, one_per_sequence, slim_events
 from sentrail.queries.features import fold_sql, machine_sql
 from sentrail.session import cut, table
@@ -74,22 +74,26 @@ def _categories(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return one_per_sequence(matching(rows, targets, CATEGORY), *CATEGORY), targets
 
 
-def _report(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    rows, targets = _categories(spark, d)
-    return rows, quota_report(rows, targets, CATEGORY, "target_bp", "min_rows", rows.count() // 5)
+def _report(rows: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The merged reservoirs and what they say of each target."""
+    merged = reservoirs(rows, "seq_id", CATEGORY)
+    return merged, quota_report(merged, targets, CATEGORY, "target_bp", "min_rows", size_of(merged) // 5)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return _report(spark, d)[1].filter("NOT met").select(*CATEGORY)
+    return _report(*_categories(spark, d))[1].filter("NOT met").select(*CATEGORY)
 
 
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
-    return _report(spark, d)[1].select(*CATEGORY, "target_bp", "available", "wanted", "taken", "met")
+    return _report(*_categories(spark, d))[1].select(*CATEGORY, "target_bp", "available", "wanted", "taken", "shortfall", "met")
 
 
 def p4_sample(spark: SparkSession, d: str) -> DataFrame:
-    rows, report = _report(spark, d)
-    return draw_sample(rows, report, "seq_id", CATEGORY).select("seq_id", *CATEGORY)
+    """The sample itself; the sequences are read once, into narrow rows that both steps use."""
+    rows, targets = _categories(spark, d)
+    rows = cut(rows)
+    merged, report = _report(rows, targets)
+    return draw_sample(rows, merged, report, "seq_id", CATEGORY).select("seq_id", *CATEGORY)
 
 
 QUERIES = {"p2_found": p2_found, "p2_collapsed": p2_collapsed, "p3_found": p3_found, "p3_split": p3_split, "p4_found": p4_found, "p4_report": p4_report, "p4_sample": p4_sample}
@@ -130,5 +134,6 @@ ORACLES = {
     "p2_collapsed": _P2 + "SELECT seq_id, first_event_id, base_type, action_key, target_key, n_events, start_us, duration_us FROM r",
     "p3_found": _P3 + f"SELECT s.seq_id, min(g.group_vm_id) AS group_vm_id FROM op_sequences s JOIN m ON m.k = {machine_sql('s.vm_id')} JOIN g ON g.vm_id = m.vm_id WHERE s.seq_id IS NOT NULL GROUP BY s.seq_id",
     "p4_found": _P4 + f"SELECT {', '.join(CATEGORY)} FROM q WHERE available < wanted",
-    "p4_report": _P4 + f"SELECT {', '.join(CATEGORY)}, target_bp, available, wanted, least(available, wanted) AS taken, available >= wanted AS met FROM q",
+    "p4_report": _P4 + f"SELECT {', '.join(CATEGORY)}, target_bp, available, wanted, least(available, wanted) AS taken, wanted - least(available, wanted) AS shortfall, available >= wanted AS met FROM q",
+    "p4_sample": _P4 + f", o AS (SELECT seq_id, {', '.join(f'r.{k} AS {k}' for k in CATEGORY)} FROM c), ranked AS (SELECT o.*, row_number() OVER (PARTITION BY {', '.join(f'o.{k}' for k in CATEGORY)} ORDER BY md5('42:' || seq_id), seq_id) AS place FROM o) SELECT seq_id, {', '.join(f'ranked.{k}' for k in CATEGORY)} FROM ranked JOIN q USING ({', '.join(CATEGORY)}) WHERE place <= least(available, wanted)",
 }

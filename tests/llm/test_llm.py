@@ -16,7 +16,7 @@ from sentrail import llm
 from sentrail.llm import components as C
 from sentrail.llm import packing, residue, winnow
 from sentrail.llm.runs import collapse_runs
-from sentrail.llm.sampling import draw_sample, matching, quota_report
+from sentrail.llm.sampling import draw_sample, matching, quota_report, reservoirs, size_of
 from sentrail.llm.subsequences import PatternTree, frequent_subsequences
 from tests.oracle import compare
 
@@ -127,17 +127,22 @@ def test_sample(spark):
     df = spark.createDataFrame(rows, "id long, k string")
     targets = spark.createDataFrame([("a", 5000, 1), ("b", 2500, 1), ("c", 2500, 4000), ("d", 0, 7)], "k string, bp int, least int")
     known = matching(df, targets, ["k"])
-    report = quota_report(known, targets, ["k"], "bp", "least", 2000).cache()
+    merged = reservoirs(known, "id", ["k"])
+    assert size_of(merged) == known.count() and size_of(reservoirs(known.limit(0), "id", ["k"])) == 0
+    parts = reservoirs(known.filter("id < 9000"), "id", ["k"]).unionByName(reservoirs(known.filter("id >= 9000"), "id", ["k"])).groupBy("k", "slot").agg(F.sum("n").alias("n"))
+    assert sorted(map(tuple, parts.collect())) == sorted(map(tuple, merged.collect()))
+    report = quota_report(merged, targets, ["k"], "bp", "least", 2000).cache()
     by = {r.k: r for r in report.collect()}
     assert (by["a"].wanted, by["a"].taken, by["b"].taken) == (1000, 1000, 500) and not by["d"].met and by["d"].available == 0
+    assert by["d"].shortfall == 7 and by["a"].shortfall == 0
     assert by["c"].wanted == 4000 and by["c"].taken == min(4000, by["c"].available)
-    sample = [r.id for r in draw_sample(known, report, "id", ["k"]).collect()]
+    sample = [r.id for r in draw_sample(known, merged, report, "id", ["k"]).collect()]
     assert len(sample) == len(set(sample)) == sum(r.taken for r in by.values())
-    again = [r.id for r in draw_sample(known.repartition(7), report, "id", ["k"]).collect()]
+    again = [r.id for r in draw_sample(known.repartition(7), merged, report, "id", ["k"]).collect()]
     assert sorted(sample) == sorted(again)
     half = sum(i < 10_000 for i in sample) / len(sample)
     assert 0.45 < half < 0.55
-    assert draw_sample(known.limit(0), report, "id", ["k"]).count() == 0
+    assert draw_sample(known.limit(0), merged, report, "id", ["k"]).count() == 0
 
 
 # Frequent subsequences
