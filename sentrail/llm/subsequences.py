@@ -7,8 +7,10 @@ any set of roots are found by interval search in the header list and no intermed
 
 No tree holds all sequences: each task builds one tree per class over its own share. A pattern frequent
 in all the data is frequent in at least one share (its support there would else sum to too little), so
-the locally frequent patterns are the candidates, and a second pass over the same trees counts exactly
-these in every share.
+the locally frequent patterns are the candidates. In a share that does not report a pattern its support
+is below that share's bar, so what the shares report bounds a candidate's support from above; those that
+can't reach the class's bar are dropped, and a second pass over the same trees counts the rest exactly. The
+candidates stay a table: blocks of bounded size are broadcast one after the other.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import pickle
 from collections import Counter
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -26,6 +29,9 @@ from pyspark.sql import functions as F
 
 from sentrail.session import cut
 
+#: Candidates of one broadcast (about 100 bytes each); more are counted in as many passes as it takes.
+CANDIDATE_BLOCK = 200_000
+
 
 class PatternTree:
     """Prefix tree of (steps, count) with preorder codes and header links, all as arrays."""
@@ -123,9 +129,8 @@ def frequent_subsequences(sequences: DataFrame, seq: str, cls: str, steps: str,
     sequences has one row per sequence (seq unique within cls) with its ordered array of steps. Rows with
     a null class are dropped; null steps are skipped; empty or null arrays count in the class's size but
     hold nothing. A sequence counts once for a pattern however often it holds it. Empty in, empty out.
-    About per_share sequences of a class go into one tree, whatever the input's size. The candidates that
-    are broadcast are patterns, not rows: in a share of m sequences each is held by share*m of them, so
-    there are at most 1/share times the mean number of subsequences of one sequence for each share.
+    About per_share sequences of a class go into one tree, whatever the input's size. The driver holds the
+    classes' sizes and at most CANDIDATE_BLOCK candidates at a time.
     """
     share = Fraction(share).limit_denominator(1_000_000)
     spark = sequences.sparkSession
@@ -138,32 +143,44 @@ def frequent_subsequences(sequences: DataFrame, seq: str, cls: str, steps: str,
     tasks = sum(max(1, n // per_share) for n in sizes.values()) or 1
     dealt = cut(rows.join(shares, "cls").select("cls", part, "steps").repartition(tasks, "cls", "part").select("cls", "steps"))
 
+    bars = spark.createDataFrame([(c, max(1, math.ceil(n * share))) for c, n in sizes.items()], "cls string, least long")
+
     def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Support above what a silent share may hold of each locally frequent pattern; null: what it may hold."""
         for name, codes, tree in _trees(batches):
             names = list(codes)
-            least = max(1, math.ceil(tree.total * share))
-            found = [(name, [names[s] for s in p]) for p, _ in tree.mine(least, longest) if len(p) >= shortest]
-            yield pd.DataFrame(found, columns=["cls", "pattern"])
-
-    local = dealt.mapInPandas(candidates, "cls string, pattern array<string>").distinct()
-    wanted: dict[str, dict] = {}
-    for name, pattern in local.toLocalIterator():
-        node = wanted.setdefault(name, {})
-        for s in pattern:
-            node = node.setdefault(s, {})
-        node[None] = {}
-    tries = spark.sparkContext.broadcast(pickle.dumps(wanted))
+            most = max(1, math.ceil(tree.total * share)) - 1
+            found = [(name, [names[s] for s in p], n - most) for p, n in tree.mine(most + 1, longest) if len(p) >= shortest]
+            yield pd.DataFrame([*found, (name, None, most)], columns=["cls", "pattern", "n"])
+
+    local = cut(dealt.mapInPandas(candidates, "cls string, pattern array<string>, n long"))
+    silent = local.filter("pattern IS NULL").groupBy("cls").agg(F.sum("n").alias("silent")).join(bars, "cls")
+    wanted = local.filter("pattern IS NOT NULL").groupBy("cls", "pattern").agg(F.sum("n").alias("n")).join(F.broadcast(silent), "cls").filter("n + silent >= least")
+    wanted = cut(wanted.select("cls", "pattern"))
+    blocks = max(1, -(-wanted.count() // CANDIDATE_BLOCK))
 
     def coded(trie: dict, codes: dict[str, int]) -> dict:
         return {None if s is None else codes[s]: coded(t, codes) for s, t in trie.items() if s is None or s in codes}
 
-    def supports(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        every = pickle.loads(tries.value)
-        for name, codes, tree in _trees(batches):
-            names = list(codes)
-            found = [(name, [names[s] for s in p], n) for p, n in tree.supports(coded(every.get(name, {}), codes))]
-            yield pd.DataFrame(found, columns=["cls", "pattern", "n"])
-
-    counted = dealt.mapInPandas(supports, "cls string, pattern array<string>, n long").groupBy("cls", "pattern").agg(F.sum("n").alias("support"))
-    least = spark.createDataFrame([(c, max(1, math.ceil(n * share))) for c, n in sizes.items()], "cls string, least long")
-    return counted.join(least, "cls").filter("support >= least").select(F.col("cls").alias(cls), "pattern", "support")
+    def counts(block: DataFrame) -> DataFrame:
+        tries: dict[str, dict] = {}
+        for name, pattern in block.collect():
+            node = tries.setdefault(name, {})
+            for s in pattern:
+                node = node.setdefault(s, {})
+            node[None] = {}
+        shared = spark.sparkContext.broadcast(pickle.dumps(tries))
+
+        def supports(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            every = None
+            for name, codes, tree in _trees(batches):
+                every = pickle.loads(shared.value) if every is None else every
+                names = list(codes)
+                found = [(name, [names[s] for s in p], n) for p, n in tree.supports(coded(every.get(name, {}), codes))]
+                yield pd.DataFrame(found, columns=["cls", "pattern", "n"])
+
+        return dealt.mapInPandas(supports, "cls string, pattern array<string>, n long")
+
+    parts = [counts(wanted if blocks == 1 else wanted.filter(F.pmod(F.xxhash64("cls", "pattern"), F.lit(blocks)) == i)) for i in range(blocks)]
+    counted = reduce(DataFrame.unionByName, parts).groupBy("cls", "pattern").agg(F.sum("n").alias("support"))
+    return counted.join(F.broadcast(bars), "cls").filter("support >= least").select(F.col("cls").alias(cls), "pattern", "support")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from sentrail import llm
 from sentrail.llm import components as C
 from sentrail.llm import packing, residue, winnow
+from sentrail.llm import subsequences as S
 from sentrail.llm.runs import collapse_runs
 from sentrail.llm.sampling import draw_sample, matching, quota_report, reservoirs, size_of
 from sentrail.llm.subsequences import PatternTree, frequent_subsequences
@@ -176,7 +177,9 @@ def test_pattern_tree(seqs):
     assert dict(tree.supports(trie)) == {p: want[p] for p in list(want)[:20]}
 
 
-def test_frequent_subsequences(spark):
+@pytest.mark.parametrize("block", [200_000, 7])
+def test_frequent_subsequences(spark, monkeypatch, block):
+    monkeypatch.setattr(S, "CANDIDATE_BLOCK", block)
     rng = random.Random(8)
     rows = [(f"s{i}", rng.choice(["n", "n", "a", None]), [rng.choice("abcde") if rng.random() > 0.02 else None for _ in range(rng.randrange(9))]) for i in range(900)] + [("x", "rare", ["a", "b", "c"]), ("y", "n", None)]
     df = spark.createDataFrame(rows, "seq string, cls string, steps array<string>")
