@@ -81,19 +81,12 @@ def admission(df: DataFrame, key: str, ts: str, row_id: str, limit: int = 5, sec
 def expiring_set(df: DataFrame, key: str, item: str, ts: str, row_id: str, admit_if: str, ttl_s: float = 86_400.0) -> DataFrame:
     """row_id, known: whether the item was admitted for the key at most ttl_s ago, before this row.
 
-    admit_if is a predicate over the row; an admitted item's time is renewed by each admission.
+    admit_if is a predicate over the row; an admitted item's time is renewed by each admission, so the last
+    one before a row decides, which is a running maximum. Null keys and rows without a time are dropped.
     """
-    timed = df.withColumns({"now": F.unix_micros(F.col(ts).cast("timestamp")) / 1e6, "enters": F.coalesce(F.expr(admit_if), F.lit(False))}).filter("now IS NOT NULL")
-
-    def step(known: dict, row: object) -> tuple[dict, tuple]:
-        name, now = getattr(row, item), row.now
-        hit = name in known and now - known[name] <= ttl_s
-        if row.enters:
-            known[name] = now
-            if len(known) % 1000 == 0:
-                for old in [k for k, t in known.items() if now - t > ttl_s]:
-                    del known[old]
-        return known, (getattr(row, row_id), hit)
+    from sentrail.operators.temporal import running_max
 
-    kind = dict(df.dtypes)[row_id]
-    return ordered_fold(timed, key, ["now", row_id], dict, step, f"{row_id} {kind}, known boolean")
+    rows = df.filter(F.col(key).isNotNull() & F.col(ts).isNotNull())
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    last = running_max(rows, [key, item], ts, [ts, row_id], F.when(F.coalesce(F.expr(admit_if), F.lit(False)), at), "_last")
+    return last.select(row_id, F.coalesce(at - F.col("_last") <= int(ttl_s * 1e6), F.lit(False)).alias("known"))

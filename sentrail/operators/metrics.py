@@ -60,3 +60,12 @@ def youden(df: DataFrame, truth: str, score: str, max_fpr: float = 0.05, digits:
     whole = Window.partitionBy("_all")
     r = v.select("threshold", (F.sum("p").over(down) / F.greatest(F.sum("p").over(whole), F.lit(1))).alias("tpr"), (F.sum("n").over(down) / F.greatest(F.sum("n").over(whole), F.lit(1))).alias("fpr"))
     return r.filter(F.col("fpr") <= max_fpr).orderBy((F.col("tpr") - F.col("fpr")).desc(), F.col("threshold").desc()).limit(1)
+
+
+def normal_tail(z: Column) -> Column:
+    """P(Z > |z|) of the standard normal, to 7 digits (the usual rational series of five terms)."""
+    x = F.abs(z)
+    t = 1 / (1 + 0.2316419 * x)
+    # Coefficients of the series.
+    series = sum((c * F.pow(t, F.lit(i)) for i, c in enumerate((0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429), 1)), F.lit(0.0))
+    return F.exp(-x * x / 2) / math.sqrt(2 * math.pi) * series

@@ -65,23 +65,22 @@ def top_per_group(df: DataFrame, group: list[str], order: list, k: int) -> DataF
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col("rank") <= k)
 
 
-def call_chain(df: DataFrame, child: str, parent: str, max_depth: int = 32) -> DataFrame:
-    """node, ancestor, depth: every ancestor within max_depth steps, by doubling of the reach.
+def call_chain(df: DataFrame, child: str, parent: str) -> DataFrame:
+    """node, ancestor, depth: every ancestor over any number of steps, by doubling of the reach.
 
-    Each round joins the known reach with itself once, so depth d needs log2(d) rounds. Cycles end at
-    max_depth, with the smallest depth kept. Null parents end a chain.
+    A round joins the newest reach with the known one, so depth d needs about log2(d) rounds; it ends when
+    no pair is new or nearer. In a cycle every member is an ancestor of every other and, one round later,
+    of itself, each with its smallest depth. Null parents end a chain.
     """
     from sentrail.session import cut
 
-    step = cut(df.select(F.col(child).alias("node"), F.col(parent).alias("ancestor")).dropna().distinct().withColumn("depth", F.lit(1)))
-    known, reach = step, 1
-    while reach < max_depth:
+    known = cut(df.select(F.col(child).alias("node"), F.col(parent).alias("ancestor")).dropna().distinct().withColumn("depth", F.lit(1)))
+    while True:
         further = known.alias("a").join(known.alias("b"), F.col("a.ancestor") == F.col("b.node")).select(F.col("a.node").alias("node"), F.col("b.ancestor").alias("ancestor"), (F.col("a.depth") + F.col("b.depth")).alias("depth"))
-        wider = cut(known.unionByName(further).filter(F.col("depth") <= max_depth).groupBy("node", "ancestor").agg(F.min("depth").alias("depth")))
-        if wider.count() == known.count():
+        wider = cut(known.unionByName(further).groupBy("node", "ancestor").agg(F.min("depth").alias("depth")))
+        if wider.join(known, ["node", "ancestor", "depth"], "left_anti").limit(1).count() == 0:
             return wider
-        known, reach = wider, reach * 2
-    return known
+        known = wider
 
 
 def first_with_rows(*frames: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# The operators of a constraint.
 OPERATORS = ("==", "!=", ">", ">=", "<", "<=", "in", "not_in", "contains", "matches")
 
 
@@ -112,8 +113,8 @@ def rank_templates(templates: DataFrame, roles: list[str], kinds: list[str], k:
         union = F.size(F.array_union(c, w))
         return F.when(union > 0, F.size(F.array_intersect(c, w)) / union).otherwise(0.0)
 
-    top = templates.agg(F.max("cost").alias("most")).withColumn("_one", F.lit(1))
-    s = templates.withColumn("_one", F.lit(1)).join(top, "_one").withColumn("score", 0.4 * jaccard("roles", roles) + 0.4 * jaccard("kinds", kinds) + 0.2 * (1 - F.col("cost") / F.col("most")))
+    most = float(templates.agg(F.max("cost")).first()[0] or 1.0)  # one number
+    s = templates.withColumn("score", 0.4 * jaccard("roles", roles) + 0.4 * jaccard("kinds", kinds) + 0.2 * (1 - F.col("cost") / F.lit(most)))
     return s.orderBy(F.col("score").desc(), "template_no").limit(k).select("template_no", F.round("score", 6).alias("score"))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Query vectors that one broadcast block holds.
@@ -118,6 +118,61 @@ def knn(rows: DataFrame, queries: DataFrame, row_id: str, vector: str, k: int) -
     return top_per_group(chain(*found).drop("_part"), ["query_id"], [F.col("score").desc(), F.col("row_id")], k)
 
 
+def cluster_distances(rows: DataFrame, queries: DataFrame, row_id: str, vector: str, cluster: str) -> DataFrame:
+    """query_id, own, cluster, s, n: summed distances of each query to each cluster's rows, and their number.
+
+    The query set goes out in blocks of QUERY_BLOCK vectors; a task adds up per query and cluster only.
+    Null vectors and clusters are skipped.
+    """
+    spark = rows.sparkSession
+    every = rows.select(F.col(vector).alias("v"), F.col(cluster).alias("c")).dropna()
+    qs = queries.select(F.col(row_id).cast("long").alias("id"), F.col(cluster).alias("own"), F.col(vector).alias("v")).dropna()
+    blocks = max(1, -(-qs.count() // QUERY_BLOCK))
+    kind, found = dict(every.dtypes)["c"], []
+    for b in range(blocks):
+        part = (qs if blocks == 1 else qs.filter(F.pmod("id", F.lit(blocks)) == b)).orderBy("id").collect()
+        block = spark.sparkContext.broadcast(pickle.dumps((np.array([r.id for r in part], np.int64), [r.own for r in part], np.array([r.v for r in part], np.float64))))
+
+        def sums(batches: Iterator[pd.DataFrame], block=block) -> Iterator[pd.DataFrame]:
+            ids, own, m = pickle.loads(block.value)
+            total: dict = {}
+            for pdf in batches if len(ids) else ():
+                x, of = np.array(pdf["v"].tolist(), np.float64), pdf["c"].to_numpy()
+                for lo in range(0, len(x), 512):
+                    y, c = x[lo : lo + 512], of[lo : lo + 512]
+                    dist = np.sqrt(np.maximum((m * m).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * m @ y.T, 0))
+                    for k in np.unique(c):
+                        s, n = total.get(k, (0.0, 0))
+                        total[k] = s + dist[:, c == k].sum(1), n + int((c == k).sum())
+            for k, (s, n) in total.items():
+                yield pd.DataFrame({"query_id": ids, "own": own, "cluster": k, "s": s, "n": n})
+
+        found.append(every.mapInPandas(sums, f"query_id long, own {kind}, cluster {kind}, s double, n long"))
+    from sentrail.operators.relational import chain
+
+    return chain(*found).groupBy("query_id", "own", "cluster").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+
+
+def quantiles(df: DataFrame, group: str, value: str, shares: list[float]) -> DataFrame:
+    """group, cuts: exact quantiles (linear between neighbours) of each group, whatever its size.
+
+    A sketch brackets every quantile within a thousandth of the ranks; only the values inside a bracket are
+    ranked, counted on from those below. Small groups are bracketed whole. Null values are skipped.
+    """
+    rows = df.select(F.col(group).alias("g"), F.col(value).cast("double").alias("x")).filter("x IS NOT NULL")
+    near = lambda by: F.percentile_approx("x", F.array(*[F.lit(min(1.0, max(0.0, q + by))) for q in shares]), 4000)
+    s = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), near(-0.001).alias("lo"), near(0.001).alias("hi"), F.min("x").alias("least"), F.max("x").alias("most"))
+    small = F.col("n") < 4000
+    each = F.array(*[F.struct(F.lit(i).alias("i"), F.when(small, F.col("least")).otherwise(F.col("lo")[i]).alias("lo"), F.when(small, F.col("most")).otherwise(F.col("hi")[i]).alias("hi"), ((F.col("n") - 1) * q).alias("at")) for i, q in enumerate(shares)])
+    j = rows.join(F.broadcast(s.select("g", each.alias("b"))), "g").select("g", "x", F.explode("b").alias("b")).select("g", "x", "b.*")
+    below = j.groupBy("g", "i").agg(F.count_if(F.col("x") < F.col("lo")).alias("below"))
+    inside = j.filter((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi"))).withColumn("r", F.row_number().over(Window.partitionBy("g", "i").orderBy("x")) - 1)
+    ranked = inside.join(below, ["g", "i"]).withColumn("rank", F.col("r") + F.col("below"))
+    two = ranked.groupBy("g", "i").agg(F.max(F.when(F.col("rank") == F.floor("at"), F.col("x"))).alias("a"), F.max(F.when(F.col("rank") == F.ceil("at"), F.col("x"))).alias("b"), F.max(F.col("at") - F.floor("at")).alias("t"))
+    cuts = two.groupBy("g").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", (F.col("a") + (F.col("b") - F.col("a")) * F.col("t")).alias("c")))), lambda x: x["c"]).alias("cuts"))
+    return cuts.withColumnRenamed("g", group)
+
+
 def seed_centres(df: DataFrame, vector: str, k: int, seed: int = 42, sample: int = 20_000) -> np.ndarray:
     """k centres by the k-means++ rule on a bounded sample (by hash of the vector, so reruns agree)."""
     rows = df.filter(F.col(vector).isNotNull()).select(F.col(vector).alias("v"), F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.to_json(F.struct(vector))), 32).alias("h"))

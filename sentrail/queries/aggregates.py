@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sentrail.operators.metrics import binary_metrics
-from sentrail.operators.temporal import every_nth, rate, seconds_of, sliding_count
+from sentrail.operators.temporal import day_of, every_nth, rate, seconds_of, with_context, within_seconds
 from sentrail.session import table
 
 R = lambda c, n=6: F.round(c, n)
@@ -24,33 +24,50 @@ def ag4_entropy(spark: SparkSession, d: str) -> DataFrame:
     return p.groupBy("user_id").agg(R(-F.sum(F.col("p") * F.ln(F.col("p") + 1e-12))).alias("entropy"))
 
 
+def _trigrams(spark: SparkSession, d: str) -> DataFrame:
+    """user_id, a, b, c: each event type with the user's two before it; hot users are spread over days."""
+    rows = with_context(table(spark, d, "events").select("user_id", "ts", "event_id", "event_type"), "user_id", day_of("ts"), ["ts", "event_id"], 2)
+    w = Window.partitionBy("user_id", "_bucket").orderBy("ts", "event_id")
+    t = rows.select("user_id", "_context", F.lag("event_type", 2).over(w).alias("a"), F.lag("event_type", 1).over(w).alias("b"), F.col("event_type").alias("c"), F.lag(F.lit(1), 2).over(w).alias("third"))
+    return t.filter("third = 1 AND c IS NOT NULL AND NOT _context")
+
+
 def ag5_trigrams(spark: SparkSession, d: str) -> DataFrame:
     """P(third | first, second) of event types in each user's order."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    t = table(spark, d, "events").select("user_id", F.col("event_type").alias("a"), F.lead("event_type", 1).over(w).alias("b"), F.lead("event_type", 2).over(w).alias("c")).filter("c IS NOT NULL")
+    t = _trigrams(spark, d)
     n = t.groupBy("a", "b", "c").agg(F.count(F.lit(1)).alias("n"))
     return n.select("a", "b", "c", "n", R(F.col("n") / F.sum("n").over(Window.partitionBy("a", "b"))).alias("p"))
 
 
 def ag6_top_trigrams(spark: SparkSession, d: str) -> DataFrame:
-    """Each user's 4 most frequent trigrams, ties by name."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    t = table(spark, d, "events").select("user_id", F.concat_ws(">", "event_type", F.lead("event_type", 1).over(w), F.lead("event_type", 2).over(w)).alias("t"), F.lead("event_type", 2).over(w).alias("c")).filter("c IS NOT NULL")
-    n = t.groupBy("user_id", "t").agg(F.count(F.lit(1)).alias("n"))
-    return n.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("n").desc(), "t"))).filter("rank <= 4")
+    """Each user's trigrams as a vector of 32 shares: by name, or the 32 most frequent if there are more; zeros fill up."""
+    n = _trigrams(spark, d).select("user_id", F.concat_ws(">", "a", "b", "c").alias("t")).groupBy("user_id", "t").agg(F.count(F.lit(1)).alias("n"))
+    by = Window.partitionBy("user_id")
+    top = n.withColumns({"rank": F.row_number().over(by.orderBy(F.col("n").desc(), "t")), "total": F.sum("n").over(by)}).filter("rank <= 32")
+    v = top.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("t", R(F.col("n") / F.col("total")).alias("share")))).alias("v"))
+    return v.select("user_id", F.concat(F.transform("v", lambda x: x["share"]), F.array_repeat(F.lit(0.0), 32 - F.size("v"))).alias("vector")).select("user_id", F.posexplode("vector").alias("pos", "share"))
 
 
 def ag7_resource_share(spark: SparkSession, d: str) -> DataFrame:
-    kinds = ["click", "error", "purchase", "signup", "view"]
-    p = table(spark, d, "events").groupBy("user_id").pivot("event_type", kinds).count().na.fill(0)
-    total = sum((F.col(k) for k in kinds), F.lit(0)) + 1e-8
-    return p.select("user_id", *[R(F.col(k) / total).alias(k) for k in kinds])
+    """Share of every event type that occurs, zero where a user has none of it."""
+    n = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    kinds = n.select("event_type").distinct().agg(F.sort_array(F.collect_list("event_type")).alias("kinds"))
+    users = n.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("m"), F.sum("n").alias("total"))
+    every = users.select("*", F.explode(F.lit(kinds.first()[0])).alias("event_type"))
+    return every.select("user_id", "event_type", R(F.coalesce(F.try_element_at("m", F.col("event_type")), F.lit(0)) / (F.col("total") + 1e-8)).alias("share"))
 
 
 def ag7_zscore(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    s = n.agg(F.avg("n").alias("m"), F.stddev_pop("n").alias("s")).withColumn("_one", F.lit(1))
-    return n.withColumn("_one", F.lit(1)).join(s, "_one").select("user_id", R((F.col("n") - F.col("m")) / F.greatest(F.col("s"), F.lit(1e-8))).alias("z"))
+    return zscore(n, "n").select("user_id", R(F.col("z")).alias("z"))
+
+
+def zscore(df: DataFrame, column: str, mean: float | None = None, std: float | None = None) -> DataFrame:
+    """Adds z of a column, by a given mean and deviation or by those of all rows (two numbers to the driver)."""
+    if mean is None or std is None:
+        own = df.agg(F.avg(column), F.stddev_pop(column)).first()
+        mean, std = own[0] if mean is None else mean, own[1] if std is None else std
+    return df.withColumn("z", (F.col(column) - F.lit(float(mean or 0.0))) / F.lit(max(float(std or 0.0), 1e-8)))
 
 
 def ag18_majority(spark: SparkSession, d: str) -> DataFrame:
@@ -125,14 +142,15 @@ def ag_cube(spark: SparkSession, d: str) -> DataFrame:
 
 def wn2_recent_mean(spark: SparkSession, d: str) -> DataFrame:
     """Mean of each user's last 30 values, from 15 values on."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-29, 0)
-    e = table(spark, d, "events").select("event_id", F.count(F.lit(1)).over(w).alias("c"), F.avg("value").over(w).alias("m"))
-    return e.filter("c >= 15").select("event_id", R(F.col("m")).alias("mean"))
+    rows = with_context(table(spark, d, "events").select("user_id", "ts", "event_id", "value"), "user_id", day_of("ts"), ["ts", "event_id"], 29)
+    w = Window.partitionBy("user_id", "_bucket").orderBy("ts", "event_id").rowsBetween(-29, 0)
+    e = rows.select("event_id", "_context", F.count(F.lit(1)).over(w).alias("c"), F.avg("value").over(w).alias("m"))
+    return e.filter("c >= 15 AND NOT _context").select("event_id", R(F.col("m")).alias("mean"))
 
 
 def wn3_rate(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
-    return e.select("event_id", R(rate("value", seconds_of("ts").cast("double"), "user_id", ["ts", "event_id"])).alias("rate"))
+    return rate(e, "value", seconds_of("ts").cast("double"), "user_id", "ts", ["ts", "event_id"]).select("event_id", R(F.col("rate")).alias("rate"))
 
 
 def wn4_every_nth(spark: SparkSession, d: str) -> DataFrame:
@@ -141,14 +159,26 @@ def wn4_every_nth(spark: SparkSession, d: str) -> DataFrame:
 
 def wn6_bulk(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
-    return e.select("event_id", sliding_count(e, "user_id", "ts", 3600).alias("n")).filter("n > 3")
+    return within_seconds(e.select("event_id", "user_id", "ts"), "user_id", "ts", 3600, n=F.count(F.lit(1))).select("event_id", "n").filter("n > 3")
 
 
 def wn7_spread(spark: SparkSession, d: str) -> DataFrame:
     """Events whose user showed more than 3 distinct types in the two hours before."""
-    w = Window.partitionBy("user_id").orderBy(seconds_of("ts")).rangeBetween(-7200, 0)
-    e = table(spark, d, "events").select("event_id", F.size(F.collect_set("event_type").over(w)).alias("k"))
-    return e.filter("k > 3")
+    e = within_seconds(table(spark, d, "events").select("event_id", "user_id", "ts", "event_type"), "user_id", "ts", 7200, kinds=F.collect_set("event_type"))
+    return e.select("event_id", F.size("kinds").alias("k")).filter("k > 3")
+
+
+def ag22_process_frequency(spark: SparkSession, d: str) -> DataFrame:
+    """Accesses of each machine by process, and its share of them."""
+    e = table(spark, d, "behavior_events").select("vm_id", F.lower(F.trim(F.col("metadata")["proc"])).alias("proc")).filter("proc IS NOT NULL")
+    n = e.groupBy("vm_id", "proc").agg(F.count(F.lit(1)).alias("n"))
+    return n.select("vm_id", "proc", "n", R(F.col("n") / F.sum("n").over(Window.partitionBy("vm_id"))).alias("share"))
+
+
+def wn13_after_day(spark: SparkSession, d: str, day: int = 8) -> DataFrame:
+    """Each user's mean value before and from a 0-based day on (a change of role), null where there is none."""
+    late = F.dayofmonth("ts") - 1 >= day
+    return table(spark, d, "events").groupBy("user_id").agg(R(F.avg(F.when(~late, F.col("value")))).alias("before"), R(F.avg(F.when(late, F.col("value")))).alias("after"))
 
 
 def wn9_softmax(spark: SparkSession, d: str) -> DataFrame:
@@ -179,7 +209,7 @@ def wn12_periods(spark: SparkSession, d: str) -> DataFrame:
     return binary_metrics(e, ["period"], "y", "p")
 
 
-QUERIES = {f.__name__: f for f in (ag3_time_bins, ag4_entropy, ag5_trigrams, ag6_top_trigrams, ag7_resource_share, ag7_zscore, ag17_uncertainty, ag18_majority, ag19_severity, ag23_stats, ag24_grouping_sets, ag25_pivot, ag26_lists, ag27_enumerate, ag28_last_per_group, ag30_confusion, ag33_by_channel, ag34_folds, ag_cube, wn2_recent_mean, wn3_rate, wn4_every_nth, wn6_bulk, wn7_spread, wn9_softmax, wn10_top_p, wn11_numbering, wn12_periods)}
+QUERIES = {f.__name__: f for f in (ag3_time_bins, ag4_entropy, ag5_trigrams, ag6_top_trigrams, ag7_resource_share, ag7_zscore, ag17_uncertainty, ag18_majority, ag19_severity, ag23_stats, ag24_grouping_sets, ag25_pivot, ag26_lists, ag27_enumerate, ag28_last_per_group, ag30_confusion, ag33_by_channel, ag34_folds, ag_cube, wn2_recent_mean, wn3_rate, wn4_every_nth, wn6_bulk, wn7_spread, ag22_process_frequency, wn13_after_day, wn9_softmax, wn10_top_p, wn11_numbering, wn12_periods)}
 
 _METRICS = "round(tp / (tp + fp + 1e-8), 6) AS precision, round(tp / (tp + fn + 1e-8), 6) AS recall, round(fp / (fp + tn + 1e-8), 6) AS fpr, round(2 * (tp / (tp + fp + 1e-8)) * (tp / (tp + fn + 1e-8)) / (tp / (tp + fp + 1e-8) + tp / (tp + fn + 1e-8) + 1e-8), 6) AS f1"
 _COUNTS = "count(*) FILTER (y AND p) AS tp, count(*) FILTER (NOT y AND p) AS fp, count(*) FILTER (y AND NOT p) AS fn, count(*) FILTER (NOT y AND NOT p) AS tn"
@@ -188,8 +218,10 @@ ORACLES = {
     "ag3_time_bins": "WITH c AS (SELECT user_id, ((hour(ts) * 60 + minute(ts)) // 30)::INTEGER AS bin, count(*) AS n FROM events GROUP BY ALL) SELECT user_id, bin, round(n / sum(n) OVER (PARTITION BY user_id), 6) AS share FROM c",
     "ag4_entropy": "WITH c AS (SELECT user_id, hour(ts) AS h, count(*) AS n FROM events GROUP BY ALL), p AS (SELECT user_id, n / sum(n) OVER (PARTITION BY user_id) AS p FROM c) SELECT user_id, round(-sum(p * ln(p + 1e-12)), 6) AS entropy FROM p GROUP BY 1",
     "ag5_trigrams": "WITH t AS (SELECT event_type AS a, lead(event_type, 1) OVER w AS b, lead(event_type, 2) OVER w AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), n AS (SELECT a, b, c, count(*) AS n FROM t WHERE c IS NOT NULL GROUP BY ALL) SELECT a, b, c, n, round(n / sum(n) OVER (PARTITION BY a, b), 6) AS p FROM n",
-    "ag6_top_trigrams": "WITH t AS (SELECT user_id, event_type || '>' || lead(event_type, 1) OVER w || '>' || lead(event_type, 2) OVER w AS t FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), n AS (SELECT user_id, t, count(*) AS n FROM t WHERE t IS NOT NULL GROUP BY ALL) SELECT user_id, t, n, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, t)::INTEGER AS rank FROM n QUALIFY rank <= 4",
-    "ag7_resource_share": "SELECT user_id, " + ", ".join(f"round(count(*) FILTER (event_type = '{k}') / (count(*) + 1e-8), 6) AS {k}" for k in ("click", "error", "purchase", "signup", "view")) + " FROM events GROUP BY 1",
+    "ag6_top_trigrams": "WITH t AS (SELECT user_id, event_type || '>' || lead(event_type, 1) OVER w || '>' || lead(event_type, 2) OVER w AS t FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), n AS (SELECT user_id, t, count(*) AS n FROM t WHERE t IS NOT NULL GROUP BY ALL), k AS (SELECT *, sum(n) OVER (PARTITION BY user_id) AS total FROM n QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, t) <= 32), v AS (SELECT user_id, list(round(n / total, 6) ORDER BY t) AS v FROM k GROUP BY 1) SELECT user_id, p::INTEGER AS pos, coalesce(v[p + 1], 0.0)::DOUBLE AS share FROM v, (SELECT unnest(range(32)) AS p)",
+    "ag7_resource_share": "WITH u AS (SELECT user_id, count(*) AS total FROM events GROUP BY 1), k AS (SELECT DISTINCT event_type FROM events WHERE event_type IS NOT NULL), n AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) SELECT user_id, event_type, round(coalesce(n, 0) / (total + 1e-8), 6) AS share FROM u JOIN k ON true LEFT JOIN n USING (user_id, event_type)",
+    "ag22_process_frequency": "WITH e AS (SELECT vm_id, lower(trim(metadata['proc'])) AS proc FROM behavior_events), n AS (SELECT vm_id, proc, count(*) AS n FROM e WHERE proc IS NOT NULL GROUP BY ALL) SELECT vm_id, proc, n, round(n / sum(n) OVER (PARTITION BY vm_id), 6) AS share FROM n",
+    "wn13_after_day": "SELECT user_id, round(avg(value) FILTER (day(ts) <= 8), 6) AS before, round(avg(value) FILTER (day(ts) > 8), 6) AS after FROM events GROUP BY 1",
     "ag7_zscore": "WITH n AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1) SELECT user_id, round((n - (SELECT avg(n) FROM n)) / greatest((SELECT stddev_pop(n) FROM n), 1e-8), 6) AS z FROM n",
     "ag17_uncertainty": "WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL), p AS (SELECT user_id, n / (sum(n) OVER (PARTITION BY user_id) + 1e-8) AS p FROM c) SELECT user_id, round(-sum(p * ln(p + 1e-12)) + 0.6 * sum(p - p * p), 6) AS u FROM p GROUP BY 1",
     "ag18_majority": "WITH c AS (SELECT user_id, event_type, count(*) AS n, min((ts, event_id)) AS f FROM events GROUP BY ALL) SELECT user_id, event_type, round(n / sum(n) OVER (PARTITION BY user_id), 6) AS share FROM c QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, f) = 1",

@@ -7,22 +7,14 @@ from pyspark.sql import functions as F
 
 from sentrail.functions.canon import machine_key, type_key
 from sentrail.operators import vectors as V
-from sentrail.operators.metrics import binary_metrics
+from sentrail.operators.metrics import binary_metrics, normal_tail
 from sentrail.operators.relational import top_per_group
 from sentrail.operators.scan import pattern_hits
-from sentrail.operators.temporal import seconds_of
+from sentrail.operators.temporal import with_context, within_seconds
 from sentrail.plans.workbook import Workbook
-from sentrail.queries.profiles import _over_whole, _whole, _whole_sql
+from sentrail.queries.profiles import _vectors
 from sentrail.session import table
 
-DIMS = 8
-
-
-def _small(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors cut as the SQL of the older queries has them; those with _whole in their names read all of each."""
-    return table(spark, d, "embeddings").select("vec_id", "label", F.transform(F.slice("embedding", 1, DIMS), lambda x: x.cast("double")).alias("v"))
-
-
 def src31_dynamic(spark: SparkSession, d: str) -> DataFrame:
     """A query given as text, with bound values."""
     return Workbook(spark).let("e", lambda _: table(spark, d, "events")).query("SELECT event_type, count(*) AS n FROM {e} WHERE value > :least GROUP BY 1", least=20.0)
@@ -66,12 +58,6 @@ def jn17_paired(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ag13_covariance(spark: SparkSession, d: str) -> DataFrame:
-    """Sample covariance of each label's first two dimensions; a single row gives 0.01 on the diagonal."""
-    e = _small(spark, d).select("label", F.col("v")[0].alias("x"), F.col("v")[1].alias("y"))
-    return e.groupBy("label").agg(F.round(F.coalesce(F.var_samp("x"), F.lit(0.01)), 8).alias("xx"), F.round(F.coalesce(F.covar_samp("x", "y"), F.lit(0.0)), 8).alias("xy"))
-
-
-def ag13_covariance_whole(spark: SparkSession, d: str) -> DataFrame:
     """Sample covariance of each label's vectors, for every two dimensions; a single row gives 0.01 on the diagonal.
 
     A task sends sums and products of each label per batch, centred by the batch's means.
@@ -94,24 +80,25 @@ def ag13_covariance_whole(spark: SparkSession, d: str) -> DataFrame:
         cov = q[i, j] / (n.sum() - 1) if n.sum() > 1 else np.where(i == j, 0.01, 0.0)
         return pd.DataFrame({"label": key[0], "pos": i, "other": j, "cov": cov})
 
-    e = _whole(spark, d)
+    e = _vectors(spark, d)
     kind = dict(e.dtypes)["label"]
     parts = e.select("label", "v").mapInPandas(partial, f"label {kind}, n long, m array<double>, q array<double>")
     return parts.groupBy("label").applyInPandas(merged, f"label {kind}, pos int, other int, cov double").withColumn("cov", F.round("cov", 8))
 
 
-def ag14_recent_vectors(spark: SparkSession, d: str, vectors=_small) -> DataFrame:
-    """Mean of the last 30 vectors per label and dimension, up to each vector."""
-    x = vectors(spark, d).select("vec_id", "label", F.posexplode("v").alias("pos", "x"))
-    w = Window.partitionBy("label", "pos").orderBy("vec_id").rowsBetween(-29, 0)
-    return x.select("vec_id", "pos", F.round(F.avg("x").over(w), 6).alias("mean"))
+def ag14_recent_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Mean of the last 30 vectors per label and dimension, up to each vector; hot labels are spread over ranges of ids."""
+    rows = with_context(_vectors(spark, d), "label", F.floor(F.col("vec_id") / 1000), ["vec_id"], 29)
+    w = Window.partitionBy("label", "_bucket", "pos").orderBy("vec_id").rowsBetween(-29, 0)
+    x = rows.select("vec_id", "label", "_bucket", "_context", F.posexplode("v").alias("pos", "x"))
+    return x.select("vec_id", "pos", "_context", F.round(F.avg("x").over(w), 6).alias("mean")).filter("NOT _context").drop("_context")
 
 
-def ag12_selected(spark: SparkSession, d: str, vectors=_small) -> DataFrame:
+def ag12_selected(spark: SparkSession, d: str) -> DataFrame:
     """Dimensions whose information gain lies above mean plus one deviation."""
     from sentrail.queries.profiles import ag11_information_gain
 
-    g = ag11_information_gain(spark, d, vectors).withColumn("_all", F.lit(1))
+    g = ag11_information_gain(spark, d).withColumn("_all", F.lit(1))
     w = Window.partitionBy("_all")
     return g.select("pos", "gain", (F.avg("gain").over(w) + F.stddev_pop("gain").over(w)).alias("bar")).filter("gain > bar").select("pos")
 
@@ -128,16 +115,11 @@ def ag32_rates(spark: SparkSession, d: str) -> DataFrame:
 def wn8_cross_channel(spark: SparkSession, d: str) -> DataFrame:
     """Machines that used three or more base types within one hour, with the first such second."""
     e = table(spark, d, "behavior_events").select(machine_key(F.col("vm_id")).alias("k"), F.substring_index(type_key(F.col("event_type")), ".", 1).alias("t"), "timestamp").filter("k IS NOT NULL AND timestamp IS NOT NULL AND t IN ('file', 'email', 'http', 'im', 'device')")
-    w = Window.partitionBy("k").orderBy(seconds_of("timestamp")).rangeBetween(-3600, 0)
-    return e.select("k", "timestamp", F.size(F.collect_set("t").over(w)).alias("n")).filter("n >= 3").groupBy("k").agg(F.unix_seconds(F.min("timestamp")).alias("first"))
+    n = within_seconds(e, "k", "timestamp", 3600, kinds=F.collect_set("t"))
+    return n.filter(F.size("kinds") >= 3).groupBy("k").agg(F.unix_seconds(F.min("timestamp")).alias("first"))
 
 
 def st9_priority(spark: SparkSession, d: str) -> DataFrame:
-    """Documents of one source (as its SQL has it) in grade order, unknown grades last."""
-    return _graded(table(spark, d, "documents").filter("source = 'wiki'"))
-
-
-def st9_priority_whole(spark: SparkSession, d: str) -> DataFrame:
     """All documents in grade order, unknown grades last."""
     return _graded(table(spark, d, "documents"))
 
@@ -155,8 +137,8 @@ def set5_deleted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def set8_recently_used(spark: SparkSession, d: str) -> DataFrame:
-    """The 50 users seen last (what a cache of 50 would hold)."""
-    return table(spark, d, "events").groupBy("user_id").agg(F.max("ts").alias("last")).orderBy(F.col("last").desc(), "user_id").limit(50).select("user_id")
+    """The 500 users seen last (what a cache of 500 would hold)."""
+    return table(spark, d, "events").groupBy("user_id").agg(F.max("ts").alias("last")).orderBy(F.col("last").desc(), "user_id").limit(500).select("user_id")
 
 
 def sc2_document_hash(spark: SparkSession, d: str) -> DataFrame:
@@ -212,9 +194,9 @@ def gr16_prompt(spark: SparkSession, d: str) -> DataFrame:
     return t.select("doc_id", F.concat_ws("\n", F.format_string("[type] %s", F.coalesce("doc_type", F.lit(""))), F.concat(F.lit("[text] "), F.substring("text", 1, 500))).alias("prompt"))
 
 
-def gr18_fused(spark: SparkSession, d: str, vectors=_small) -> DataFrame:
+def gr18_fused(spark: SparkSession, d: str) -> DataFrame:
     """Weighted sum of each label's vectors, weights falling with the id."""
-    x = vectors(spark, d).withColumn("w", 1 / (1 + F.col("vec_id") % 10)).select("label", "w", F.posexplode("v").alias("pos", "x"))
+    x = _vectors(spark, d).withColumn("w", 1 / (1 + F.col("vec_id") % 10)).select("label", "w", F.posexplode("v").alias("pos", "x"))
     return x.groupBy("label", "pos").agg(F.round(F.sum(F.col("w") * F.col("x")) / F.sum("w"), 6).alias("h"))
 
 
@@ -229,14 +211,14 @@ def cl10_spark_kmeans(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    e = _whole(spark, d).select("vec_id", array_to_vector("v").alias("features"))
+    e = _vectors(spark, d).select("vec_id", array_to_vector("v").alias("features"))
     return KMeans(k=4, seed=1, maxIter=10).fit(e).transform(e).groupBy("prediction").agg(F.count(F.lit(1)).alias("n"))
 
 
-def cl14_ema_centres(spark: SparkSession, d: str, vectors=_small) -> DataFrame:
+def cl14_ema_centres(spark: SparkSession, d: str) -> DataFrame:
     """Label centres of even ids moved a tenth of the way to those of odd ids."""
-    even = V.grouped_mean(vectors(spark, d).filter("vec_id % 2 = 0"), ["label"], "v").select("label", "pos", F.col("mean").alias("a"))
-    odd = V.grouped_mean(vectors(spark, d).filter("vec_id % 2 = 1"), ["label"], "v").select("label", "pos", F.col("mean").alias("b"))
+    even = V.grouped_mean(_vectors(spark, d).filter("vec_id % 2 = 0"), ["label"], "v").select("label", "pos", F.col("mean").alias("a"))
+    odd = V.grouped_mean(_vectors(spark, d).filter("vec_id % 2 = 1"), ["label"], "v").select("label", "pos", F.col("mean").alias("b"))
     return even.join(odd, ["label", "pos"]).select("label", "pos", F.round(0.9 * F.col("a") + 0.1 * F.col("b"), 6).alias("c"))
 
 
@@ -248,9 +230,9 @@ def cl19_feature_row(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, "user_id", "full_outer").select("user_id", F.size(v).alias("d"), F.round(F.aggregate(v, F.lit(0.0), lambda s, x: s + x), 4).alias("s"))
 
 
-def dc2_mahalanobis(spark: SparkSession, d: str, vectors=_small) -> DataFrame:
+def dc2_mahalanobis(spark: SparkSession, d: str) -> DataFrame:
     """Distance of each vector from its label's mean, by the label's variances."""
-    x = vectors(spark, d).select("vec_id", "label", F.posexplode("v").alias("pos", "x"))
+    x = _vectors(spark, d).select("vec_id", "label", F.posexplode("v").alias("pos", "x"))
     s = x.groupBy("label", "pos").agg(F.avg("x").alias("m"), F.var_samp("x").alias("s"))
     return x.join(s, ["label", "pos"]).groupBy("vec_id").agg(F.round(F.sqrt(F.sum(F.pow(F.col("x") - F.col("m"), 2) / (F.col("s") + 1e-6))), 5).alias("d"))
 
@@ -263,9 +245,11 @@ def dc10_one_hot(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dc16_grid(spark: SparkSession, d: str) -> DataFrame:
-    """Measures of four thresholds in one pass."""
-    e = table(spark, d, "events").select((F.col("event_type") == "error").alias("y"), "value", F.explode(F.array(*map(F.lit, (20.0, 40.0, 60.0, 80.0)))).alias("threshold"))
-    return binary_metrics(e.withColumn("p", F.col("value") > F.col("threshold")), ["threshold"], "y", "p")
+    """Measures of every pair of four lower and four upper thresholds in one pass."""
+    each = lambda xs: F.array(*map(F.lit, xs))
+    e = table(spark, d, "events").select((F.col("event_type") == "error").alias("y"), "value", F.explode(each((10.0, 20.0, 30.0, 40.0))).alias("low"))
+    e = e.select("*", F.explode(each((50.0, 60.0, 70.0, 80.0))).alias("high"))
+    return binary_metrics(e.withColumn("p", (F.col("value") > F.col("low")) & (F.col("value") <= F.col("high"))), ["low", "high"], "y", "p")
 
 
 def ev2_wilcoxon(spark: SparkSession, d: str) -> DataFrame:
@@ -275,13 +259,21 @@ def ev2_wilcoxon(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("_all").orderBy("r")
     before = F.sum(F.col("up") + F.col("down")).over(w) - F.col("up") - F.col("down")
     rank = before + (F.col("up") + F.col("down") + 1) / 2
-    return v.select("up", "down", rank.alias("rank")).agg(F.sum(F.col("up") * F.col("rank")).alias("w_up"), F.sum(F.col("down") * F.col("rank")).alias("w_down"))
+    n = F.col("up") + F.col("down")
+    t = v.select("up", "down", rank.alias("rank"), (n * n * n - n).alias("tied")).agg(F.sum(F.col("up") * F.col("rank")).alias("w_up"), F.sum(F.col("down") * F.col("rank")).alias("w_down"), F.sum(n).alias("n"), F.sum("tied").alias("tied"))
+    # The normal approximation, with its correction for ties; the tail from a series, as SQL has no error function.
+    k = F.col("n")
+    z = (F.least("w_up", "w_down") - k * (k + 1) / 4) / F.sqrt(k * (k + 1) * (2 * k + 1) / 24 - F.col("tied") / 48)
+    return t.select("w_up", "w_down", F.round(F.least(2 * normal_tail(z), F.lit(1.0)), 5).alias("p"))
+
+
+# The tables of a test folder.
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings behavior_events op_sequences raw_sequences machines event_catalog sample_targets eval_items".split()
 
 
 def ev10_report(spark: SparkSession, d: str) -> DataFrame:
     """Rows and columns of each table."""
-    names = ["region", "nation", "supplier", "machines", "event_catalog", "sample_targets", "eval_items"]
-    parts = [table(spark, d, n).agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("n_rows"), F.lit(len(table(spark, d, n).columns)).alias("n_columns")) for n in names]
+    parts = [table(spark, d, n).agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("n_rows"), F.lit(len(table(spark, d, n).columns)).alias("n_columns")) for n in TABLES]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -295,13 +287,11 @@ def str4_history(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in list(globals().values()) if callable(f) and getattr(f, "__module__", "") == __name__ and not f.__name__.startswith("_")}
-_WHOLE = _over_whole(ag12_selected, ag14_recent_vectors, gr18_fused, cl14_ema_centres, dc2_mahalanobis)
-QUERIES |= _WHOLE
 from sentrail.queries.features import level_sql, machine_sql  # noqa: E402
 from sentrail.queries.profiles import ORACLES as _PROFILES  # noqa: E402
 
-_S = f"s AS (SELECT vec_id, label, embedding[1:{DIMS}]::DOUBLE[] AS v FROM embeddings)"
-_LONG = f"{_S}, x AS (SELECT vec_id, label, unnest(range({DIMS}))::INTEGER AS pos, unnest(v) AS x FROM s)"
+_S = "s AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings)"
+_LONG = f"{_S}, x AS (SELECT vec_id, label, unnest(range(len(v)))::INTEGER AS pos, unnest(v) AS x FROM s)"
 _TYPE = "regexp_replace(lower(trim(translate({c}, 'ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ．' || chr(9) || chr(160), 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz.  '))), '[\\s_/:>.-]+', '.', 'g')"
 ORACLES = {
     "src31_dynamic": "SELECT event_type, count(*) AS n FROM events WHERE value > 20 GROUP BY 1",
@@ -311,17 +301,15 @@ ORACLES = {
     "flt20_star": "SELECT *, n_nationkey * 2 AS twice, string_split(n_name, '_')[2] AS no FROM nation",
     "flt26_aligned": f"SELECT m.site, c.base_type, count(*) AS n, count(DISTINCT action) AS n_actions FROM behavior_events e JOIN machines m ON {machine_sql('e.vm_id')} = {machine_sql('m.vm_id')} JOIN event_catalog c ON {_TYPE.format(c='e.event_type')} = c.event_type WHERE coalesce(e.metadata['proc'], '') <> 'sync.exe' GROUP BY ALL",
     "jn17_paired": "SELECT value > 30 AS a, value > 50 AS b, count(*) AS n FROM events GROUP BY ALL",
-    "ag13_covariance": f"WITH {_S} SELECT label, round(coalesce(var_samp(v[1]), 0.01), 8) AS xx, round(coalesce(covar_samp(v[1], v[2]), 0), 8) AS xy FROM s GROUP BY 1",
     "ag14_recent_vectors": f"WITH {_LONG} SELECT vec_id, pos, round(avg(x) OVER (PARTITION BY label, pos ORDER BY vec_id ROWS 29 PRECEDING), 6) AS mean FROM x",
     "ag12_selected": f"WITH g AS ({_PROFILES['ag11_information_gain']}) SELECT pos FROM g WHERE gain > (SELECT avg(gain) + stddev_pop(gain) FROM g)",
     "ag20_counters": f"SELECT 'published.' || coalesce(nullif({_TYPE.format(c='event_type')}, ''), 'none') AS counter, count(*) AS n FROM behavior_events GROUP BY 1",
     "ag32_rates": "SELECT round(avg((length(trim(text)) > 0 AND text IS NOT NULL)::INT), 6) AS has_text, round(avg((lang IS NOT NULL)::INT), 6) AS has_lang, round(avg(coalesce(n_chars = length(text), false)::INT), 6) AS counted FROM documents",
     "wn8_cross_channel": f"""WITH e AS (SELECT {machine_sql('vm_id')} AS k, string_split({_TYPE.format(c='event_type')}, '.')[1] AS t, "timestamp" AS ts FROM behavior_events), f AS (SELECT * FROM e WHERE k IS NOT NULL AND ts IS NOT NULL AND t IN ('file', 'email', 'http', 'im', 'device')),
         w AS (SELECT k, ts, """ + " + ".join(f"max((t = '{t}')::INT) OVER w" for t in ("file", "email", "http", "im", "device")) + " AS n FROM f WINDOW w AS (PARTITION BY k ORDER BY floor(epoch(ts)) RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW)) SELECT k, floor(epoch(min(ts)))::BIGINT AS first FROM w WHERE n >= 3 GROUP BY 1",
-    "st9_priority": f"SELECT doc_id, coalesce(4 - right({level_sql('sensitivity_level')}, 1)::INTEGER, 99) AS rank FROM documents WHERE source = 'wiki'",
-    "st9_priority_whole": f"SELECT doc_id, coalesce(4 - right({level_sql('sensitivity_level')}, 1)::INTEGER, 99) AS rank FROM documents",
+    "st9_priority": f"SELECT doc_id, coalesce(4 - right({level_sql('sensitivity_level')}, 1)::INTEGER, 99) AS rank FROM documents",
     "set5_deleted": "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)",
-    "set8_recently_used": "SELECT user_id FROM events GROUP BY 1 ORDER BY max(ts) DESC, user_id LIMIT 50",
+    "set8_recently_used": "SELECT user_id FROM events GROUP BY 1 ORDER BY max(ts) DESC, user_id LIMIT 500",
     "sc2_document_hash": "SELECT doc_id, sha256(coalesce(text, file_name, '')) AS h FROM documents",
     "sc6_nested_json": "SELECT event_id, CASE WHEN event_type IN ('error', 'view') THEN event_type END AS kind FROM events",
     "sc21_components": "SELECT p[1] AS host, len(p)::INTEGER AS depth, count(*) AS n FROM (SELECT list_filter(string_split_regex(regexp_replace(target, '^[a-z]+://', '/'), '[/\\\\]'), lambda x: x <> '') AS p FROM behavior_events WHERE target LIKE 'https://%') GROUP BY ALL",
@@ -338,10 +326,11 @@ ORACLES = {
     "cl19_feature_row": "SELECT user_id, 3 AS d, round(coalesce(avg(value) FILTER (event_type = 'error'), 0) + coalesce(max(value) FILTER (event_type = 'error'), 0) + count(*) FILTER (value > 90), 4) AS s FROM events GROUP BY 1 HAVING count(*) FILTER (event_type = 'error' OR value > 90) > 0",
     "dc2_mahalanobis": f"WITH {_LONG}, g AS (SELECT label, pos, avg(x) AS m, var_samp(x) AS s FROM x GROUP BY ALL) SELECT vec_id, round(sqrt(sum(pow(x - m, 2) / (s + 1e-6))), 5) AS d FROM x JOIN g USING (label, pos) GROUP BY 1",
     "dc10_one_hot": "SELECT event_id, ((hour(ts) * 60 + minute(ts)) // 30)::INTEGER AS slot, 1.0::DOUBLE AS total FROM events",
-    "dc16_grid": "SELECT threshold, round(tp / (tp + fp + 1e-8), 6) AS precision, round(tp / (tp + fn + 1e-8), 6) AS recall, round(fp / (fp + tn + 1e-8), 6) AS fpr, round(2 * (tp / (tp + fp + 1e-8)) * (tp / (tp + fn + 1e-8)) / (tp / (tp + fp + 1e-8) + tp / (tp + fn + 1e-8) + 1e-8), 6) AS f1 FROM (SELECT t::DOUBLE AS threshold, count(*) FILTER (y AND value > t) AS tp, count(*) FILTER (NOT y AND value > t) AS fp, count(*) FILTER (y AND value <= t) AS fn, count(*) FILTER (NOT y AND value <= t) AS tn FROM (SELECT *, event_type = 'error' AS y FROM events), (SELECT unnest([20, 40, 60, 80]) AS t) GROUP BY 1)",
-    "ev2_wilcoxon": "WITH m AS (SELECT round(avg(value) FILTER (day(ts) <= 15) - avg(value) FILTER (day(ts) > 15), 1) AS x FROM events GROUP BY user_id), r AS (SELECT x, rank() OVER (ORDER BY abs(x)) + (count(*) OVER (PARTITION BY abs(x)) - 1) / 2 AS r FROM m WHERE x <> 0) SELECT coalesce(sum(r) FILTER (x > 0), 0) AS w_up, coalesce(sum(r) FILTER (x < 0), 0) AS w_down FROM r",
-    "ev10_report": " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n_rows, {k} AS n_columns FROM {n}" for n, k in (("region", 2), ("nation", 3), ("supplier", 4), ("machines", 6), ("event_catalog", 2), ("sample_targets", 6), ("eval_items", 3))),
+    "dc16_grid": "SELECT low, high, round(tp / (tp + fp + 1e-8), 6) AS precision, round(tp / (tp + fn + 1e-8), 6) AS recall, round(fp / (fp + tn + 1e-8), 6) AS fpr, round(2 * (tp / (tp + fp + 1e-8)) * (tp / (tp + fn + 1e-8)) / (tp / (tp + fp + 1e-8) + tp / (tp + fn + 1e-8) + 1e-8), 6) AS f1 FROM (SELECT low, high, count(*) FILTER (y AND p) AS tp, count(*) FILTER (NOT y AND p) AS fp, count(*) FILTER (y AND NOT p) AS fn, count(*) FILTER (NOT y AND NOT p) AS tn FROM (SELECT low, high, event_type = 'error' AS y, value > low AND value <= high AS p FROM events, (SELECT unnest([10, 20, 30, 40])::DOUBLE AS low), (SELECT unnest([50, 60, 70, 80])::DOUBLE AS high)) GROUP BY ALL)",
+    "ev2_wilcoxon": """WITH m AS (SELECT round(avg(value) FILTER (day(ts) <= 15) - avg(value) FILTER (day(ts) > 15), 1) AS x FROM events GROUP BY user_id), r AS (SELECT x, rank() OVER (ORDER BY abs(x)) + (count(*) OVER (PARTITION BY abs(x)) - 1) / 2 AS r, pow(count(*) OVER (PARTITION BY abs(x)), 2) - 1 AS tied FROM m WHERE x <> 0),
+        s AS (SELECT coalesce(sum(r) FILTER (x > 0), 0) AS w_up, coalesce(sum(r) FILTER (x < 0), 0) AS w_down, count(*) AS n, sum(tied) AS tied FROM r), z AS (SELECT *, abs((least(w_up, w_down) - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - tied / 48)) AS z FROM s), t AS (SELECT *, 1 / (1 + 0.2316419 * z) AS t FROM z)
+        SELECT w_up, w_down, round(least(2 * exp(-z * z / 2) / sqrt(2 * pi()) * (0.319381530 * t - 0.356563782 * pow(t, 2) + 1.781477937 * pow(t, 3) - 1.821255978 * pow(t, 4) + 1.330274429 * pow(t, 5)), 1.0), 5) AS p FROM t""",
+    "ev10_report": " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n_rows, (SELECT count(*) FROM (DESCRIBE {n})) AS n_columns FROM {n}" for n in TABLES),
     "str4_history": "SELECT action, event_id, row_number() OVER (PARTITION BY action ORDER BY ingested_at DESC, event_id DESC)::INTEGER AS rank FROM behavior_events WHERE ingested_at IS NOT NULL AND action IS NOT NULL QUALIFY rank <= 100",
 }
-ORACLES |= {name: _whole_sql(ORACLES[name.removesuffix("_whole")]) for name in _WHOLE}
-ORACLES["ag13_covariance_whole"] = _whole_sql(f"WITH {_LONG} SELECT a.label, a.pos, b.pos AS other, round(coalesce(covar_samp(a.x, b.x), CASE WHEN a.pos = b.pos THEN 0.01 ELSE 0 END), 8) AS cov FROM x a JOIN x b ON a.vec_id = b.vec_id AND a.pos <= b.pos GROUP BY a.label, a.pos, b.pos")
+ORACLES["ag13_covariance"] = (f"WITH {_LONG} SELECT a.label, a.pos, b.pos AS other, round(coalesce(covar_samp(a.x, b.x), CASE WHEN a.pos = b.pos THEN 0.01 ELSE 0 END), 8) AS cov FROM x a JOIN x b ON a.vec_id = b.vec_id AND a.pos <= b.pos GROUP BY a.label, a.pos, b.pos")

@@ -52,8 +52,8 @@ def flt8_work_hours(spark: SparkSession, d: str) -> DataFrame:
 
 
 def flt9_last_n(spark: SparkSession, d: str) -> DataFrame:
-    """The last 50 errors of a user range, oldest first (top-k report)."""
-    e = table(spark, d, "events").filter((F.col("event_type") == "error") & (F.col("user_id") < 50))
+    """The last 50 errors (top-k report)."""
+    e = table(spark, d, "events").filter("event_type = 'error'")
     return e.orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(50).select("event_id", "user_id", "value")
 
 
@@ -120,7 +120,7 @@ ORACLES = {
     "flt6_extension": "SELECT e AS extension, e IN ('docx','xlsx','pdf','sql','7z') AS is_sensitive, count(*) AS n FROM (SELECT regexp_extract(lower(coalesce(file_name, '')), '\\.([a-z0-9]+)$', 1) AS e FROM documents) GROUP BY ALL",
     "flt7_globs": "SELECT doc_id, file_name FROM documents WHERE NOT coalesce(regexp_matches(lower(file_name), '^.*\\.tmp$|^.*_1.*\\.csv$|^board_pack_.7.*\\.pdf$'), false)",
     "flt8_work_hours": "SELECT isodow(ts) <= 5 AND hour(ts) >= 9 AND hour(ts) < 18 AS at_work, event_type, count(*) AS n FROM events GROUP BY ALL",
-    "flt9_last_n": "SELECT event_id, user_id, value FROM events WHERE event_type = 'error' AND user_id < 50 ORDER BY ts DESC, event_id DESC LIMIT 50",
+    "flt9_last_n": "SELECT event_id, user_id, value FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id DESC LIMIT 50",
     "flt11_table_filter": "SELECT o_orderkey, o_orderpriority, o_orderstatus FROM orders WHERE regexp_matches(o_orderpriority, '^[12]-') AND NOT regexp_matches(o_orderstatus, '(?i)p')",
     "flt12_columns": "SELECT l_orderkey, l_linenumber, l_shipdate::DATE AS ship_day FROM lineitem",
     "flt13_precondition": "SELECT n_nationkey FROM nation WHERE EXISTS (SELECT 1 FROM events WHERE value > 50) UNION ALL SELECT n_nationkey FROM nation WHERE EXISTS (SELECT 1 FROM events WHERE value < -1e9)",

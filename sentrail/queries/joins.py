@@ -40,11 +40,6 @@ def _lateral(spark: SparkSession, d: str, c: DataFrame) -> DataFrame:
 
 
 def jn7_lateral(spark: SparkSession, d: str) -> DataFrame:
-    """For each customer of nation 3 (as its SQL has it) its two largest orders, as a correlated join."""
-    return _lateral(spark, d, table(spark, d, "customer").filter("c_nationkey = 3"))
-
-
-def jn7_lateral_whole(spark: SparkSession, d: str) -> DataFrame:
     """For each customer its two largest orders, as a correlated join."""
     return _lateral(spark, d, table(spark, d, "customer"))
 
@@ -149,7 +144,7 @@ def st7_top_terms(spark: SparkSession, d: str) -> DataFrame:
     return top_per_group(w.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n")), ["doc_id"], [F.col("n").desc(), F.col("word")], 3)
 
 
-QUERIES = {f.__name__: f for f in (jn1_interval, jn3_lookup, jn5_knn, jn7_lateral, jn7_lateral_whole, jn8_expand, jn10_dict_lookup, jn11_enrich, jn14_chain, jn15_fifo, set1_chain, set3_except, set4_jaccard, set6_latest, src8_snapshot, src22_range, src24_items, sc35_flatten, ag29_rollup, snk7_upsert, st1_sorted, st2_page, st4_timed_read, st7_top_terms)}
+QUERIES = {f.__name__: f for f in (jn1_interval, jn3_lookup, jn5_knn, jn7_lateral, jn8_expand, jn10_dict_lookup, jn11_enrich, jn14_chain, jn15_fifo, set1_chain, set3_except, set4_jaccard, set6_latest, src8_snapshot, src22_range, src24_items, sc35_flatten, ag29_rollup, snk7_upsert, st1_sorted, st2_page, st4_timed_read, st7_top_terms)}
 from sentrail.queries.features import machine_sql  # noqa: E402
 
 ORACLES = {
@@ -158,8 +153,7 @@ ORACLES = {
     "jn5_knn": """WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS row_id, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])) + 1e-8) AS s
         FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)
         SELECT query_id, row_id, round(s, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, row_id)::INTEGER AS rank FROM s QUALIFY rank <= 5""",
-    "jn7_lateral": "SELECT c_custkey, o_orderkey, rank FROM customer, LATERAL (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey)::INTEGER AS rank FROM orders WHERE o_custkey = c_custkey QUALIFY rank <= 2) WHERE c_nationkey = 3",
-    "jn7_lateral_whole": "SELECT c_custkey, o_orderkey, rank FROM customer, LATERAL (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey)::INTEGER AS rank FROM orders WHERE o_custkey = c_custkey QUALIFY rank <= 2)",
+    "jn7_lateral": "SELECT c_custkey, o_orderkey, rank FROM customer, LATERAL (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey)::INTEGER AS rank FROM orders WHERE o_custkey = c_custkey QUALIFY rank <= 2)",
     "jn8_expand": "SELECT event_id, (props::JSON->>'k')::INTEGER AS k FROM events",
     "jn10_dict_lookup": "SELECT CASE event_type WHEN 'error' THEN 'fault' WHEN 'purchase' THEN 'sale' ELSE 'other' END AS kind, count(*) AS n FROM events GROUP BY 1",
     "jn11_enrich": "SELECT n_name, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey GROUP BY 1",

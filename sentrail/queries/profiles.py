@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,54 +12,39 @@ from sentrail.operators.metrics import class_report, fleiss, mcnemar, youden
 from sentrail.operators.relational import hash_rank
 from sentrail.session import table
 
-#: Centres of these queries: the vectors with the smallest ids. DIMS: the first dimensions, to which the
-#: SQL of the older queries cuts every vector; the same queries with _whole in their names read all of them.
-K, DIMS = 4, 8
-
-
-def _small(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "embeddings").select("vec_id", "label", F.transform(F.slice("embedding", 1, DIMS), lambda x: x.cast("double")).alias("v"))
+#: Centres of these queries: the vectors with the smallest ids.
+K = 4
 
 
-def _whole(spark: SparkSession, d: str) -> DataFrame:
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
 
 
-def _centres(spark: SparkSession, d: str, vectors=_small) -> np.ndarray:
-    return np.array([r.v for r in vectors(spark, d).orderBy("vec_id").limit(K).collect()])
-
-
-def _over_whole(*queries) -> dict:
-    """The queries over whole vectors, under their names with _whole."""
-    return {f"{f.__name__}_whole": functools.wraps(f)(functools.partial(f, vectors=_whole)) for f in queries}
-
+def _centres(spark: SparkSession, d: str) -> np.ndarray:
+    return np.array([r.v for r in _vectors(spark, d).orderBy("vec_id").limit(K).collect()])
 
-def _whole_sql(sql: str) -> str:
-    """The SQL of a query over the first DIMS dimensions, for whole vectors."""
-    return sql.replace(f"embedding[1:{DIMS}]::DOUBLE[]", "embedding::DOUBLE[]").replace(f"range({DIMS})", "range(len(v))")
 
-
-def ag1_weighted_mean(spark: SparkSession, d: str, vectors=_small) -> DataFrame:
-    m = V.grouped_mean(vectors(spark, d), ["label"], "v", F.col("vec_id") % 5 + 1)
+def ag1_weighted_mean(spark: SparkSession, d: str) -> DataFrame:
+    m = V.grouped_mean(_vectors(spark, d), ["label"], "v", F.col("vec_id") % 5 + 1)
     return m.select("label", "pos", F.round("mean", 6).alias("mean"))
 
 
-def cl6_nearest(spark: SparkSession, d: str, vectors=_small) -> DataFrame:
-    c = _centres(spark, d, vectors)
-    return vectors(spark, d).select("vec_id", V.nearest_centre(F.col("v"), c.tolist(), [1 / c.shape[1]] * c.shape[1]).alias("cluster"))
+def cl6_nearest(spark: SparkSession, d: str) -> DataFrame:
+    c = _centres(spark, d)
+    return _vectors(spark, d).select("vec_id", V.nearest_centre(F.col("v"), c.tolist(), [1 / c.shape[1]] * c.shape[1]).alias("cluster"))
 
 
-def cl3_step(spark: SparkSession, d: str, vectors=_small) -> DataFrame:
+def cl3_step(spark: SparkSession, d: str) -> DataFrame:
     """One k-means round from fixed centres: the new centres."""
-    c = _centres(spark, d, vectors)
-    new, _, _ = V.kmeans_step(vectors(spark, d), "v", c, np.full(c.shape[1], 1 / c.shape[1]))
+    c = _centres(spark, d)
+    new, _, _ = V.kmeans_step(_vectors(spark, d), "v", c, np.full(c.shape[1], 1 / c.shape[1]))
     rows = [(i, j, round(float(x), 6)) for i, c in enumerate(new) for j, x in enumerate(c)]
     return spark.createDataFrame(rows, "cluster int, pos int, mean double")
 
 
-def cl4_weights(spark: SparkSession, d: str, vectors=_small) -> DataFrame:
+def cl4_weights(spark: SparkSession, d: str) -> DataFrame:
     """Dimension weights of one round from scatter within and between clusters."""
-    a = cl6_nearest(spark, d, vectors).join(vectors(spark, d), "vec_id").select("cluster", F.posexplode("v").alias("pos", "x"))
+    a = cl6_nearest(spark, d).join(_vectors(spark, d), "vec_id").select("cluster", F.posexplode("v").alias("pos", "x"))
     g = a.groupBy("cluster", "pos").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("m"), F.sum(F.col("x") * F.col("x")).alias("q"))
     t = g.groupBy("pos").agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mu"))
     s = g.join(t, "pos").groupBy("pos").agg(F.sum(F.col("q") - F.col("n") * F.col("m") * F.col("m")).alias("within"), F.sum(F.col("n") * (F.col("m") - F.col("mu")) * (F.col("m") - F.col("mu"))).alias("between"))
@@ -70,56 +53,38 @@ def cl4_weights(spark: SparkSession, d: str, vectors=_small) -> DataFrame:
 
 
 def cl5_kmeans(spark: SparkSession, d: str) -> DataFrame:
-    centres, weights, history = V.kmeans(_whole(spark, d), "v", _centres(spark, d, _whole), 20)
-    return _whole(spark, d).select("vec_id", V.nearest_centre(F.col("v"), centres.tolist(), weights.tolist()).alias("cluster"))
-
-
-def cl7_silhouette(spark: SparkSession, d: str, vectors=_small) -> DataFrame:
-    """Mean silhouette of the vectors whose id is divisible by 20, each against all vectors, by label.
-
-    The query set is small against the rows; a task adds up distances per query and cluster only.
-    """
-    e = vectors(spark, d)
-    q = e.filter("vec_id % 20 = 0").orderBy("vec_id").collect()
-    ids, labels, m = np.array([r.vec_id for r in q]), np.array([r.label for r in q]), np.array([r.v for r in q])
-
-    def sums(batches):
-        import pandas as pd
+    centres, weights, history = V.kmeans(_vectors(spark, d), "v", _centres(spark, d), 20)
+    return _vectors(spark, d).select("vec_id", V.nearest_centre(F.col("v"), centres.tolist(), weights.tolist()).alias("cluster"))
 
-        mm = (m * m).sum(1)
-        for pdf in batches:
-            every, labels_of = np.array(pdf["v"].tolist()), pdf["label"].to_numpy()
-            for lo in range(0, len(every), 512):
-                x, own = every[lo : lo + 512], labels_of[lo : lo + 512]
-                dist = np.sqrt(np.maximum(mm[:, None] + (x * x).sum(1)[None, :] - 2 * m @ x.T, 0))
-                for c in np.unique(own):
-                    yield pd.DataFrame({"vec_id": ids, "own": labels, "cluster": int(c), "s": dist[:, own == c].sum(1), "n": int((own == c).sum())})
 
-    s = e.mapInPandas(sums, "vec_id long, own int, cluster int, s double, n long").groupBy("vec_id", "own", "cluster").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-    ab = s.groupBy("vec_id").agg(F.max(F.when(F.col("own") == F.col("cluster"), F.col("s") / F.greatest(F.col("n") - 1, F.lit(1)))).alias("a"), F.min(F.when(F.col("own") != F.col("cluster"), F.col("s") / F.col("n"))).alias("b"))
+def cl7_silhouette(spark: SparkSession, d: str) -> DataFrame:
+    """Mean silhouette of the vectors whose id is divisible by 20, each against all vectors, by label."""
+    e = _vectors(spark, d)
+    s = V.cluster_distances(e, e.filter("vec_id % 20 = 0"), "vec_id", "v", "label")
+    ab = s.groupBy("query_id").agg(F.max(F.when(F.col("own") == F.col("cluster"), F.col("s") / F.greatest(F.col("n") - 1, F.lit(1)))).alias("a"), F.min(F.when(F.col("own") != F.col("cluster"), F.col("s") / F.col("n"))).alias("b"))
     return ab.agg(F.round(F.avg((F.col("b") - F.col("a")) / F.greatest("a", "b")), 6).alias("silhouette"), F.count(F.lit(1)).alias("n"))
 
 
-def cl8_calinski(spark: SparkSession, d: str, vectors=_small) -> DataFrame:
-    g = vectors(spark, d).select("label", F.posexplode("v").alias("pos", "x")).groupBy("label", "pos").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("m"), F.sum(F.col("x") * F.col("x")).alias("q"))
+def cl8_calinski(spark: SparkSession, d: str) -> DataFrame:
+    g = _vectors(spark, d).select("label", F.posexplode("v").alias("pos", "x")).groupBy("label", "pos").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("m"), F.sum(F.col("x") * F.col("x")).alias("q"))
     t = g.groupBy("pos").agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mu"), F.sum("n").alias("all_n"), F.count(F.lit(1)).alias("k"))
     s = g.join(t, "pos").agg(F.sum(F.col("q") - F.col("n") * F.col("m") * F.col("m")).alias("w"), F.sum(F.col("n") * F.pow(F.col("m") - F.col("mu"), 2)).alias("b"), F.max("all_n").alias("n"), F.max("k").alias("k"))
     return s.select(F.round((F.col("b") / (F.col("k") - 1)) / (F.col("w") / (F.col("n") - F.col("k"))), 4).alias("ch"))
 
 
-def cl9_nmi(spark: SparkSession, d: str, vectors=_small) -> DataFrame:
+def cl9_nmi(spark: SparkSession, d: str) -> DataFrame:
     """Agreement of clusters with labels, normalised by the mean entropy."""
-    c = cl6_nearest(spark, d, vectors).join(vectors(spark, d), "vec_id").groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n")).withColumn("_all", F.lit(1))
+    c = cl6_nearest(spark, d).join(_vectors(spark, d), "vec_id").groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n")).withColumn("_all", F.lit(1))
     w = lambda *p: Window.partitionBy(*p)
     p = c.select((F.col("n") / F.sum("n").over(w("_all"))).alias("p"), (F.sum("n").over(w("cluster")) / F.sum("n").over(w("_all"))).alias("a"), (F.sum("n").over(w("label")) / F.sum("n").over(w("_all"))).alias("b"))
     return p.agg(F.round(F.sum(F.col("p") * F.ln(F.col("p") / (F.col("a") * F.col("b")))) / ((-F.sum(F.col("p") * F.ln("a")) - F.sum(F.col("p") * F.ln("b"))) / 2), 6).alias("nmi"))
 
 
-def ag11_information_gain(spark: SparkSession, d: str, vectors=_small) -> DataFrame:
+def ag11_information_gain(spark: SparkSession, d: str) -> DataFrame:
     """Information gain of each dimension about the label, in ten equal-frequency bins."""
-    x = vectors(spark, d).select("label", F.posexplode("v").alias("pos", "x"))
-    cuts = x.groupBy("pos").agg(F.percentile("x", F.array(*[F.lit(i / 10) for i in range(1, 10)])).alias("cuts"))
-    b = x.join(cuts, "pos").select("pos", "label", F.size(F.filter("cuts", lambda c: c <= F.col("x"))).alias("bin"))
+    x = _vectors(spark, d).select("label", F.posexplode("v").alias("pos", "x"))
+    cuts = V.quantiles(x, "pos", "x", [i / 10 for i in range(1, 10)])
+    b = x.join(F.broadcast(cuts), "pos").select("pos", "label", F.size(F.filter("cuts", lambda c: c <= F.col("x"))).alias("bin"))
     c = b.groupBy("pos", "bin", "label").agg(F.count(F.lit(1)).alias("n"))
     w = lambda *p: Window.partitionBy(*p)
     p = c.select("pos", (F.col("n") / F.sum("n").over(w("pos"))).alias("p"), (F.sum("n").over(w("pos", "bin")) / F.sum("n").over(w("pos"))).alias("a"), (F.sum("n").over(w("pos", "label")) / F.sum("n").over(w("pos"))).alias("b"))
@@ -133,10 +98,10 @@ def cl13_drift(spark: SparkSession, d: str) -> DataFrame:
     return g.filter("n >= 2 AND m2 IS NOT NULL").select("user_id", F.round(F.sqrt(F.pow(F.col("m2") - F.col("m"), 2) / (F.col("v") + 1e-6)), 5).alias("distance"))
 
 
-def dc1_consistency(spark: SparkSession, d: str, vectors=_small) -> DataFrame:
+def dc1_consistency(spark: SparkSession, d: str) -> DataFrame:
     """exp(-KL/2) of each vector's share profile against its label's mean profile."""
-    m = V.grouped_mean(vectors(spark, d), ["label"], "v").groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "mean"))), lambda s: s["mean"]).alias("m"))
-    j = vectors(spark, d).join(m, "label")
+    m = V.grouped_mean(_vectors(spark, d), ["label"], "v").groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "mean"))), lambda s: s["mean"]).alias("m"))
+    j = _vectors(spark, d).join(m, "label")
     share = lambda c: F.transform(c, lambda x: (F.abs(x) + 1e-8) / F.aggregate(c, F.lit(0.0), lambda s, y: s + F.abs(y) + 1e-8))
     kl = F.aggregate(F.zip_with(share(F.col("v")), share(F.col("m")), lambda p, q: p * F.ln(p / q)), F.lit(0.0), lambda s, x: s + x)
     return j.select("vec_id", F.round(F.exp(-0.5 * kl), 6).alias("s"))
@@ -184,12 +149,10 @@ def ag31_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in list(globals().values()) if callable(f) and getattr(f, "__module__", "") == __name__ and not f.__name__.startswith("_")}
-_WHOLE = _over_whole(ag1_weighted_mean, cl3_step, cl4_weights, cl6_nearest, cl7_silhouette, cl8_calinski, cl9_nmi, ag11_information_gain, dc1_consistency)
-QUERIES |= _WHOLE
-_S = f"s AS (SELECT vec_id, label, embedding[1:{DIMS}]::DOUBLE[] AS v FROM embeddings)"
-_LONG = f"{_S}, x AS (SELECT vec_id, label, unnest(range({DIMS}))::INTEGER AS pos, unnest(v) AS x FROM s)"
+_S = "s AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings)"
+_LONG = f"{_S}, x AS (SELECT vec_id, label, unnest(range(len(v)))::INTEGER AS pos, unnest(v) AS x FROM s)"
 _C = f"{_S}, c AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS k, v AS cv FROM (FROM s ORDER BY vec_id LIMIT {K})), a AS (SELECT vec_id, arg_min(k, (list_distance(v, cv), k))::INTEGER AS cluster FROM s, c GROUP BY 1)"
-_AX = f"{_C}, x AS (SELECT s.vec_id, label, cluster, unnest(range({DIMS}))::INTEGER AS pos, unnest(v) AS x FROM s JOIN a USING (vec_id))"
+_AX = f"{_C}, x AS (SELECT s.vec_id, label, cluster, unnest(range(len(v)))::INTEGER AS pos, unnest(v) AS x FROM s JOIN a USING (vec_id))"
 ORACLES = {
     "ag1_weighted_mean": f"WITH {_LONG} SELECT label, pos, round(sum(x * (vec_id % 5 + 1)) / (sum(vec_id % 5 + 1) + 1e-8), 6) AS mean FROM x GROUP BY ALL",
     "cl6_nearest": f"WITH {_C} FROM a",
@@ -211,4 +174,3 @@ ORACLES = {
         k AS (SELECT cls, (SELECT count(*) FROM s WHERE y = cls) AS t, (SELECT count(*) FROM s WHERE p = cls) AS p, (SELECT count(*) FROM s WHERE y = cls AND p = cls) AS h FROM c), m AS (SELECT cls, t, CASE WHEN p > 0 THEN h / p ELSE 0 END AS pr, CASE WHEN t > 0 THEN h / t ELSE 0 END AS re FROM k)
         SELECT cls, round(pr, 6) AS precision, round(re, 6) AS recall, round(CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0 END, 6) AS f1, t AS support FROM m""",
 }
-ORACLES |= {name: _whole_sql(ORACLES[name.removesuffix("_whole")]) for name in _WHOLE}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sentrail.functions.scalars import hash_choice
 from sentrail.operators import rules as RL
+from sentrail.operators.folds import ordered_fold
 from sentrail.session import table
 
 RULES = [
@@ -38,9 +39,14 @@ def rl3_parsed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rl4_grammar(spark: SparkSession, d: str) -> DataFrame:
-    """The grammar state after all of each user's event types, in order of time."""
-    e = table(spark, d, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: x["event_type"]).alias("t"))
-    return e.select("user_id", RL.fold_grammar(F.col("t"), MOVES, "s").alias("state"))
+    """The grammar state after all of each user's event types, in order of time, folded row by row."""
+    states = ordered_fold(table(spark, d, "events").select("user_id", "ts", "event_id", "event_type"), "user_id", ["ts", "event_id"], lambda: ("s", 0), _moved, "user_id long, n long, state string")
+    return states.groupBy("user_id").agg(F.max_by("state", "n").alias("state"))
+
+
+def _moved(state: tuple[str, int], row: object) -> tuple[tuple[str, int], tuple]:
+    now, n = MOVES.get((state[0], row.event_type), "fail"), state[1] + 1
+    return (now, n), (row.user_id, n, now)
 
 
 def rl6_ranked(spark: SparkSession, d: str) -> DataFrame:
@@ -50,8 +56,7 @@ def rl6_ranked(spark: SparkSession, d: str) -> DataFrame:
 
 def rl12_as_sql(spark: SparkSession, d: str) -> DataFrame:
     """Rules as query text, run as such."""
-    table(spark, d, "events").createOrReplaceTempView("sentrail_rule_events")
-    parts = [spark.sql(RL.sql_text(r, "sentrail_rule_events")).groupBy().agg(F.lit(r["id"]).alias("rule_id"), F.count(F.lit(1)).alias("n")) for r in RULES]
+    parts = [spark.sql(RL.sql_text(r, "{events}"), events=table(spark, d, "events")).groupBy().agg(F.lit(r["id"]).alias("rule_id"), F.count(F.lit(1)).alias("n")) for r in RULES]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -110,7 +115,7 @@ def gr23_stale(spark: SparkSession, d: str) -> DataFrame:
     return t.filter(F.col("modified_at") < F.lit("2024-01-01").cast("timestamp") - F.expr("INTERVAL 400 DAYS")).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in list(globals().values()) if callable(f) and getattr(f, "__module__", "") == __name__}
+QUERIES = {f.__name__: f for f in list(globals().values()) if callable(f) and getattr(f, "__module__", "") == __name__ and not f.__name__.startswith("_")}
 _GRADED = "SELECT doc_id, CASE WHEN l4 THEN 'L4' WHEN l3 THEN 'L3' WHEN l2 THEN 'L2' ELSE 'L1' END AS grade, round(least(0.5 + 0.1 * (l2::INT + l3::INT + l4::INT), 0.95)::DOUBLE, 6) AS confidence FROM (SELECT doc_id, " + ", ".join(f"regexp_matches(lower(coalesce(text, '')), '{p}') AS {g.lower()}" for g, p in GRADES) + " FROM documents)"
 _ENTITY = "SELECT doc_id, kind, count(*) AS n, count(DISTINCT e) AS n_distinct FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnest(regexp_extract_all(text, '{p}')) AS e FROM documents" for k, p in ENTITIES.items()) + ") GROUP BY ALL"
 from sentrail.queries.features import level_sql  # noqa: E402
@@ -126,6 +131,10 @@ ORACLES = {
     "gr13_votes": "WITH v AS (SELECT doc_id, s AS seed, (('0x' || md5(coalesce(text, '') || '|' || s)[1:8])::BIGINT % 4)::INTEGER AS level FROM documents, (SELECT unnest(range(5)) AS s)), n AS (SELECT doc_id, level, count(*) AS n, min(seed) AS f FROM v GROUP BY ALL) SELECT doc_id, level, round(n / 5, 6) AS share, n >= 3 AS accepted FROM n QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, f) = 1",
     "gr20_level_changes": f"SELECT old, grade AS new, count(*) AS n FROM ({_GRADED}) JOIN (SELECT doc_id, {level_sql('sensitivity_level')} AS old FROM documents) USING (doc_id) WHERE old <> grade GROUP BY ALL",
     "gr23_stale": "SELECT doc_id FROM documents WHERE modified_at < TIMESTAMPTZ '2024-01-01 00:00:00+00' - INTERVAL 400 DAY",
-    "rl4_grammar": None,
+    "rl2_checked": "SELECT * FROM (VALUES ('r1', ''), ('r2', ''), ('r3', ''), ('r4', ''), ('b1', 'attribute colour'), ('b2', 'operator ~'), ('b3', 'value of value in')) AS t(rule_id, errors)",
+    "rl4_grammar": "WITH RECURSIVE o AS (SELECT user_id, event_type AS e, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events), r AS (SELECT DISTINCT user_id, 0::BIGINT AS i, 's' AS s FROM o UNION ALL SELECT o.user_id, o.i, CASE " + " ".join(f"WHEN r.s = '{a}' AND o.e = '{t}' THEN '{b}'" for (a, t), b in MOVES.items()) + " ELSE 'fail' END FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i + 1) SELECT user_id, arg_max(s, i) AS state FROM r GROUP BY 1",
+    "rl6_ranked": """WITH t AS (SELECT i::INTEGER AS template_no, ['finance', 'ops'][1:1 + i % 2] AS roles, ['file', 'email', 'http'][1 + i % 3:] AS kinds, 4.0 + i AS cost FROM (SELECT unnest(range(8)) AS i)),
+        s AS (SELECT template_no, len(list_intersect(roles, ['finance'])) / len(list_distinct(list_concat(roles, ['finance']))) AS a, len(list_intersect(kinds, ['file', 'http'])) / len(list_distinct(list_concat(kinds, ['file', 'http']))) AS b, 1 - cost / max(cost) OVER () AS c FROM t)
+        SELECT template_no, round(0.4 * a + 0.4 * b + 0.2 * c, 6) AS score FROM s ORDER BY 0.4 * a + 0.4 * b + 0.2 * c DESC, template_no LIMIT 5""",
+    "rl14_conflicts": "SELECT * FROM (VALUES ('r1', false, true), ('r2', false, true), ('r3', false, true), ('r4', false, true), ('c1', true, true), ('c2', true, true), ('c3', false, true)) AS t(rule_id, contradicts, well_formed)",
 }
-ORACLES.pop("rl4_grammar")

@@ -37,20 +37,20 @@ def str2_admitted_stream(spark: SparkSession, d: str) -> DataFrame:
 
 
 def str3_correlation(spark: SparkSession, d: str) -> DataFrame:
-    """The first five event types of each user in order."""
+    """The first 100 event types of each user in order (a correlation's chain holds 100)."""
     e = table(spark, d, "events")
     from sentrail.operators.relational import top_per_group
 
-    t = top_per_group(e.select("user_id", "ts", "event_id", "event_type"), ["user_id"], [F.col("ts"), F.col("event_id")], 5)
+    t = top_per_group(e.select("user_id", "ts", "event_id", "event_type"), ["user_id"], [F.col("ts"), F.col("event_id")], 100)
     return t.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "event_type"))), lambda x: x["event_type"]), ">").alias("chain"))
 
 
 def str12_liveness(spark: SparkSession, d: str) -> DataFrame:
     """Machines heard from in the last day of the table's time."""
     e = table(spark, d, "behavior_events").filter("timestamp < '2024-02-01' AND vm_id IS NOT NULL")
-    last = e.groupBy("vm_id").agg(F.max("timestamp").alias("t")).withColumn("_one", F.lit(1))
-    top = last.agg(F.max("t").alias("top")).withColumn("_one", F.lit(1))
-    return last.join(top, "_one").select("vm_id", (F.unix_seconds("top") - F.unix_seconds("t") < 86_400).alias("online"))
+    last = e.groupBy("vm_id").agg(F.max("timestamp").alias("t"))
+    top = last.agg(F.unix_seconds(F.max("t"))).first()[0]  # one number
+    return last.select("vm_id", (F.lit(top) - F.unix_seconds("t") < 86_400).alias("online"))
 
 
 def dc5_baseline(spark: SparkSession, d: str) -> DataFrame:
@@ -63,13 +63,18 @@ def dc6_whitelist(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (str_tumbling, str_sliding, str_session, str_dedup, str2_admitted, str2_admitted_stream, str3_correlation, str12_liveness, dc5_baseline, dc6_whitelist)}
+_ADMITTED = """WITH RECURSIVE o AS (SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE event_type = 'error'),
+        r AS (SELECT event_id, user_id, i, [t] AS times, true AS admitted FROM o WHERE i = 1 UNION ALL SELECT event_id, user_id, i, CASE WHEN len(kept) < 2 THEN list_append(kept, t) ELSE kept END, len(kept) < 2
+        FROM (SELECT o.event_id, o.user_id, o.i, o.t, list_filter(r.times, lambda x: x > o.t - 21600000000) AS kept FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i + 1)) SELECT event_id, admitted FROM r"""
 ORACLES = {
     "str_tumbling": "SELECT date_trunc('hour', ts) AS start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS \"end\", event_type, count(*) AS n FROM events GROUP BY ALL",
     "str_sliding": "SELECT s AS start, s + INTERVAL 2 HOUR AS \"end\", count(*) AS n FROM (SELECT unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS s FROM events) GROUP BY ALL",
     "str_session": "WITH b AS (SELECT user_id, ts, coalesce((ts - lag(ts) OVER w) > INTERVAL 6 HOUR, true)::INT AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM b) SELECT min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS \"end\", user_id, count(*) AS n FROM g GROUP BY user_id, s",
     "str_dedup": "SELECT count(DISTINCT event_id) AS n, count(DISTINCT event_id) AS n_ids FROM behavior_events",
-    "str3_correlation": "SELECT user_id, string_agg(event_type, '>' ORDER BY ts, event_id) AS chain FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 5) GROUP BY 1",
+    "str3_correlation": "SELECT user_id, string_agg(event_type, '>' ORDER BY ts, event_id) AS chain FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 100) GROUP BY 1",
     "str12_liveness": "WITH l AS (SELECT vm_id, max(\"timestamp\") AS t FROM behavior_events WHERE \"timestamp\" < TIMESTAMPTZ '2024-02-01 00:00:00+00' AND vm_id IS NOT NULL GROUP BY 1) SELECT vm_id, floor(epoch((SELECT max(t) FROM l))) - floor(epoch(t)) < 86400 AS online FROM l",
+    "str2_admitted": _ADMITTED,
+    "str2_admitted_stream": _ADMITTED,
     "dc5_baseline": """WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events), r AS (SELECT event_id, user_id, i, value AS m, 0.0::DOUBLE AS v FROM o WHERE i = 1 UNION ALL
         SELECT o.event_id, o.user_id, o.i, 0.9 * r.m + 0.1 * o.value, 0.8 * r.v + 0.1 * pow(o.value - (0.9 * r.m + 0.1 * o.value), 2) FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i + 1) SELECT event_id, round(m, 6) AS mean, round(v, 4) AS variance FROM r""",
     "dc6_whitelist": "SELECT event_id, coalesce(epoch_us(ts) - epoch_us(max(ts) FILTER (value < 40) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) <= 86400000000, false) AS known FROM events",

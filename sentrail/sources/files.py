@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, keep_broken: bool = False) -> DataFrame:
     """One object a line by a declared schema. Broken lines are dropped, or kept in column _broken."""
-    df = spark.read.schema(f"{schema}, _broken STRING").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").json(path)
-    return df if keep_broken else df.cache().filter("_broken IS NULL").drop("_broken")
+    lines = spark.read.text(path).filter("trim(value) <> ''")
+    df = lines.select(F.from_json("value", f"{schema}, _broken STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}).alias("r")).select("r.*")
+    return df if keep_broken else df.filter("_broken IS NULL").drop("_broken")
 
 
 def read_labelled(spark: SparkSession, root: str, schema: str) -> DataFrame:
@@ -60,34 +61,43 @@ def read_texts(spark: SparkSession, root: str, glob: str = "*", least: int = 0)
     return df.select("path", "content").mapInPandas(decoded, "path string, text string").filter(F.length("text") >= least)
 
 
-def read_zip_members(spark: SparkSession, root: str, depth: int = 3) -> DataFrame:
-    """path, member, content of all files in zip archives below root, archives in archives up to `depth`.
+def read_zip_members(spark: SparkSession, root: str, most_bytes: int = 1 << 30) -> DataFrame:
+    """path, member, content, note of all files in zip archives below root, archives in archives to any depth.
 
-    member joins nested names by '!'. Broken archives give one row with a null content.
+    member joins nested names by '!'. A broken archive gives one row with a null content and the note
+    'broken'; a member that would take its file beyond most_bytes of unpacked content (a bomb) gives one with
+    the note 'too large'. Archives are unpacked one member at a time, without recursion.
     """
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.zip").load(root)
 
-    def members(raw: bytes, prefix: str, left: int) -> Iterator[tuple[str, bytes | None]]:
-        try:
-            with zipfile.ZipFile(io.BytesIO(raw)) as z:
-                for name in z.namelist():
-                    if name.endswith("/"):
-                        continue
-                    body = z.read(name)
-                    if name.lower().endswith(".zip") and left > 1:
-                        yield from members(body, f"{prefix}{name}!", left - 1)
-                    else:
-                        yield prefix + name, body
-        except zipfile.BadZipFile:
-            yield prefix.rstrip("!"), None
+    def members(raw: bytes) -> Iterator[tuple[str, bytes | None, str | None]]:
+        todo, left = [("", raw)], most_bytes
+        while todo:
+            prefix, body = todo.pop()
+            try:
+                with zipfile.ZipFile(io.BytesIO(body)) as z:
+                    for info in z.infolist():
+                        if info.is_dir():
+                            continue
+                        if info.file_size > left:
+                            yield prefix + info.filename, None, "too large"
+                            continue
+                        content = z.read(info)
+                        left -= len(content)
+                        if info.filename.lower().endswith(".zip"):
+                            todo.append((f"{prefix}{info.filename}!", content))
+                        else:
+                            yield prefix + info.filename, content, None
+            except zipfile.BadZipFile:
+                yield prefix.rstrip("!"), None, "broken"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, raw in zip(pdf["path"], pdf["content"]):
-                for member, body in members(bytes(raw), "", depth):
-                    yield pd.DataFrame({"path": [path], "member": [member], "content": [body]})
+                for member, body, note in members(bytes(raw)):
+                    yield pd.DataFrame({"path": [path], "member": [member], "content": [body], "note": [note]})
 
-    return df.select("path", "content").mapInPandas(run, "path string, member string, content binary")
+    return df.select("path", "content").mapInPandas(run, "path string, member string, content binary, note string")
 
 
 def documents_from(*parts: DataFrame) -> DataFrame:

@@ -128,10 +128,10 @@ def test_vectors_are_read_whole(spark, tmp_path):
     run = lambda n: q[n](spark, str(tmp_path)).collect()
     assert {(r.vec_id, r.cluster) for r in run("cl5_kmeans")} == {(i, i % 4) for i in range(80)}
     assert sorted(r.n for r in run("cl10_spark_kmeans")) == [20] * 4
-    assert {(r.vec_id, r.cluster) for r in run("cl6_nearest_whole")} == {(i, i % 4) for i in range(80)}
-    assert [r.nmi for r in run("cl9_nmi_whole")] == [1.0]
-    assert [r.pos for r in run("ag12_selected_whole")] == [40]
-    cov = {(r.label, r.pos, r.other): r.cov for r in run("ag13_covariance_whole")}
+    assert {(r.vec_id, r.cluster) for r in run("cl6_nearest")} == {(i, i % 4) for i in range(80)}
+    assert [r.nmi for r in run("cl9_nmi")] == [1.0]
+    assert [r.pos for r in run("ag12_selected")] == [40]
+    cov = {(r.label, r.pos, r.other): r.cov for r in run("ag13_covariance")}
     assert len(cov) == 4 * 48 * 49 // 2
     for label in range(4):
         assert cov[label, 40, 41] == pytest.approx(np.cov(x[label::4].astype(float).T)[40, 41], abs=1e-7)
@@ -146,5 +146,5 @@ def test_no_rows_are_left_out(spark, tmp_path, data):
     spark.createDataFrame([(u, i, f"2024-01-01 00:{i:02d}:00", k) for u, own in kinds.items() for i, k in enumerate(own)], "user_id int, event_id int, ts string, event_type string").withColumn("ts", F.to_timestamp("ts")).write.parquet(f"{tmp_path}/events.parquet")
     assert {r.user_id: r.state for r in q["rl4_grammar"](spark, str(tmp_path)).collect()} == {1: "p", 2: "fail", 3: "s"}
     buyers = spark.read.parquet(f"{data}/orders.parquet").select("o_custkey").distinct().count()
-    assert q["jn7_lateral_whole"](spark, data).filter("rank = 1").count() == buyers
-    assert q["st9_priority_whole"](spark, data).count() == spark.read.parquet(f"{data}/documents.parquet").count()
+    assert q["jn7_lateral"](spark, data).filter("rank = 1").count() == buyers
+    assert q["st9_priority"](spark, data).count() == spark.read.parquet(f"{data}/documents.parquet").count()
