@@ -6,24 +6,31 @@ several parents, or recursive; every other label is inlined as columns of its ne
 table. Each row holds its parent's table and node as foreign key.
 
 Lists and objects whose keys are all numbers are repetitions; text that is itself a JSON list or object
-is read as what it encodes.
+is read as what it encodes. A label with more than MAX_CHILDREN different keys below it has data for keys:
+its keys are no labels, but rows of a table <label>_entry of key and value (nested values as JSON text).
 """
 
 from __future__ import annotations
 
 import json
 import re
+import sys
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import lru_cache
+from json import decoder, scanner
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sentrail.session import cut
+
 ROOT = "root"
-#: A schema graph of more edges than this isn't a schema (keys are data); shredding stops with an error.
-MAX_EDGES = 20_000
+#: Different keys below one label, beyond which they are data and no schema.
+MAX_CHILDREN = 500
+#: Nesting that is read; deeper payloads are rejected. Python's own calls take no stack here.
+MAX_DEPTH = 100_000
 
 _EDGES = "parent string, child string, repeated boolean, nested boolean"
 _ROWS = "tab string, source_id long, node int, root_node int, parent_tab string, parent_node int, pos int, record_pos int, cols map<string,string>, under_node int, under_pos int"
@@ -34,12 +41,29 @@ def snake(key: str) -> str:
     return re.sub(r"[\s\-.]+", "_", re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", key.strip())).lower()
 
 
+class _DeepDecoder(json.JSONDecoder):
+    """Reads nesting that the usual decoder refuses, in calls that Python's recursion limit alone bounds."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.parse_object, self.parse_array, self.parse_string = decoder.JSONObject, decoder.JSONArray, decoder.scanstring
+        self.scan_once = scanner.py_make_scanner(self)
+
+
+def _loads(text: str) -> object:
+    try:
+        return json.loads(text)
+    except RecursionError:
+        sys.setrecursionlimit(MAX_DEPTH)
+        return _DeepDecoder().decode(text)
+
+
 def _opened(value: object) -> object:
     """Text that encodes a list or object, as that; an object keyed by numbers, as its list in reading order."""
     if isinstance(value, str) and value[:1] in "[{ \n" and value.strip()[:1] in ("[", "{"):
         try:
-            value = json.loads(value)
-        except ValueError:
+            value = _loads(value)
+        except (ValueError, RecursionError):
             return value
     if isinstance(value, dict) and value and all(k.isdigit() for k in value):
         return list(value.values())
@@ -51,7 +75,7 @@ def parse(payload: object, unwrap: tuple[str, ...]) -> list[dict] | None:
     if not isinstance(payload, str):
         return None
     try:
-        value = json.loads(payload)
+        value = _loads(payload)
     except (ValueError, RecursionError):
         return None
     value = _opened(value)
@@ -71,7 +95,13 @@ def _nested(value: object) -> bool:
     return kind is dict or kind is list or (kind is str and value[:1] in ("[", "{", " ", "\n"))
 
 
-def _edges(obj: dict, label: str, found: set) -> None:
+def _edges(obj: dict, label: str, found: set, keys: dict[str, set[str]]) -> None:
+    own = keys.setdefault(label, set())
+    if len(own) <= MAX_CHILDREN:
+        own.update(obj)
+    if len(own) > MAX_CHILDREN:
+        found.add((label, entry_of(label), True, False))
+        return
     for key, value in obj.items():
         child = snake(key)
         if not _nested(value):
@@ -85,34 +115,53 @@ def _edges(obj: dict, label: str, found: set) -> None:
                 x = {child: x}
             found.add((label, child, repeated, isinstance(x, dict)))
             if isinstance(x, dict):
-                _edges(x, child, found)
+                _edges(x, child, found, keys)
+
+
+def entry_of(label: str) -> str:
+    """The table of a label whose keys are data."""
+    return f"{label}_entry"
 
 
 def schema_edges(records: DataFrame, source_id: str, payload: str, unwrap: tuple[str, ...] = ()) -> DataFrame:
-    """Distinct edges of the schema graph. Broken payloads add nothing."""
+    """Distinct edges of the schema graph. Broken payloads add nothing.
+
+    A label with data for keys has one edge, to its entry table; what lies below those keys has none.
+    """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: set = set()
+        sys.setrecursionlimit(MAX_DEPTH)
+        found, keys = set(), {}
         for pdf in batches:
             for text in pdf[payload]:
                 for r in parse(text, unwrap) or []:
                     try:
-                        _edges(r, ROOT, found)
+                        _edges(r, ROOT, found, keys)
                     except RecursionError:
                         continue
-                if len(found) > MAX_EDGES:
-                    raise ValueError(f"more than {MAX_EDGES} distinct edges: the keys of these records are data, not a schema")
         yield pd.DataFrame(sorted(found), columns=["parent", "child", "repeated", "nested"])
 
-    return records.select(payload).mapInPandas(read, _EDGES).distinct()
+    edges = cut(records.select(payload).mapInPandas(read, _EDGES).distinct())
+    is_entry = F.col("repeated") & ~F.col("nested") & (F.col("child") == F.concat("parent", F.lit("_entry")))
+    many = edges.groupBy("parent").agg(F.countDistinct("child").alias("n"), F.max(is_entry).alias("marked")).filter((F.col("n") > MAX_CHILDREN) | F.col("marked")).select("parent")
+    wide = [r[0] for r in many.collect()]
+    kept = edges
+    if wide:
+        kept = kept.filter(~F.col("parent").isin(wide)).unionByName(records.sparkSession.createDataFrame([(w, entry_of(w), True, False) for w in wide], _EDGES))
+        n = -1
+        while (now := (kept := cut(kept)).count()) != n:  # what hung below the dropped keys alone
+            n = now
+            live = kept.select(F.col("child").alias("parent")).distinct()
+            kept = kept.filter(F.col("parent") == ROOT).unionByName(kept.filter(F.col("parent") != ROOT).join(live, "parent", "left_semi"))
+    return kept
 
 
 @dataclass(frozen=True)
 class Mapping:
-    """tables: labels with a table of their own; all others are inlined."""
+    """tables: labels with a table of their own; all others are inlined. wide: labels whose keys are data."""
 
     tables: frozenset[str]
-    inlined: dict[str, str] = field(hash=False, default_factory=dict)
+    wide: frozenset[str] = frozenset()
 
 
 def map_schema(edges: list[tuple[str, str, bool, bool]]) -> Mapping:
@@ -136,7 +185,7 @@ def map_schema(edges: list[tuple[str, str, bool, bool]]) -> Mapping:
                     todo.append(nxt)
         if label in seen or len(parents[label]) > 1:
             tables.add(label)
-    return Mapping(frozenset(tables), {c: next(iter(p)) for c, p in parents.items() if c in nested and c not in tables})
+    return Mapping(frozenset(tables), frozenset(p for p, c, repeated, is_nested in edges if c == entry_of(p) and repeated and not is_nested))
 
 
 class _Shredder:
@@ -161,12 +210,19 @@ class _Shredder:
 
     def fill(self, obj: dict, prefix: str, cols: dict, tab: str, node: int, root: int, positions: dict, home: int | None = None) -> None:
         wanted = None if self.keep is None else self.keep.get(tab, frozenset())
+        if (label_of := prefix.rstrip(".").rpartition(".")[2] or tab) in self.mapping.wide:
+            for key, value in obj.items():
+                _, own, _ = self.row(entry_of(label_of), (tab, node), root, positions, home)
+                own["key"] = key
+                if value is not None:
+                    own["value"] = _text(value)
+            return
         for key, value in obj.items():
             label = snake(key)
             table = label in self.mapping.tables
             if not table and not _nested(value):
                 if value is not None and (wanted is None or prefix + label in wanted):
-                    cols.setdefault(prefix + label, _text(value))
+                    self.put(cols, prefix + label, value)
                 continue
             value = _opened(value)
             if table:
@@ -184,11 +240,23 @@ class _Shredder:
             elif isinstance(value, dict):
                 self.fill(value, f"{prefix}{label}.", cols, tab, node, root, positions, home)
             elif value is not None and (wanted is None or prefix + label in wanted):
-                cols.setdefault(prefix + label, _text(value))
+                self.put(cols, prefix + label, value)
+
+    @staticmethod
+    def put(cols: dict, name: str, value: object) -> None:
+        """Keys of one object that are spelt alike keep their values: the first as name, then name#2 and so on."""
+        own, n = name, 1
+        while own in cols:
+            n += 1
+            own = f"{name}#{n}"
+        cols[own] = _text(value)
 
 
 def _text(x: object) -> str:
-    return x if isinstance(x, str) else json.dumps(x, ensure_ascii=False)
+    try:
+        return x if isinstance(x, str) else json.dumps(x, ensure_ascii=False)
+    except RecursionError:
+        return "".join(json.encoder._make_iterencode(None, json.JSONEncoder().default, json.encoder.encode_basestring, None, float.__repr__, ": ", ", ", False, False, False)(x, 0))
 
 
 def shred(records: DataFrame, source_id: str, payload: str, mapping: Mapping, unwrap: tuple[str, ...] = (), keep: dict[str, tuple[str, ...] | None] | None = None, under: str | None = None) -> DataFrame:
@@ -205,6 +273,7 @@ def shred(records: DataFrame, source_id: str, payload: str, mapping: Mapping, un
     kept = {k: None if v is None else frozenset(v) for k, v in keep.items()} if keep is not None else None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sys.setrecursionlimit(MAX_DEPTH)
         names = [c.split()[0] for c in _ROWS.replace("map<string,string>", "map").split(", ")]
         for pdf in batches:
             out = []
@@ -230,6 +299,8 @@ def shred(records: DataFrame, source_id: str, payload: str, mapping: Mapping, un
 
 
 def read_mapping(records: DataFrame, source_id: str, payload: str, unwrap: tuple[str, ...] = ()) -> Mapping:
-    """The mapping of these records' own schema graph; only the graph's edges reach the driver."""
-    edges = schema_edges(records, source_id, payload, unwrap).limit(MAX_EDGES + 1).collect()
-    return map_schema([tuple(e) for e in edges])
+    """The mapping of these records' own schema graph; only the graph's edges reach the driver.
+
+    A label has at most MAX_CHILDREN edges, so they are as many as the schema, not the data, has.
+    """
+    return map_schema([tuple(e) for e in schema_edges(records, source_id, payload, unwrap).collect()])

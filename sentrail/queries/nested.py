@@ -55,5 +55,27 @@ def p1_attachments(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.col("source_id").alias("record_id"), "node", "root_node", F.coalesce("under_node", "parent_node").alias("event_node"), F.coalesce("under_pos", "pos").alias("item_pos"), _col("name").alias("name"), _col("bytes").try_cast("long").alias("bytes"), _col("origin.host").alias("origin_host"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_sequences": p1_sequences, "p1_events": p1_events, "p1_attachments": p1_attachments}
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A table of the mapping as it is: keys, the parent's, and the inlined columns as JSON text."""
+    return _shredded(spark, d, {name: None}).select(F.col("source_id").alias("record_id"), "node", "root_node", "parent_tab", "parent_node", "pos", F.to_json("cols").alias("fields"))
+
+
+def p1_tags(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "tags")
+
+
+def p1_path(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "path")
+
+
+def p1_stages(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "stages")
+
+
+def p1_rejected(spark: SparkSession, d: str) -> DataFrame:
+    """Payloads that give no rows, with the reason."""
+    return _shredded(spark, d, {"_rejected": None}).select(F.col("source_id").alias("record_id"), _col("reason").alias("reason"))
+
+
+QUERIES = {"p1_tags": p1_tags, "p1_path": p1_path, "p1_stages": p1_stages, "p1_rejected": p1_rejected, "p1_found": p1_found, "p1_sequences": p1_sequences, "p1_events": p1_events, "p1_attachments": p1_attachments}
 ORACLES: dict[str, str] = {}

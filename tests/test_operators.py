@@ -118,7 +118,7 @@ def test_shred(spark):
         '{"seq_id": "cut", "events": [', None, "", "null", "{}", "[]", "collector restarted", json.dumps(deep), json.dumps({"t": "x" * 200_000}),
     ]
     m, rows = shredded(spark, payloads)
-    assert {"events", "attachments", "stages", "children"} <= m.tables and m.inlined["metadata"] == "events"
+    assert {"events", "attachments", "stages", "children"} <= m.tables and "metadata" not in m.tables
     ev = sorted((r.source_id, r.record_pos, r.cols["event_id"], r.parent_tab) for r in rows if r.tab == "events")
     assert ev == [(0, 0, "a", "root"), (0, 1, "b", "root"), (1, 0, "c", "root"), (1, 1, "d", "root"), (2, 0, "e", "root"), (3, 0, "f", "stages"), (3, 1, "g", "stages")]
     by = {(r.source_id, r.node): r for r in rows}
@@ -132,6 +132,25 @@ def test_shred(spark):
     assert {r.tab for r in few} == {"events"}
 
 
+def test_shred_keys_that_are_data(spark, monkeypatch):
+    """Beyond the bound of keys a label's keys become rows of key and value; no value is lost."""
+    monkeypatch.setattr(shred, "MAX_CHILDREN", 20)
+    payloads = [json.dumps({"seq_id": str(i), "by_host": {f"h{i}-{j}": {"n": j} if j % 2 else j for j in range(30)}}) for i in range(40)]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(payloads)], "record_id long, payload string").repartition(8)
+    edges = [tuple(e) for e in shred.schema_edges(df, "record_id", "payload").collect()]
+    assert sorted(e[:2] for e in edges) == [("by_host", "by_host_entry"), ("root", "by_host"), ("root", "seq_id")]
+    m = shred.map_schema(edges)
+    rows = shred.shred(df, "record_id", "payload", m).filter("tab = 'by_host_entry'").collect()
+    assert len(rows) == 40 * 30 and {(r.cols["key"], r.cols["value"]) for r in rows} == {(f"h{i}-{j}", json.dumps({"n": j} if j % 2 else j)) for i in range(40) for j in range(30)}
+
+
+def test_shred_alike_keys_and_depth(spark):
+    deep = '{"a":' * 5000 + "1" + "}" * 5000
+    m, rows = shredded(spark, ['{"eventId":"A","event_id":"B"}', deep])
+    assert next(r.cols for r in rows if r.source_id == 0) == {"event_id": "A", "event_id#2": "B"}
+    assert sum(r.tab == "a" for r in rows) == 5000 and not any(r.tab == "_rejected" for r in rows)
+
+
 def test_shred_empty(spark):
     df = spark.createDataFrame([], "record_id long, payload string")
     m = shred.read_mapping(df, "record_id", "payload")
