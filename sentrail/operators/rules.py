@@ -140,3 +140,52 @@ def rule_counts(df: DataFrame, rules: list[dict]) -> DataFrame:
 def pushed(rules: DataFrame, agents: DataFrame) -> DataFrame:
     """rule_id, agent_id of every rule for the agents of its role; a rule without a role goes to none."""
     return rules.filter("role IS NOT NULL").join(agents, "role").select("rule_id", "agent_id")
+
+
+def template_conflicts(templates: DataFrame, budget: float) -> DataFrame:
+    """a_no, b_no, reason: pairs of templates of one category with a common action that can't both be pushed.
+
+    severity: the same alert with different severities; memory: together more than twice the budget. An equi-
+    join on category and action; the action 'any' is common to all of its category. Each pair and reason once.
+    """
+    every = templates.select("category", F.explode("actions").alias("own")).distinct()
+    meets = templates.select("*", F.explode("actions").alias("own"))
+    wild = templates.filter(F.array_contains("actions", "any")).select("category", "template_no", "alert", "severity", "mem").join(every, "category")
+    parts = meets.select("category", "own", "template_no", "alert", "severity", "mem").unionByName(wild.select("category", "own", "template_no", "alert", "severity", "mem")).distinct()
+    other = parts.select("category", "own", F.col("template_no").alias("b_no"), F.col("alert").alias("b_alert"), F.col("severity").alias("b_severity"), F.col("mem").alias("b_mem"))
+    pairs = parts.join(other, ["category", "own"]).filter("template_no < b_no")
+    reasons = F.array_compact(F.array(F.when((F.col("alert") == F.col("b_alert")) & (F.col("severity") != F.col("b_severity")), "severity"), F.when(F.col("mem") + F.col("b_mem") > 2 * budget, "memory")))
+    return pairs.select(F.col("template_no").alias("a_no"), "b_no", F.explode(reasons).alias("reason")).distinct()
+
+
+def verified(templates: DataFrame, actions: list[str], level: str, budget: float) -> DataFrame:
+    """Templates within the budget that share an action (or take any) and reach the level; an unset level reaches all."""
+    wanted = F.array(*map(F.lit, [*actions, "any"]))
+    return templates.filter((F.col("mem") <= budget) & F.arrays_overlap("actions", wanted) & F.coalesce(F.col("least_level") >= level, F.lit(True)))
+
+
+def synthesize(templates: DataFrame, roles: list[str], kinds: list[str], actions: list[str], level: str, budget: float) -> int | None:
+    """The number of the best ranked template that passes verification; None means the generic rule."""
+    passed = verified(fitting_templates(templates, [*actions, "any"]), actions, level, budget)
+    best = rank_templates(passed, roles, kinds, 1).first()
+    return best[0] if best else None
+
+
+def response_of(query: Column) -> Column:
+    """block if the query asks for the highest level, else alert."""
+    return F.when(query.rlike(r"sensitivity\s*>?=\s*4"), "block").otherwise("alert")
+
+
+def corrected(tokens: list[str], transitions: dict[tuple[str, str], str], start: str, final: set[str], changes: int = 2) -> list[str] | None:
+    """The tokens with as few (at most `changes`) replaced or left out as it takes to end in a final state, else None."""
+    best = {start: (0, [])}
+    for t in tokens:
+        nxt: dict[str, tuple[int, list[str]]] = {}
+        for s, (cost, path) in best.items():
+            moves = [(n, cost + (own != t), [*path, own]) for (a, own), n in transitions.items() if a == s] + [(s, cost + 1, path)]
+            for n, c, p in moves:
+                if c <= changes and (n not in nxt or (c, p) < nxt[n]):
+                    nxt[n] = (c, p)
+        best = nxt
+    ends = [v for s, v in best.items() if s in final]
+    return min(ends)[1] if ends else None

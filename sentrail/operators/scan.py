@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def pattern_hits(df: DataFrame, row_id: str, text: str, patterns: dict[str, str], hits: int = 1, context: int = 0) -> DataFrame:
+def pattern_hits(df: DataFrame, row_id: str, text: str, patterns: dict[str, str], hits: int = 1, context: int = 0, backward: bool = False) -> DataFrame:
     """row_id, rule, hit_no, start, found, around: the first `hits` matches of each pattern in each text.
 
     Offsets count characters from 0. Patterns are Python regexes, or bytes in hex after '0x'. Null texts
-    have no hits; a pattern that matches the empty string hits nowhere.
+    have no hits; a pattern that matches the empty string hits nowhere. backward counts hits from the end.
     """
     compiled = {n: re.compile(re.escape(bytes.fromhex(p[2:]).decode("utf-8")) if p.startswith("0x") else p) for n, p in patterns.items()}
     rows = df.select(F.col(row_id).alias("row"), F.col(text).alias("text")).filter("text IS NOT NULL")
@@ -25,7 +25,7 @@ def pattern_hits(df: DataFrame, row_id: str, text: str, patterns: dict[str, str]
             for row, t in zip(pdf["row"], pdf["text"]):
                 for name, p in compiled.items():
                     n = 0
-                    for m in p.finditer(t):
+                    for m in reversed(list(p.finditer(t))) if backward else p.finditer(t):
                         if m.end() == m.start():
                             continue
                         out.append((row, name, n, m.start(), m.group(), t[max(0, m.start() - context) : m.end() + context]))

@@ -67,11 +67,12 @@ def kmeans_step(df: DataFrame, vector: str, centres: np.ndarray, weights: np.nda
     return new, w / w.sum() if w.sum() else weights, float(sum(p[3] for p in parts))
 
 
-def kmeans(df: DataFrame, vector: str, centres: np.ndarray, max_rounds: int = 100, tolerance: float = 1e-4) -> tuple[np.ndarray, np.ndarray, list[float]]:
-    """Rounds of kmeans_step from given centres and equal weights until the objective stands still."""
-    weights, history = np.full(centres.shape[1], 1 / centres.shape[1]), []
+def kmeans(df: DataFrame, vector: str, centres: np.ndarray, max_rounds: int = 100, tolerance: float = 1e-4, weights: np.ndarray | None = None, fixed_weights: bool = False) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """Rounds of kmeans_step from given centres and weights (else equal ones) until the objective stands still."""
+    weights, history = np.full(centres.shape[1], 1 / centres.shape[1]) if weights is None else weights, []
     for _ in range(max_rounds):
-        centres, weights, objective = kmeans_step(df, vector, centres, weights)
+        centres, new, objective = kmeans_step(df, vector, centres, weights)
+        weights = weights if fixed_weights else new
         history.append(objective)
         if len(history) > 1 and abs(history[-2] - history[-1]) < tolerance:
             break
@@ -235,3 +236,74 @@ def drifted(df: DataFrame, vector: str, mean: list[float], covariance: list[list
     rows = F.array(*[F.array(*[F.lit(float(v)) for v in r]) for r in inverse])
     d2 = dot(diff, F.transform(rows, lambda r: dot(r, diff)))
     return df.withColumn("distance", F.sqrt(F.when(d2 > 0, d2).otherwise(d2 * 0))).withColumn("drifted", F.col("distance") > limit)
+
+
+def gain_weights(gains: list[float]) -> np.ndarray:
+    """Information gains as shares, negative ones as 0; equal weights if there is no gain at all."""
+    g = np.maximum(np.array(gains, np.float64), 0)
+    return g / g.sum() if g.sum() > 0 else np.full(len(g), 1 / max(1, len(g)))
+
+
+def _sums(df: DataFrame, vector: str, f: object) -> np.ndarray:
+    """The sum over all vectors of f(matrix of a batch); a task sends one array."""
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for pdf in batches:
+            part = f(np.array(pdf["v"].tolist(), np.float64))
+            total = part if total is None else total + part
+        if total is not None:
+            yield pd.DataFrame({"part": [pickle.dumps(total)]})
+
+    return sum(pickle.loads(r[0]) for r in df.select(F.col(vector).alias("v")).dropna().mapInPandas(partial, "part binary").collect())
+
+
+def equal_weights(df: DataFrame, vector: str) -> np.ndarray:
+    d = len(df.select(vector).dropna().first()[0])
+    return np.full(d, 1 / d)
+
+
+def tfidf_weights(df: DataFrame, vector: str, least: float = 0.1) -> np.ndarray:
+    """Mean size of a dimension (as a share of the largest) times the log of how rarely it exceeds `least`."""
+    s = _sums(df, vector, lambda x: np.stack([np.abs(x).sum(0), (np.abs(x) > least).sum(0), np.full(x.shape[1], float(len(x)))]))
+    tf, rare = s[0] / s[2], np.log(1 / (s[1] / s[2] + 1e-12) + 1)
+    w = tf / (tf.max() + 1e-12) * rare
+    return w / (w.sum() + 1e-12)
+
+
+def pca_weights(df: DataFrame, vector: str, most: int = 50) -> np.ndarray:
+    """Each dimension's size in the first components, weighted by their share of the variance.
+
+    The d x d products are summed in the tasks; only their decomposition is made on the driver.
+    """
+    s = _sums(df, vector, lambda x: np.vstack([x.T @ x, x.sum(0), np.full(x.shape[1], float(len(x)))]))
+    n, mean = s[-1, 0], s[-2] / s[-1, 0]
+    values, axes = np.linalg.eigh(s[:-2] / n - np.outer(mean, mean))
+    order = np.argsort(-values)[:most]
+    w = (np.maximum(values[order], 0) / max(np.maximum(values, 0).sum(), 1e-300)) @ np.abs(axes.T[order])
+    return w / (w.sum() + 1e-12)
+
+
+def entropy_weights(df: DataFrame, vector: str, bins: int = 10) -> np.ndarray:
+    """Entropy of each dimension over equal bins between its least and greatest value, as a share of all."""
+    x = df.select(F.posexplode(vector).alias("pos", "x"))
+    ends = x.groupBy("pos").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    bin_ = F.least(F.floor((F.col("x") - F.col("lo")) / F.nullif(((F.col("hi") - F.col("lo")) / bins), F.lit(0.0))), F.lit(bins - 1))
+    n = x.join(F.broadcast(ends), "pos").groupBy("pos", F.coalesce(bin_, F.lit(0)).alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()  # bins a dimension
+    count = np.zeros((1 + max(r.pos for r in n), bins))
+    for r in n:
+        count[r.pos, r.bin] = r.n
+    p = count / count.sum(1, keepdims=True)
+    h = -(p * np.log(np.where(p > 0, p, 1))).sum(1)
+    return h / (h.sum() + 1e-12)
+
+
+def update_centres(df: DataFrame, vector: str, centres: np.ndarray, weights: np.ndarray, explicit: bool, limit: float, eta: float = 0.1) -> tuple[np.ndarray, str]:
+    """Centres after new vectors, and how: 'full' on an explicit change or if the mean distance to the nearest
+    centre exceeds limit, else 'incremental', which moves them by eta towards the new vectors' means."""
+    new, _, objective = kmeans_step(df, vector, centres, weights)
+    n = df.filter(F.col(vector).isNotNull()).count()
+    if explicit or (n and objective / n > limit):
+        return kmeans(df, vector, centres, weights=weights, fixed_weights=True)[0], "full"
+    seen = (new != 0).any(axis=1)  # a cluster without new vectors stays where it is
+    return np.where(seen[:, None], (1 - eta) * centres + eta * new, centres), "incremental"

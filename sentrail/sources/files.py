@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import io
+import re
 import struct
 import zipfile
 from collections.abc import Iterator
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -51,16 +53,51 @@ def snapshot(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
 
 
 def read_texts(spark: SparkSession, root: str, glob: str = "*", least: int = 0) -> DataFrame:
-    """path and whole text of files, bytes that are not UTF-8 replaced."""
+    """path and whole text of files, bytes that are not UTF-8 replaced; of .docx and .xlsx files the text inside.
+
+    A broken one of these gives an empty text.
+    """
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
 
     def decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"path": pdf["path"], "text": [bytes(c).decode("utf-8", "replace") for c in pdf["content"]]})
+            yield pd.DataFrame({"path": pdf["path"], "text": [office_text(p, bytes(c)) for p, c in zip(pdf["path"], pdf["content"])]})
 
     return df.select("path", "content").mapInPandas(decoded, "path string, text string").filter(F.length("text") >= least)
 
 
+def office_text(path: str, raw: bytes) -> str:
+    """Text of a file by its name: paragraphs of .docx, cells of .xlsx (a line a row), else the bytes as UTF-8."""
+    kind = path.lower().rpartition(".")[2]
+    if kind not in ("docx", "xlsx"):
+        return raw.decode("utf-8", "replace")
+    try:
+        with zipfile.ZipFile(io.BytesIO(raw)) as z:
+            texts = lambda node: "".join(x.text or "" for x in node.iter() if x.tag.endswith("}t"))
+            if kind == "docx":
+                return "\n".join(texts(p) for p in ElementTree.fromstring(z.read("word/document.xml")).iter() if p.tag.endswith("}p"))
+            shared = [texts(s) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in z.namelist() else []
+            lines = []
+            for name in sorted(n for n in z.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)):
+                for row in (r for r in ElementTree.fromstring(z.read(name)).iter() if r.tag.endswith("}row")):
+                    value = lambda c: next((x.text or "" for x in c if x.tag.endswith("}v")), texts(c))
+                    lines.append("\t".join(shared[int(value(c))] if c.get("t") == "s" else value(c) for c in row))
+            return "\n".join(lines)
+    except (zipfile.BadZipFile, KeyError, IndexError, ValueError, ElementTree.ParseError):
+        return ""
+
+
+def find_nocase(spark: SparkSession, root: str, path: str) -> DataFrame:
+    """Files below root whose path ends in `path`, whatever the case."""
+    return snapshot(spark, root).filter(F.lower("path").endswith("/" + path.lower().lstrip("/")))
+
+
+def read_ranges(df: DataFrame, content: str, ranges: list[tuple[int | None, int]]) -> DataFrame:
+    """Binary content put together from (offset, length) ranges, a length alone (offset None) being that many zero bytes."""
+    parts = [F.unhex(F.lit("00" * n)) if at is None else F.substring(content, at + 1, n) for at, n in ranges]
+    return df.withColumn(content, F.concat(*parts))
+
+
 def read_zip_members(spark: SparkSession, root: str, most_bytes: int = 1 << 30) -> DataFrame:
     """path, member, content, note of all files in zip archives below root, archives in archives to any depth.
 

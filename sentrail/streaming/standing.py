@@ -47,12 +47,17 @@ def drain(stream: DataFrame, mode: str = "append", name: str = "drain") -> DataF
     return spark.read.parquet(out)
 
 
-def fan_out(subscribers: dict[str, tuple[str, Callable[[DataFrame], None]]], dead_letters: Callable[[DataFrame, str, str], None]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: each subscriber gets the rows of its predicate; one that fails gets its rows set aside."""
+def fan_out(subscribers: dict[str, tuple], dead_letters: Callable[[DataFrame, str, str], None]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function: each subscriber gets the rows of its predicate; one that fails gets its rows set aside.
+
+    subscribers: name -> (predicate, sink) or (predicate, sink, priority); high priorities come first, equal
+    ones (and those without, which have 0) in the order given.
+    """
+    ordered = sorted(subscribers.items(), key=lambda kv: -(kv[1][2] if len(kv[1]) > 2 else 0))
 
     def publish(batch: DataFrame, _: int) -> None:
         batch.persist()
-        for name, (predicate, sink) in subscribers.items():
+        for name, (predicate, sink, *_rest) in ordered:
             own = batch.filter(F.expr(predicate))
             try:
                 sink(own)
@@ -117,6 +122,47 @@ def admitted_stream(alerts: DataFrame, key: str, ts: str, row_id: str, limit: in
     return timed.groupBy("k").applyInPandasWithState(step, f"id {kind[row_id]}, admitted boolean", "times array<double>", "append", GroupStateTimeout.NoTimeout).withColumnRenamed("id", row_id)
 
 
+def fifo_stream(stream: DataFrame, key: str, ts: str, row_id: str, is_trigger: str, is_history: str, max_rows: int, max_age_s: int) -> DataFrame:
+    """row_id, recent: trigger rows with the last max_rows history rows of their key no older than max_age_s.
+
+    A key's state is those rows alone, so it is bounded. Rows are taken in time's order within a batch; null
+    keys and times are dropped.
+    """
+    kind = dict(stream.dtypes)[row_id]
+    rows = stream.select(F.col(key).alias("k"), F.col(row_id).alias("id"), F.unix_seconds(F.col(ts).cast("timestamp")).alias("s"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"), F.coalesce(F.expr(is_trigger), F.lit(False)).alias("asks"), F.coalesce(F.expr(is_history), F.lit(False)).alias("stays")).filter("k IS NOT NULL AND s IS NOT NULL AND (asks OR stays)")
+
+    def step(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = deque(zip(*state.get), max_rows) if state.exists else deque(maxlen=max_rows)
+        out = []
+        # A batch of a key may be large: its rows are sorted as arrays, and only the state is looped over.
+        pdf = pd.concat(list(batches)).sort_values(["us", "id"])
+        for own, s, asks, stays in zip(pdf["id"].tolist(), pdf["s"].tolist(), pdf["asks"].tolist(), pdf["stays"].tolist()):
+            if asks:
+                out.append((own, [i for t, i in held if t >= s - max_age_s]))
+            if stays:
+                held.append((s, own))
+        state.update(([t for t, _ in held], [i for _, i in held]))
+        yield pd.DataFrame(out, columns=["id", "recent"])
+
+    return rows.groupBy("k").applyInPandasWithState(step, f"id {kind}, recent array<{kind}>", f"times array<long>, ids array<{kind}>", "append", GroupStateTimeout.NoTimeout).withColumnRenamed("id", row_id)
+
+
+def in_parts(sink: Callable[[DataFrame], None], max_rows: int = 10_000, max_bytes: int = 5_000_000) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that hands a batch on in parts of about max_rows rows and max_bytes as JSON; empty ones are not sent."""
+
+    def write(batch: DataFrame, _: int) -> None:
+        batch.persist()
+        n, size = batch.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))).first()
+        parts = max(-(-n // max_rows), -(-size // max_bytes))
+        for i in range(parts):
+            part = batch if parts == 1 else batch.filter(F.pmod(F.xxhash64(F.to_json(F.struct("*"))), F.lit(parts)) == i)
+            if parts == 1 or part.limit(1).count():
+                sink(part)
+        batch.unpersist()
+
+    return write
+
+
 def interleave(*streams: DataFrame) -> DataFrame:
     """Several streams as one; columns that one lacks are null."""
     out = streams[0]
