@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sentrail.functions.canon import LEVELS, level_key, machine_key, type_key
 from sentrail.operators.bitslice import entity_cells
 from sentrail.operators.ordinals import counted_ordinals
-from sentrail.session import broadcast_if_small
+from sentrail.session import broadcast_if_small, cut
 
 _LEVELS = (*LEVELS, "none")
 
@@ -26,14 +28,20 @@ def feature_cells(events: DataFrame, machines: DataFrame, catalog: DataFrame, st
     types, n_types = counted_ordinals(catalog.select(F.col("event_type").alias("type_name")).dropna().distinct(), "type_name", "type_no")
     type_by_key = types.select(type_key(F.col("type_name")).alias("type_key"), "type_no").dropna().groupBy("type_key").agg(F.min("type_no").alias("type_no"))
     ts = F.col("timestamp")
-    level = level_key(F.col("sensitivity_level"))
     step = F.coalesce(F.element_at(F.col("metadata"), F.lit("step")).try_cast("long"), F.lit(0)) if "metadata" in events.columns else F.lit(0).cast("long")
-    rows = (
-        events.filter(F.col("event_id").isNotNull() & (ts >= F.lit(start).cast("timestamp")) & (ts < F.lit(end).cast("timestamp")))
-        .select("event_id", machine_key(F.col("vm_id")).alias("vm_key"), type_key(F.col("event_type")).alias("type_key"), F.coalesce(F.substring(level, 2, 1).cast("int") - 1, F.lit(len(LEVELS))).alias("level_no"), F.unix_seconds(ts).alias("ts"), F.greatest(step, F.lit(0)).alias("measure"))
-        .join(broadcast_if_small(by_key, n_entities), "vm_key")
-        .join(broadcast_if_small(type_by_key, n_types), "type_key")
-    )
+    level_no = F.coalesce(F.substring(level_key(F.col("spelling")), 2, 1).cast("int") - 1, F.lit(len(LEVELS)))
+    machine_of, type_of, level_of = spelling_keys(
+        events, ["vm_id", "event_type", "sensitivity_level"],
+        [
+            lambda df: df.withColumn("vm_key", machine_key(F.col("spelling"))).join(broadcast_if_small(by_key, n_entities), "vm_key").select("spelling", "ordinal"),
+            lambda df: df.withColumn("type_key", type_key(F.col("spelling"))).join(broadcast_if_small(type_by_key, n_types), "type_key").select("spelling", "type_no"),
+            lambda df: df.select("spelling", level_no.alias("level_no")),
+        ],
+    )
+    timed = events.filter(F.col("event_id").isNotNull() & (ts >= F.lit(start).cast("timestamp")) & (ts < F.lit(end).cast("timestamp")))
+    plain = timed.select("event_id", "vm_id", "event_type", "sensitivity_level", F.unix_seconds(ts).alias("ts"), F.greatest(step, F.lit(0)).alias("measure"))
+    rows = plain.join(machine_of.withColumnRenamed("spelling", "vm_id"), "vm_id").join(type_of.withColumnRenamed("spelling", "event_type"), "event_type").join(level_of.withColumnRenamed("spelling", "sensitivity_level"), "sensitivity_level", "left")
+    rows = rows.select("event_id", "ordinal", "type_no", F.coalesce("level_no", F.lit(len(LEVELS))).alias("level_no"), "ts", "measure")
     packed = F.shiftleft(F.col("type_no"), 43) + F.shiftleft(F.col("level_no").cast("long"), 40) + F.col("ordinal")
     once = rows.groupBy("event_id").agg(F.min(packed).alias("packed"), F.min("ts").alias("ts"), F.min("measure").alias("measure"))
     cells = entity_cells(once.select(F.shiftright("packed", 40).cast("int").alias("cell"), F.col("packed").bitwiseAND(F.lit((1 << 40) - 1)).alias("ordinal"), "ts", "measure"))
@@ -44,6 +52,17 @@ def feature_cells(events: DataFrame, machines: DataFrame, catalog: DataFrame, st
     )
 
 
+def spelling_keys(df: DataFrame, columns: list[str], keys: list[Callable[[DataFrame], DataFrame]]) -> list[DataFrame]:
+    """Per column a table of its distinct spellings with what keys[i] adds to them (spellings may drop out).
+
+    Spellings are far fewer than rows, so folding them once spares every row the patterns. They are gathered
+    in one pass, combined in each task, and broadcast if they are counted to be few; else Spark shuffles.
+    """
+    every = F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("spelling")) for i, c in enumerate(columns)])
+    known = cut(df.select(F.explode(every).alias("e")).select("e.*").dropna().distinct())
+    return [broadcast_if_small(cut(add(known.filter(F.col("i") == i).select("spelling")))) for i, add in enumerate(keys)]
+
+
 def feature_table(cells: DataFrame, machines: DataFrame) -> DataFrame:
     """One row per machine: totals, latest time, and maps of counts and latest times by type and by level.
 
