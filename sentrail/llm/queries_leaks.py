@@ -19,8 +19,9 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_items(spark: SparkSession, d: str) -> DataFrame:
-    """Which passages leaked, into how many documents and how fully."""
-    return p8_report(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.max("share").alias("most"))
+    """Which passages leaked: into how many documents by 45 % or more, into how many by a fifth or more, how fully."""
+    hits = leaked_passages(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "passage", 0.2)
+    return hits.groupBy("item_id").agg(F.count_if(F.col("share") >= 0.45).alias("n_docs"), F.count_if(F.col("share") < 0.45).alias("n_partly"), F.max("share").alias("most"))
 
 
 QUERIES = {"p8_found": p8_found, "p8_report": p8_report, "p8_items": p8_items}

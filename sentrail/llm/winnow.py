@@ -260,19 +260,19 @@ def ordered_share(p: Passages, item: int, doc: np.ndarray) -> float:
             starts.append(i)
     ends = [*starts[1:], len(hit)]
     blocks = [(int(place[a]), int(place[b - 1]) + K) for a, b in zip(starts, ends)]
-    best: list[tuple[int, int]] = []
-    for i, (a, b) in enumerate(blocks):
-        gain, back = b - a, -1
-        for j in range(i):
-            c = blocks[j]
-            if c[0] <= a and c[1] <= b and (g := best[j][0] + b - max(a, c[1])) > gain:
-                gain, back = g, j
-        best.append((gain, back))
-    i = max(range(len(best)), key=lambda x: best[x][0])
+    # The chain that covers most units of the passage: each block after the best one that ends in its order.
+    a, b = np.array(blocks, np.int64).T
+    gains, back = b - a, np.full(len(a), -1, np.int64)
+    for i in range(1, len(a)):
+        fits = (a[:i] <= a[i]) & (b[:i] <= b[i])
+        reached = np.where(fits, gains[:i] + b[i] - np.maximum(a[i], b[:i]), 0)
+        if reached[j := int(reached.argmax())] > gains[i]:
+            gains[i], back[i] = reached[j], j
+    i = int(gains.argmax())
     covered = np.zeros(len(p.words[item]), bool)
     while i >= 0:
         covered[blocks[i][0] : blocks[i][1]] = True
-        i = best[i][1]
+        i = int(back[i])
     numbers = p.words[item]
     n_words = int(numbers[-1]) + 1
     missing = np.unique(numbers[~covered])

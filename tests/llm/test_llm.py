@@ -325,6 +325,33 @@ def test_leaks_in_short_stretches(spark, monkeypatch):
     assert found == pytest.approx(wanted)
 
 
+def test_no_pair_of_the_tables_is_lost(spark, data):
+    """Every pair of a document and a passage, by chaining alone, without any choice of candidates."""
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").collect() if r.text]
+    items = [(r.item_id, r.passage) for r in spark.read.parquet(f"{data}/eval_items.parquet").collect() if r.passage]
+    for least in (0.45, 0.2):
+        table = winnow.passages_of([i for i, _ in items], [t for _, t in items], 0.0)
+        want = set()
+        for doc, text in docs:
+            h = winnow.kgram_hashes(winnow.units_of([winnow.plain(text)]))
+            own = np.unique(h)
+            for n, (item, _) in enumerate(items):
+                if np.isin(table.grams[n][0], own, assume_unique=False).any() and winnow.ordered_share(table, n, h) >= least:
+                    want.add((doc, item))
+        found = winnow.leaked_passages(spark.read.parquet(f"{data}/documents.parquet"), "doc_id", "text", spark.read.parquet(f"{data}/eval_items.parquet"), "item_id", "passage", least)
+        assert {(r.doc_id, r.item_id) for r in found.collect()} == want and want
+
+
+def test_long_chains():
+    """A document with thousands of scattered stretches is chained in reasonable time."""
+    rng = random.Random(2)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(4000)]
+    table = winnow.passages_of(["i"], [" ".join(words)], 0.0)
+    text = " ".join(f"{a} {b} {c} {rng.randrange(10**9)}" for a, b, c in zip(words[::3], words[1::3], words[2::3]))
+    h = winnow.kgram_hashes(winnow.units_of([winnow.plain(text)]))
+    assert winnow.ordered_share(table, 0, h) > 0.95
+
+
 def test_blocks_of_passages(spark, monkeypatch):
     monkeypatch.setattr(winnow, "BLOCK_BYTES", 60)
     assert set(shares(spark, [ITEM, ZH])) == {(0, "i1"), (1, "i2")}
